@@ -11,6 +11,8 @@ from .common import table
 from .license_scan import PHRASES, TEMPLATES, scan_licenses, template_grams
 from .mixing import SLOPES, mix
 from .sharding import shard_by_bytes
+from .token_ids import token_ids
+from .topk import top_k
 
 
 def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +25,13 @@ OP4_SQL = """
 WITH crc AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
     lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+h AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS hex FROM documents),
 r AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+  SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
     xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
-      list_transform(range(strlen(coalesce(text, ''))), lambda i: CAST('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2) AS BIGINT))),
+      list_transform(range(strlen(text)), lambda i: CAST('0x' || hex[2 * i + 1:2 * i + 2] AS BIGINT))),
       lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32
-  FROM documents, crc),
+  FROM h, crc),
 s AS (
   SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
     sum(size) OVER () AS total,
@@ -102,9 +105,37 @@ SELECT doc_id, size, source_size, target, copies * size AS taken,
 FROM c
 """
 
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_license_diagonals": op5_license_diagonals,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
+    "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {"op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
