@@ -13,6 +13,22 @@ from .mixing import SLOPES, mix
 from .sharding import shard_by_bytes
 from .token_ids import token_ids
 from .topk import top_k
+from .warc import archive_round_trip
+
+
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five hex digits are four base-32 digits.
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || h[5 * (i // 4) + 1:5 * (i // 4) + 5] AS BIGINT) >> (5 * (3 - i % 4)) AS BIGINT) % 32 + 1, 1)), '') AS payload_digest,
+  row_number() OVER (PARTITION BY h ORDER BY page_id) AS n, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n > 1 THEN f END AS refers_to FROM b
+"""
 
 
 def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +148,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_license_diagonals": op5_license_diagonals,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
     "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {"op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_warc_round_trip": OP2_SQL, "op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
