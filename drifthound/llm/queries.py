@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import find_contamination
 from .license_scan import PHRASES, TEMPLATES, scan_licenses, template_grams
 from .mixing import SLOPES, mix
 from .sharding import shard_by_bytes
@@ -31,6 +32,30 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' E
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", sha.alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT *, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+q AS (SELECT item_id, k, j, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM k)),
+p AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM (SELECT doc_id, w, s.k, unnest(range(1, len(w) - s.k + 2)) AS i FROM d, (SELECT DISTINCT k FROM k) s WHERE len(w) >= s.k)),
+h AS (SELECT doc_id, i, k, item_id, j FROM p JOIN q USING (k, g)),
+c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS x FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS s FROM h GROUP BY doc_id),
+r AS (SELECT doc_id, item_id, i - j AS g, k, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM h),
+m AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) - 1 + max(k) AS n FROM r GROUP BY doc_id, item_id, g, run) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -149,10 +174,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_round_trip": op2_warc_round_trip,
+    "op3_decontaminate": op3_decontaminate,
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_license_diagonals": op5_license_diagonals,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
     "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {"op2_warc_round_trip": OP2_SQL, "op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_warc_round_trip": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
