@@ -82,3 +82,23 @@ def prefix_sums(df: DataFrame, order: list[str], sums: list[str], group: str | N
         on = on & F.col(group).eqNullSafe(F.col("_g"))
     out = inner.join(offsets, on)
     return out.select(*df.columns, *[(F.col(f"_{c}_offset") + F.col(f"_{c}_in")).alias(f"{c}_before") for c in sums], *[f"{c}_total" for c in sums])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column | None = None, per_class: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts of at most `per_class` labelled documents of each class: id, text, label, weight.
+
+    Rows are taken in the order of a hash of their id, so reruns agree. The
+    weight is what one row stands for. Null ids and labels are left out; an id
+    with several labels has the largest.
+    """
+    rated = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
+    if keep is not None:
+        rated = rated.filter(keep)
+    rated = rated.groupBy(F.col(id_col).alias("_i")).agg(F.max(label).cast("int").alias("label"))
+    sizes = {r.label: r["count"] for r in rated.groupBy("label").count().collect()}
+    chosen = None
+    for c in (0, 1):
+        part = rated.filter(F.col("label") == c).orderBy(F.xxhash64("_i"), "_i").limit(per_class).withColumn("weight", F.lit(max(1.0, sizes.get(c, 0) / per_class)))
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # at most 2 * per_class ids
+    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_i")).select(F.col("_i").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label", "weight")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import quality, toxicity
+from .common import id_crc, table
 from .decontam import find_contamination
 from .license_scan import PHRASES, TEMPLATES, scan_licenses, template_grams
 from .mixing import SLOPES, mix
@@ -17,6 +18,12 @@ from .topk import top_k
 from .warc import archive_round_trip
 
 
+def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.pmod(id_crc("doc_id"), F.lit(5)) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -168,17 +175,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op9_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.pmod(id_crc("doc_id"), F.lit(3)) == 1
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), keep=~held_out)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxic_segments": op1_toxic_segments,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op3_decontaminate": op3_decontaminate,
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_license_diagonals": op5_license_diagonals,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality_network": op9_quality_network,
     "op10_token_ids": op10_token_ids,
 }
 ORACLES: dict[str, str] = {"op2_warc_round_trip": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}

@@ -54,6 +54,7 @@ class Words:
 
     data: np.ndarray
     hashes: np.ndarray
+    sums: np.ndarray  # running sums over bytes, from which parts are hashed
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray  # one more than texts
@@ -67,7 +68,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) ->
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(data, np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64))
+        return Words(data, np.zeros(0, np.uint64), np.zeros(1, np.uint64), none, none, np.zeros(len(offsets), np.int64))
     inside = kind[data]
     edges = np.zeros(n + 1, bool)
     edges[1:n] = inside[1:] != inside[:-1]
@@ -83,7 +84,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) ->
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, hashes, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, hashes, sums, starts, ends, np.searchsorted(starts, offsets))
+
+
+def prefix_hashes(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of more than `length` bytes, hash of their first `length` bytes)."""
+    at = np.flatnonzero(w.ends - w.starts > length)
+    a = w.starts[at]
+    _, down = _power_tables(len(w.data) + 1)
+    return at, mixed((w.sums[a + length] - w.sums[a]) * down[a] + _U(length + (1 << 32)))
 
 
 def hash_words(words: list[str]) -> np.ndarray:
