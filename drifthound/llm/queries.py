@@ -12,6 +12,7 @@ from .common import id_crc, table
 from .decontam import find_contamination
 from .license_scan import PHRASES, TEMPLATES, scan_licenses, template_grams
 from .mixing import SLOPES, mix
+from .ngram_join import link_components
 from .sharding import shard_by_bytes
 from .token_ids import token_ids
 from .topk import top_k
@@ -154,6 +155,28 @@ FROM c
 """
 
 
+def op6_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+#: Sets as whole lists of words, every pair that shares a shingle, then components by a recursive walk.
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_distinct([w[i:i + 3] for i in range(1, len(w) - 2)]) END AS s FROM d),
+c AS MATERIALIZED (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+g AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep
+      AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a),
+m AS (SELECT y AS rep, min(x) AS least FROM r GROUP BY y)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.least, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON list_sort(s.s) = c.s LEFT JOIN m ON m.rep = c.rep
+"""
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
@@ -191,9 +214,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_shard_by_bytes": op4_shard_by_bytes,
     "op5_license_diagonals": op5_license_diagonals,
+    "op6_ngram_components": op6_ngram_components,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_network": op9_quality_network,
     "op10_token_ids": op10_token_ids,
 }
-ORACLES: dict[str, str] = {"op2_warc_round_trip": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_warc_round_trip": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op6_ngram_components": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
