@@ -82,8 +82,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return both.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "copies", "positions", *[F.col(f"_c_{c}").alias(c) for c in carry])
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed documents themselves, repeats as rows, range-sorted by training position."""
-    others = tuple(c for c in docs.columns if c not in (id_col, options.get("source_col", "source")))
-    mixed = mix(docs, id_col, carry=others, **options)
-    return mixed.withColumn("_position", F.explode("positions")).orderBy("_position", id_col).select(*docs.columns)
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed documents themselves, repeats as rows, range-sorted by training position.
+
+    Positions are found on narrow rows; the texts are shuffled once to meet
+    them, and once by position.
+    """
+    key = F.xxhash64(id_col, text_col)
+    nth = F.row_number().over(W.partitionBy("__key").orderBy("__key"))  # repeated rows meet one by one
+    narrow = mix(docs.select(id_col, text_col, source_col, key.alias("__key")), id_col, text_col, source_col, carry=("__key",), **options)
+    places = narrow.filter(F.size("positions") > 0).select("__key", "positions").withColumn("__nth", nth)
+    rows = docs.withColumn("__key", key).withColumn("__nth", nth)
+    placed = rows.join(places, ["__key", "__nth"]).withColumn("__position", F.explode("positions"))
+    return placed.orderBy("__position", id_col).select(*docs.columns)
