@@ -290,3 +290,5 @@ def projected(granularity: str, family: str) -> str:
 
 
 COVERAGE = sql("SELECT act AS tool, count(*) AS calls, count(*) FILTER (act <> 'error') AS ok, count(*) FILTER (act = 'error') AS err, act <> 'error' AS known, act = 'error' AS hallucinated FROM ev GROUP BY act")
+STREAM = sql(f"SELECT run_id, pos, edit_knn, round(return_rate, 6) AS return_rate FROM (SELECT run_id, CAST(i - 1 AS INTEGER) AS pos, round(list_sort(list(least(1, list_min(cur) / i)))[3], 6) AS edit_knn FROM dl WHERE i > 0 GROUP BY run_id, i) JOIN wf USING (run_id, pos)",
+    SESSION.replace("24 HOUR", "1000000 HOUR"), _DL, *_walk("ev", ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,6 +14,7 @@ from ..functions.expr import nearest
 from ..operators import bank as banks
 from ..operators import baselines, declare, distances, evaluate, mining, projection, registry, structure
 from ..sources.logs import conversation_log, order_log, session_log, traces_of
+from ..streaming import scoring
 from . import detectors, oracles
 
 LOGS = {"session": session_log, "order": order_log, "conversation": conversation_log}
@@ -329,6 +332,19 @@ def tool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.audit(events.filter(F.col("kind").isin("tool", "user_tool")).select(F.col("act").alias("tool"), "error"), session_registry(spark))
 
 
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live scores of each user's events, read as a stream; the bank is drawn from whole users."""
+    log_ = session_log(spark, sf_dir, gap_hours=1_000_000)
+    bank = banks.draw_bank(traces_of(log_))
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = arriving.select(F.concat("user_id", F.lit(":1")).alias("run_id"), "ts", "event_id", F.col("event_type").alias("act"))
+    scoring.run_once(scoring.score_stream(rows, bank), f"{place}/scores", f"{place}/state")
+    return _round(spark.read.parquet(f"{place}/scores").select("run_id", "pos", "edit_knn", "return_rate"), "edit_knn", "return_rate")
+
+
 def _all() -> dict[str, tuple[Query, str | None]]:
     """Each query with its SQL; None where SQL has no fair form."""
     o = oracles
@@ -364,7 +380,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         "sweep_session": (sweep, None), "report_environments": (environments, None), "report_summary": (environment_summary, None), "report_best_setting": (best_settings, None), "report_repetitions": (repetitions, None),
         **{f"project_list_{g}": (partial(projected, g, "list", "fifo" if g == "status" else "id"), o.projected(g, "list")) for g in projection.GRANULARITIES},
         **{f"project_object_{g}": (partial(projected, g, "object", "fifo" if g == "rw_status" else "id"), o.projected(g, "object")) for g in projection.GRANULARITIES},
-        "registry_coverage": (tool_coverage, o.COVERAGE),
+        "registry_coverage": (tool_coverage, o.COVERAGE), "stream_scores": (stream_scores, o.STREAM),
     }
     return q
 
