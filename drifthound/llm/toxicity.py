@@ -186,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
     if not n1 or not n0:
         return model
     share = (F.col("y1") + F.col("y0")) / float(n1 + n0) * prior
-    odds = lambda y, n: F.log((F.col(y) + share) / (n + prior - F.col(y) - share))
+    # a prefix that all words have leaves nothing for the others
+    odds = lambda y, n: F.log((F.col(y) + share) / F.greatest(F.lit(0.5), n + prior - F.col(y) - share))
     scored = _counts(sample).filter(F.col("y1") >= least_count).select("token", "y1", "y0", (odds("y1", n1) - odds("y0", n0)).alias("s"), F.sqrt(1 / (F.col("y1") + share) + 1 / (F.col("y0") + share)).alias("e"))
     top = scored.withColumn("sure", F.col("s") - errors * F.col("e")).filter(F.col("sure") > least_odds).orderBy(F.desc("sure"), "token").limit(listed).collect()
     if not top:
