@@ -156,7 +156,10 @@ def frames(stream, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
 
 def train_dictionary(pages: DataFrame, payload_col: str, size: int = 16384, samples: int = 512, sample_chars: int = 8192) -> bytes:
     """A dictionary from at most `samples` payloads of at most `sample_chars` characters."""
-    some = pages.select(F.substring(payload_col, 1, sample_chars).alias("p")).filter(F.length("p") > 0).orderBy(F.xxhash64("p")).limit(samples).collect()
+    rows = pages.select(F.substring(payload_col, 1, sample_chars).alias("p")).filter(F.length("p") > 0).withColumn("h", F.xxhash64("p"))
+    # the smallest hashes first, then only their payloads: little goes to the driver
+    cut = [r.h for r in rows.select("h").distinct().orderBy("h").limit(samples).collect()]
+    some = rows.filter(F.col("h") <= cut[-1]).groupBy("h").agg(F.first("p").alias("p")).orderBy("h").limit(samples).collect() if cut else []
     try:
         return zstandard.train_dictionary(size, [r.p.encode() for r in some]).as_bytes() if some else b""
     except zstandard.ZstdError:  # too few or too small samples
@@ -167,16 +170,17 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write the archives; returns their list: address, records, bytes."""
     make_folder(folder)
     text = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), text.alias("p"), F.sha1(text.cast("binary")).alias("d"))
+    i = F.col(id_col).cast("long")
+    rows = pages.select(i.alias("i"), F.coalesce(i, F.lit(0)).alias("k"), i.isNull().alias("z"), F.col(url_col).alias("u"), text.alias("p"), F.sha1(text.cast("binary")).alias("d"))
     dictionary = train_dictionary(rows, "p")
     # only ids and digests meet by digest, the payloads by id
-    keys = rows.filter(F.octet_length("p") >= revisit_bytes).groupBy("i", "d").agg(F.count("*").alias("n"))
+    keys = rows.filter(F.octet_length("p") >= revisit_bytes).groupBy("k", "z", "d").agg(F.max("i").alias("i"), F.count("*").alias("n"))
     firsts = keys.groupBy("d").agg(F.min("i").alias("f"), F.sum("n").alias("n"))
-    roles = keys.drop("n").join(firsts.filter("n > 1"), "d").select(F.col("i").alias("ri"), F.col("d").alias("rd"), "f")
-    met = rows.join(roles, F.col("i").eqNullSafe(F.col("ri")) & (F.col("d") == F.col("rd")), "left")
-    copy = F.row_number().over(W.partitionBy("i", "d").orderBy("u"))
+    roles = keys.select("k", "z", "d").join(firsts.filter("n > 1"), "d").select("k", "z", "d", "f", F.lit(True).alias("again"))
+    met = rows.join(roles, ["k", "z", "d"], "left")
+    copy = F.row_number().over(W.partitionBy("k", "z", "d").orderBy("u"))
     typed = met.withColumn("copy", copy).select(
-        "i", "u", "p", "copy", "f", (F.col("rd").isNotNull() & ~(F.col("i").eqNullSafe(F.col("f")) & (F.col("copy") == 1))).alias("revisit"))
+        "i", "u", "p", "copy", "f", (F.col("again").isNotNull() & ~(F.col("i").eqNullSafe(F.col("f")) & (F.col("copy") == 1))).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sink, address, records, size = TaskContext.get().partitionId(), None, "", 0, 0
