@@ -84,7 +84,7 @@ def index_vectors(tokens: np.ndarray, dims: int, ones: int = 4) -> np.ndarray:
     """Sparse vectors of +1 and -1, the same for a token anywhere."""
     out = np.zeros((len(tokens), dims))
     for k in range(ones):
-        h = mixed(tokens + _U(k + 1) * _U(0x9E3779B97F4A7C15))
+        h = mixed(tokens + _U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         np.add.at(out, (np.arange(len(tokens)), (h >> _U(8)).astype(np.int64) % dims), np.where(h & _U(1), 1.0, -1.0))
     return out
 
@@ -113,7 +113,7 @@ def _pooled(tokens: np.ndarray, vectors: np.ndarray, w: Words) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
     for b in batches:
-        for lo, hi, data, offsets in text_chunks(b.column(column), 2 << 20):
+        for lo, hi, data, offsets in text_chunks(b.column(column)):
             for a in range(lo, hi, 512):  # few texts at once: the table of counts is dense
                 z = min(hi, a + 512)
                 o = offsets[a - lo : z - lo + 1]

@@ -1,6 +1,6 @@
 """Words of whole Arrow batches as numpy arrays of 64-bit hashes.
 
-A batch of texts is handled as the bytes of its UTF-8 buffer, a few MB at a
+A batch of texts is handled as the bytes of its UTF-8 buffer, one MB at a
 time; both word rules of the contracts look at ASCII bytes only, so bytes of
 longer characters always belong to words.
 """
@@ -19,7 +19,7 @@ LOWER = np.where((_B >= 65) & (_B <= 90), _B + 32, _B).astype(np.uint8)
 ALNUM = ((_B >= 48) & (_B <= 57)) | ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122)) | (_B >= 128)
 NOT_SPACE = ~((_B == 32) | ((_B >= 9) & (_B <= 13)))
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C13)
 _BYTE = np.random.default_rng(7).integers(1 << 62, (1 << 63) - 1, 256, dtype=np.int64).astype(np.uint64)[LOWER]

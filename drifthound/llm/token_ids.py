@@ -193,7 +193,7 @@ class Encoder:
 
     CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
-    def __init__(self, path: str, limit: int = 1 << 20) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -213,39 +213,64 @@ class Encoder:
         self.sizes = np.array([len(f) for f in fixed])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids, self.uses = np.array(sum(fixed, []), np.uint32), np.full(4, 2)
-
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for lo in range(0, len(pieces), 4096) for e in self.tokenizer.encode_batch_fast(pieces[lo : lo + 4096], add_special_tokens=False)]
+        self.line = fixed[1][0]
+        self.known = self.known and len(fixed[1]) == 1
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece): all at once, cut at line breaks, which no piece has inside."""
+        whole = [n for n, p in enumerate(pieces) if "\n" in p]
+        joined = "\n".join(p for p in pieces if "\n" not in p)
+        flat = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.append(np.flatnonzero(flat == self.line), len(flat))
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = flat[flat != self.line]
+        if len(whole) == len(pieces):
+            flat, sizes = flat[:0], sizes[:0]
+        if whole:
+            parts = iter(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+            apart = dict(zip(whole, self._encode([pieces[n] for n in whole])))
+            ids = [np.array(apart[n], np.uint32) if n in apart else next(parts) for n in range(len(pieces))]
+            flat, sizes = np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+        return flat, sizes
 
     def _flush(self) -> None:
         """Encode the new pieces, those that others are put together from first."""
         if not self.new:
             return
-        joined: dict[int, tuple[int, int]] = {}
-        first = len(self.sizes)
+        first, end_of = len(self.sizes), {".": 2, ",": 3} if self.sizes[2] == self.sizes[3] == 1 else {}
+        made, base, end = [], [], []
         for n, p in enumerate(self.new):  # grows while it is read
-            if len(p) > 2 and p[-1] in ".," and p[-2].isalpha():
-                joined[first + n] = ((self.spaced[p[1:-1]] if p[0] == " " else self.bare[p[:-1]]), 2 if p[-1] == "." else 3)
-        plain = [n for n in range(len(self.new)) if first + n not in joined]
-        made: list = [None] * len(self.new)
-        for n, ids in zip(plain, self._encode([self.new[n] for n in plain])):
-            made[n] = ids
-        ends = {2: self.ids[self.starts[2] : self.starts[2] + self.sizes[2]].tolist(), 3: self.ids[self.starts[3] : self.starts[3] + self.sizes[3]].tolist()}
-        for n, (base, end) in joined.items():
-            made[n - first] = (made[base - first] if base >= first else self.ids[self.starts[base] : self.starts[base] + self.sizes[base]].tolist()) + ends[end]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for x in made for i in x), np.uint32, int(sizes.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.ids, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.sizes, sizes])
-        self.uses = np.concatenate([self.uses, np.zeros(len(made), np.int64)])
+            if len(p) > 2 and p[-1] in end_of and p[-2].isalpha():
+                made.append(first + n)
+                base.append(self.spaced[p[1:-1]] if p[0] == " " else self.bare[p[:-1]])
+                end.append(end_of[p[-1]])
+        composed = np.array(made, np.int64)
+        plain = np.setdiff1d(np.arange(first, first + len(self.new)), composed, assume_unique=True)
+        grow = lambda x, fill=0: np.concatenate([x, np.full(len(self.new), fill, np.int64)])
+        self.sizes, self.starts, self.uses = grow(self.sizes), grow(self.starts), grow(self.uses)
+        if len(plain):
+            flat, sizes = self._encode_pieces([self.new[n - first] for n in plain.tolist()])
+            self.sizes[plain], self.starts[plain] = sizes, len(self.ids) + np.cumsum(sizes) - sizes
+            self.ids = np.concatenate([self.ids, flat])
+        if len(composed):
+            of = np.array(base, np.int64)
+            sizes = self.sizes[of] + 1
+            upto = np.cumsum(sizes)
+            place = np.repeat(self.starts[of] - (upto - sizes), sizes) + np.arange(int(upto[-1]))
+            flat = np.append(self.ids, np.uint32(0))[place]
+            flat[upto - 1] = self.ids[self.starts[np.array(end, np.int64)]]
+            self.sizes[composed], self.starts[composed] = sizes, len(self.ids) + upto - sizes
+            self.ids = np.concatenate([self.ids, flat])
         self.new = []
 
     def _forget(self) -> None:
-        score = self.uses.copy()
-        score[:4] = np.iinfo(np.int64).max
-        floor = max(2, int(np.partition(score, -self.limit // 2)[-self.limit // 2]) + 1) if len(score) > self.limit // 2 else 2
-        keep = np.flatnonzero(score >= floor)
-        number = np.full(len(score), -1)
+        uses, half = self.uses[4:], max(1, self.limit // 2)
+        floor = max(2, int(np.partition(uses, -half)[-half]) + 1) if len(uses) > half else 2
+        keep = np.concatenate([np.arange(4), 4 + np.flatnonzero(uses >= floor)])
+        number = np.full(len(self.uses), -1)
         number[keep] = np.arange(len(keep))
         for pieces in (self.bare, self.spaced):
             left = [(p, int(number[n])) for p, n in pieces.items() if number[n] >= 0]
@@ -262,7 +287,7 @@ class Encoder:
         bare, spaced = self.bare.__getitem__, self.spaced.__getitem__
         for n, line in enumerate(text.split("\n")):
             pieces = line.split(" ")
-            if "" in pieces or list(map(str.strip, pieces)) != pieces:
+            if line.split() != pieces:  # white space of another kind, or more of it
                 return [bare(p) for p in self.CUT.split(text) if p]
             if n:
                 out.append(1)
@@ -293,6 +318,16 @@ class Encoder:
         return ids, np.diff(upto[np.array([0, *ends], np.int64)])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder a worker process: what a task has learned serves the next one."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
     lo = size = 0
     for n, t in enumerate(texts):
@@ -310,7 +345,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     make_folder(folder)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, seq = TaskContext.get().partitionId(), Encoder(tokenizer), 0
+        part, encoder, seq = TaskContext.get().partitionId(), encoder_of(tokenizer), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         tokens = 0
 
