@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +13,8 @@ EVENT = "struct<act:string,pos:int,ts:double,attr:struct<raw:string,kind:string,
 TRACE = f"run_id string, task_id string, trial int, reward double, domain string, model string, instruction string, meta map<string,string>, events array<{EVENT}>"
 
 
-def catalogue(spark: SparkSession, rows: list[tuple[str, str, str, str, str]], family: str | None = None) -> DataFrame:
-    """Data sets (source, family, path, domain, model), narrowed to one family.
-
-    Where `family` is not given it is taken from TB_BENCH (default all).
-    """
-    chosen = family or os.environ.get("TB_BENCH", "all")
+def catalogue(spark: SparkSession, rows: list[tuple[str, str, str, str, str]], chosen: str = "all") -> DataFrame:
+    """Data sets (source, family, path, domain, model), all or those of one family."""
     df = spark.createDataFrame(rows, "source string, family string, path string, domain string, model string")
     if chosen == "all":
         return df
