@@ -78,7 +78,7 @@ h AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesc
 r AS (
   SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS size,
     xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
-      list_transform(range(strlen(text)), lambda i: CAST('0x' || hex[2 * i + 1:2 * i + 2] AS BIGINT))),
+      list_transform(regexp_extract_all(hex, '..'), lambda x: CAST('0x' || x AS BIGINT))),
       lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS text_crc32
   FROM h, crc),
 s AS (
