@@ -234,12 +234,12 @@ def near_texts(seed):
     return texts + ODD + ["a b c", "A B C", "a b c d"]
 
 
-@pytest.mark.parametrize("stars", [0, 1000])
-def test_ngram_components(spark, stars):
+@pytest.mark.parametrize("crowd, product", [(2, 0), (4, 0), (16, 4)])
+def test_ngram_components(spark, crowd, product):
     texts = near_texts(5)
     docs = docs_of(spark, texts).repartition(4)
-    # a product of no size calls for stars, a large one for none
-    got = ngram_join.link_components(docs, 4, 85, 100, product_rows=0 if stars == 0 else stars, max_stars=3).orderBy("doc_id").collect()
+    # a product of no size calls for stars
+    got = ngram_join.link_components(docs, 4, 85, 100, crowd=crowd, product_rows=product, max_stars=2).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, 4, 85, 100)
 
 
