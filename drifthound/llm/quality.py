@@ -111,9 +111,9 @@ def _pooled(tokens: np.ndarray, vectors: np.ndarray, w: Words) -> np.ndarray:
     return counts @ vectors / np.maximum(1, n)[:, None]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, int, int, Words]]:
     for b in batches:
-        for lo, hi, data, offsets in text_chunks(b.column(column)):
+        for lo, hi, data, offsets in text_chunks(b.column(column), size):
             for a in range(lo, hi, 512):  # few texts at once: the table of counts is dense
                 z = min(hi, a + 512)
                 o = offsets[a - lo : z - lo + 1]
@@ -165,13 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(tokens) + 1, dims))
-        padded = np.vstack([index, np.zeros((1, dims))])  # number -1 is the last row
-        for _, _, _, w in _chunks(batches, 0):
+        padded = np.vstack([index, np.zeros((1, dims))]).astype(np.float32)  # number -1 is the last row; small whole numbers
+        for _, _, _, w in _chunks(batches, 0, 1 << 18):
             of = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
             kinds = [_look(tokens, w.hashes), _look(tokens, shapes_of(w))]
             own = padded[kinds[0]] + padded[kinds[1]]
             around = np.zeros_like(own)
-            for r in range(1, reach + 1):
+            for r in range(1, min(reach, len(of) - 1) + 1):
                 same = (of[r:] == of[:-r])[:, None]
                 around[r:] += own[:-r] * same
                 around[:-r] += own[r:] * same
