@@ -119,8 +119,8 @@ def _incidence(docs: DataFrame, k: int, num: int, den: int, frequent: list) -> D
                     weight = np.where(buckets[at] == _bucket(s), counts[at], 0)
                 keep = n + (-num * n // den) + 1
                 order = np.lexsort((s, weight))[:keep]
-                # a frequent n-gram is dealt over several partitions
-                salt = np.where(weight[order] > 0, node & 63, 0)
+                # a frequent n-gram is dealt over several partitions; salt 0 is for the others only
+                salt = np.where(weight[order] > 0, 1 + (node & 63), 0)
                 held.append((s[order].view(np.int64), np.full(keep, node), np.full(keep, n), np.full(keep, n - keep), salt))
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["token", "node", "n", "rest", "salt"])

@@ -243,6 +243,21 @@ def test_ngram_components(spark, crowd, product):
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, 4, 85, 100)
 
 
+def test_ngram_components_of_one_crowd(spark):
+    """Many near copies in one task: their n-grams are frequent, and nodes of every salt must meet."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(300):
+        t = list(base)
+        t[rng.randrange(60)] = f"v{i}"
+        texts.append(" ".join(t))
+    texts += near_texts(13)
+    docs = docs_of(spark, texts).coalesce(1)
+    got = ngram_join.link_components(docs, 4, 80, 100).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, 4, 80, 100)
+
+
 def test_keep_first(spark):
     texts = near_texts(6)
     docs = docs_of(spark, texts)
