@@ -2,13 +2,13 @@
 
 Documents are range-partitioned by id and encoded in that order; each run of at
 most `shard_tokens` ids (or one document, if that is longer) becomes a file.
-A file holds the shard's alphabet, its document ids and lengths, and one
+A file holds the shard's alphabet, its document ids, lengths and null ids, and one
 bit-plane per bit of the alphabet: plane l has the l-th bit of all ids in the
 order that the planes above leave them (zeros first). Rank on the planes gives
 access, counting and occurrence lookup without decoding the rest.
 
 Null and empty texts are only the end id; documents of equal id stand side by
-side, ordered by text; an empty table writes no file and gives an empty result;
+side, ordered by text; null ids stay null and come first; an empty table writes no file and gives an empty result;
 other columns are not read.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import new_folder, prefix_sums, shuffle_partitions, written
 from .files import get, make_folder, put
 
-MAGIC = b"DHWM0001"
+MAGIC = b"DHWM0002"
 END_ID = 2
 
 
@@ -139,10 +139,10 @@ class WaveletMatrix:
 
 
 def shard_bytes(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """A shard's file: magic, header length, header, then the sections it lists."""
+    """A shard's file: magic, header length, header, then the sections it lists; null ids are masked."""
     m = WaveletMatrix.build(ids)
     packer = zstandard.ZstdCompressor(level=1)
-    sections = [packer.compress(np.ascontiguousarray(x).tobytes()) for x in (m.alphabet.astype("<u4"), doc_ids.astype("<i8"), lengths.astype("<u4"), *m.planes)]
+    sections = [packer.compress(np.ascontiguousarray(x).tobytes()) for x in (m.alphabet.astype("<u4"), np.ma.filled(doc_ids, 0).astype("<i8"), lengths.astype("<u4"), np.packbits(np.ma.getmaskarray(doc_ids)), *m.planes)]
     header = json.dumps({"n": m.n, "docs": len(doc_ids), "bits": m.bits, "sections": [len(s) for s in sections]}).encode()
     return [MAGIC, len(header).to_bytes(4, "little"), header, *sections]
 
@@ -159,11 +159,12 @@ def open_shard(raw: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray]:
     for size in header["sections"]:
         parts.append(zstandard.ZstdDecompressor().decompress(raw[at : at + size]))
         at += size
-    m = WaveletMatrix(np.frombuffer(parts[0], "<u4"), header["n"], [np.frombuffer(p, np.uint8) for p in parts[3:]])
+    m = WaveletMatrix(np.frombuffer(parts[0], "<u4"), header["n"], [np.frombuffer(p, np.uint8) for p in parts[4:]])
     lengths = np.frombuffer(parts[2], "<u4").astype(np.int64)
     if lengths.sum() != m.n or m.bits != header["bits"]:
         raise ValueError("a shard's lengths don't add up")
-    return m, np.frombuffer(parts[1], "<i8"), lengths
+    null = np.unpackbits(np.frombuffer(parts[3], np.uint8), count=len(lengths)).astype(bool)
+    return m, np.ma.array(np.frombuffer(parts[1], "<i8"), mask=null), lengths
 
 
 class _Pieces(dict):
@@ -350,12 +351,12 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str
         tokens = 0
 
         def flush() -> pa.RecordBatch:
-            ids, doc_ids, lengths = (np.concatenate(x) for x in zip(*held))
+            ids, doc_ids, lengths = (f(x) for f, x in zip((np.concatenate, np.ma.concatenate, np.concatenate), zip(*held)))
             address = put(folder, f"shard-{part:06d}-{seq:05d}", shard_bytes(ids, doc_ids, lengths))
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "address": [address], "docs": [len(doc_ids)], "tokens": [len(ids)]}, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("address", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
         for b in batches:
-            doc_ids = b.column(0).to_numpy(zero_copy_only=False)
+            doc_ids = np.ma.array(b.column(0).fill_null(0).to_numpy(), mask=b.column(0).is_null().to_numpy(zero_copy_only=False))
             texts = b.column(1).to_pylist()
             for lo, hi in _slices(texts, 1 << 20):
                 ids, lengths = encoder.encode(texts[lo:hi])
@@ -385,7 +386,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids.astype(np.int64)), pa.array(start + ends - lengths), pa.array(lengths), pa.array(np.array(crcs, np.int64)), pa.array([address] * len(crcs))],
+                    [pa.array(doc_ids.data.astype(np.int64), mask=np.ma.getmaskarray(doc_ids)), pa.array(start + ends - lengths), pa.array(lengths), pa.array(np.array(crcs, np.int64)), pa.array([address] * len(crcs))],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     return placed.repartition(shuffle_partitions(spark)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")

@@ -321,6 +321,13 @@ def test_token_ids(spark):
         assert encoder.encode([x or ""])[0].tolist() == ids
 
 
+def test_token_ids_of_null_ids(spark):
+    ids = [None, None, *[(1 << 60) + i for i in range(20)], (1 << 53) + 1, -1, 0]
+    docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    rows = token_ids.token_ids(docs, tokenizer_path(), shard_tokens=9).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(ids, key=lambda i: (i is not None, i))
+
+
 def labelled(spark, seed):
     rng = random.Random(seed)
     plain = [f"word{i}" for i in range(80)]
