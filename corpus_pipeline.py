@@ -10,6 +10,9 @@ from drifthound.llm import decontam, mixing, ngram_join, quality, token_ids
 from drifthound.llm.common import table, written
 from drifthound.llm.queries import tokenizer_path
 
+#: The column that takes the training position from the mix to the shards.
+POSITION = "training_position"
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from all labels."""
@@ -27,13 +30,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
-    return mixing.mix_documents(docs)
+    """Documents as often as the mix takes them, with their training position."""
+    return mixing.mix_documents(docs, position_col=POSITION)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in shard files, and what was read back from them."""
-    return token_ids.token_ids(docs, tokenizer_path()).drop("shard")
+    """Token ids in shard files in training order, and what was read back from them."""
+    return token_ids.token_ids(docs, tokenizer_path(), order_col=POSITION).drop("shard")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

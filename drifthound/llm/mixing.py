@@ -82,9 +82,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return both.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "copies", "positions", *[F.col(f"_c_{c}").alias(c) for c in carry])
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", position_col: str | None = None, **options) -> DataFrame:
     """The mixed documents themselves, repeats as rows, range-sorted by training position.
 
+    With `position_col`, the position is a last column of that name.
+
     Positions are found on narrow rows; the texts are shuffled once to meet
     them, and once by position.
     """
@@ -94,4 +96,4 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = narrow.filter(F.size("positions") > 0).select("__key", "positions").withColumn("__nth", nth)
     rows = docs.withColumn("__key", key).withColumn("__nth", nth)
     placed = rows.join(places, ["__key", "__nth"]).withColumn("__position", F.explode("positions"))
-    return placed.orderBy("__position", id_col).select(*docs.columns)
+    return placed.orderBy("__position", id_col).select(*docs.columns, *([F.col("__position").alias(position_col)] if position_col else []))

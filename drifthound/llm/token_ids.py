@@ -1,6 +1,6 @@
 """Token ids in wavelet matrices: one compressed file per shard.
 
-Documents are range-partitioned by id and encoded in that order; each run of at
+Documents are range-partitioned by id (or by an order column and id) and encoded in that order; each run of at
 most `shard_tokens` ids (or one document, if that is longer) becomes a file.
 A file holds the shard's alphabet, its document ids, lengths and null ids, and one
 bit-plane per bit of the alphabet: plane l has the l-th bit of all ids in the
@@ -340,8 +340,8 @@ def _slices(texts: list[str], chars: int) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 22) -> DataFrame:
-    """Write the shard files; returns their list: part, seq, address, docs, tokens."""
+def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 22, order_col: str | None = None) -> DataFrame:
+    """Write the shard files, by id or first by `order_col`; returns their list: part, seq, address, docs, tokens."""
     spark = docs.sparkSession
     make_folder(folder)
 
@@ -368,9 +368,10 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "i").sortWithinPartitions("i", "t")
-    return written(ordered.mapInArrow(encode, "part int, seq int, address string, docs long, tokens long"), "shards")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([F.col(order_col).alias("o")] if order_col else []))
+    first = ["o", "i"] if order_col else ["i"]
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), *first).sortWithinPartitions(*first, "t")
+    return written(ordered.select("i", "t").mapInArrow(encode, "part int, seq int, address string, docs long, tokens long"), "shards")
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:

@@ -328,6 +328,16 @@ def test_token_ids_of_null_ids(spark):
     assert [r.doc_id for r in rows] == sorted(ids, key=lambda i: (i is not None, i))
 
 
+def test_token_shards_in_training_order(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, [f"{'w ' * (i % 7)}text {i}" for i in range(60)], ["a", "b", "c"])
+    mixed = corpus_pipeline.mix_stage(spark, docs, "")
+    rows = corpus_pipeline.token_stage(spark, mixed, "").orderBy("start").collect()
+    want = sorted((p, r.doc_id) for r in mixing.mix(docs).collect() for p in r.positions)
+    assert [r.doc_id for r in rows] == [i for _, i in want] and len({i for _, i in want}) < len(want)
+
+
 def labelled(spark, seed):
     rng = random.Random(seed)
     plain = [f"word{i}" for i in range(80)]
