@@ -156,8 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, w in _chunks(batches, 0):
             t, n = np.unique(np.concatenate([w.hashes, shapes_of(w)]), return_counts=True)
-            keep = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["t", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], names=["t", "n"])
 
     top = sample.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(vocabulary).collect()
     tokens = np.sort(np.array([r.t for r in top], np.int64).view(np.uint64))

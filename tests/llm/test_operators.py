@@ -402,6 +402,13 @@ def test_quality(spark):
     assert quality.score(junk.filter("false"), None).count() == 0
 
 
+def test_quality_counts_single_words(spark):
+    docs, labels, _ = labelled(spark, 12)
+    once = docs.selectExpr("doc_id", "concat(text, ' once', doc_id) AS text")
+    model = quality.fit(once, labels)  # all words fit into the vocabulary
+    assert set(hash_words([f"once{i}" for i in range(240) if i % 3]).tolist()) <= set(model.tokens.tolist())
+
+
 def test_shard_files_in_folder(tmp_path):
     address = put(str(tmp_path), "x", [b"a", b"b"])
     assert get(address) == b"ab" and get(f"file://{address}") == b"ab"
