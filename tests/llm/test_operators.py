@@ -239,7 +239,7 @@ def test_ngram_components(spark, crowd, product):
     texts = near_texts(5)
     docs = docs_of(spark, texts).repartition(4)
     # a product of no size calls for stars
-    got = ngram_join.link_components(docs, 4, 85, 100, crowd=crowd, product_rows=product, max_stars=2).orderBy("doc_id").collect()
+    got = ngram_join.link_components(docs, 4, 85, 100, crowd=crowd, product_rows=product).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, 4, 85, 100)
 
 
@@ -267,6 +267,25 @@ def test_keep_first(spark):
     assert ngram_join.keep_first(twice).count() == 1 and ngram_join.keep_first(docs.filter("false")).count() == 0
 
 
+def test_keep_first_of_repeated_ids(spark):
+    """Rows that share an id are told apart by their text; names clash with those used inside."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, b, 1, 2), (2, a, 3, 4), (2, b, 5, 6), (2, a, 7, 8)], "doc_id long, text string, key int, nth int")
+    kept = ngram_join.keep_first(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r.text) for r in kept.collect()} == {(1, b), (2, a)} and kept.count() == 2
+
+
+def test_signatures_bound_the_difference():
+    """Two signatures, folded or not, differ in at most as many bits as the sets in n-grams."""
+    rng = np.random.default_rng(8)
+    for n, m in ((600, 590), (1025, 900), (5000, 4100), (4097, 4000)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: m - 50], rng.integers(0, 1 << 63, 50).astype(np.uint64)]))
+        a, b = (np.frombuffer(ngram_join._wide(s), np.uint64) for s in (x, y))
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)))
+        assert 0.8 * len(np.setxor1d(x, y)) <= np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(40) if i % 9] + [(rng.randint(50, 90), rng.randint(50, 90)) for _ in range(25)]
