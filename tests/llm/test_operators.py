@@ -9,6 +9,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -337,7 +338,7 @@ def test_token_ids(spark):
     assert token_ids.token_ids(docs.filter("false"), tokenizer_path()).count() == 0
     encoder = token_ids.Encoder(tokenizer_path(), limit=8)  # forgets all the time
     for x, ids in zip(texts * 2, want * 2):
-        assert encoder.encode([x or ""])[0].tolist() == ids
+        assert encoder.encode(pa.array([x or ""], pa.large_string()))[0].tolist() == ids
 
 
 def test_token_ids_of_null_ids(spark):
