@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,6 +55,36 @@ def nearest(distances: Column, how: str = "max_knn", kappa: int = 3, q: float =
     return F.when(n > 0, value).otherwise(F.lit(0.0))
 
 
+def nearest_of(d: np.ndarray, own: np.ndarray, how: str = "max_knn", kappa: int = 3, q: float = 0.25) -> np.ndarray:
+    """`nearest` inside a task: a score for each row of distances, without the place `own` where that is one."""
+    if how not in AGGREGATORS:
+        raise ValueError(f"unknown aggregator {how!r}")
+    out = own >= 0
+    n = d.shape[1] - out
+    s = d.copy()
+    s[out, own[out]] = np.inf
+    s = np.sort(s, axis=1)
+    rows = np.arange(len(s))
+    if not d.shape[1]:
+        return np.zeros(len(s))
+    first = np.maximum(1, np.minimum(kappa, n))
+    total = lambda k: np.where(np.arange(s.shape[1]) < k[:, None], s, 0.0).sum(axis=1)
+    if how == "min":
+        value = s[:, 0]
+    elif how == "mean":
+        value = total(n) / np.maximum(1, n)
+    elif how == "max_knn":
+        value = s[rows, first - 1]
+    elif how == "mean_knn":
+        value = total(first) / first
+    else:
+        place = q * np.maximum(0, n - 1)
+        low = np.floor(place).astype(np.int64)
+        a, b = s[rows, low], s[rows, np.maximum(0, np.minimum(low + 1, n - 1))]
+        value = a + (b - a) * (place - low)
+    return np.where(n > 0, value, 0.0)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))

@@ -106,8 +106,11 @@ def verdicts(events: DataFrame, constraints: DataFrame) -> DataFrame:
     """run_id, pos, cid, template, weight, state, activated, witness for every prefix."""
     first = F.first("act").over(W.partitionBy("run_id").orderBy("pos"))
     e = events.select("run_id", "pos", "act", F.lag("act").over(run_order()).alias("prev"), first.alias("first_act"))
-    grid = e.join(F.broadcast(constraints.select("cid", "template", "a", "b", "n", "weight")))
-    g = running_columns(grid, ["run_id", "cid"])
+    # the columns depend on the labels only: one grid for each pair, which the constraints on it share
+    c = constraints.select("cid", "template", F.col("a").alias("_a"), F.col("b").alias("_b"), "n", "weight")
+    pairs = constraints.select("a", "b").distinct()
+    g = running_columns(e.join(F.broadcast(pairs)), ["run_id", "a", "b"])
+    g = g.join(F.broadcast(c), F.col("a").eqNullSafe(F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")))
     return g.select("run_id", "pos", "cid", "template", "weight", F.expr(state_sql()).alias("state"), F.expr(activation_sql()).alias("activated"), F.expr(witness_sql()).alias("witness"))
 
 

@@ -5,9 +5,10 @@ reference), with no set in a row: a symbol counts when it first occurs. The
 bank is small by definition (k runs), so it is broadcast; the grid keeps the
 partitioning by run, and all distances share one sort of it.
 
-Edit distances need the whole last row of a table, so they are computed run by
-run in Arrow batches: one row for all references at once, since the row
-recurrence is a running minimum.
+Edit distances need the whole last row of a table, so they are computed in
+Arrow batches: one row of the tables of many runs against all references at
+once, since the row recurrence is a running minimum. Where only a score of the
+nearest references is wanted, it is reduced there too.
 """
 
 from __future__ import annotations
@@ -20,14 +21,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import run_order, so_far
+from ..functions.expr import nearest_of, run_order, so_far
 
-#: The largest bank that is broadcast.
+#: The largest bank that is broadcast; a larger one is an error.
 MOST_REFERENCES = 4096
+#: Cells of the tables that a task works on at once.
+MOST_CELLS = 2_000_000
 SET_DISTANCES = ("jaccard", "jaccard_prefix", "containment", "ngram2_jaccard", "ngram3_jaccard", "ngram2_jaccard_prefix", "cosine_count")
 EDIT_DISTANCES = ("dl", "dl_full", "dl_trunc")
 
 
+def bounded(bank: DataFrame) -> DataFrame:
+    """The bank, if it is small enough to broadcast."""
+    if bank.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
+        raise ValueError(f"a bank has at most {MOST_REFERENCES} references")
+    return bank
+
+
 def _grams(labels: Column, n: int) -> Column:
     """The n-gram ending at each place (null before the n-th)."""
     return F.transform(labels, lambda x, i: F.when(i >= n - 1, F.array_join(F.slice(labels, i - n + 2, F.lit(n)), "\x1f")))
@@ -59,7 +69,7 @@ def set_distances(events: DataFrame, bank: DataFrame, wanted: tuple[str, ...] =
     if "cosine_count" in wanted:
         e = e.withColumn("norm_p", F.sum(2 * F.col("old1") + 1).over(so_far()))
     counts = F.map_from_entries(F.transform(F.array_distinct("labels"), lambda x: F.struct(x, F.size(F.filter("labels", lambda y: y == x)).alias("c"))))
-    refs = bank.limit(MOST_REFERENCES).select("bank_idx", F.col("n").alias("m"), counts.alias("rc"), *[c for n in orders for c in _symbols(bank, n)])
+    refs = bounded(bank).select("bank_idx", F.col("n").alias("m"), counts.alias("rc"), *[c for n in orders for c in _symbols(bank, n)])
     refs = refs.withColumn("norm_r", F.aggregate(F.map_values("rc"), F.lit(0), lambda a, c: a + c * c))
     grid = e.join(F.broadcast(refs))
     by = W.partitionBy("run_id", "bank_idx").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -92,67 +102,103 @@ def set_distances(events: DataFrame, bank: DataFrame, wanted: tuple[str, ...] =
     return grid.select("run_id", "pos", "bank_idx", *[forms[d]().alias(d) for d in wanted])
 
 
-def edit_rows(labels: np.ndarray, refs: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Row by row of the restricted Damerau-Levenshtein tables against all references.
+def edit_rows(codes: np.ndarray, lengths: np.ndarray, refs: np.ndarray) -> Iterator[np.ndarray]:
+    """Row by row of the restricted Damerau-Levenshtein tables of many runs against all references.
 
-    refs is padded to the longest one; columns past a reference's end are set
-    to a large value in what is read off, not in the recurrence.
+    Runs (rows of codes) stand in falling order of length; row i comes for
+    those that have an event i. Padding of refs is -1, labels that no
+    reference has are -2.
     """
     k, width = refs.shape
-    steps = np.arange(width + 1)
-    before, now = None, np.tile(steps, (k, 1))
-    for i, x in enumerate(labels):
-        same = refs == x
-        base = np.empty((k, width + 1), np.int64)
-        base[:, 0] = i + 1
-        base[:, 1:] = np.minimum(now[:, 1:] + 1, now[:, :-1] + ~same)
+    steps = np.arange(width + 1, dtype=np.int32)
+    before, now = None, np.broadcast_to(steps, (len(codes), k, width + 1))
+    for i in range(codes.shape[1]):
+        n = int(np.count_nonzero(lengths > i))
+        now = now[:n]
+        same = refs == codes[:n, i, None, None]
+        base = np.empty((n, k, width + 1), np.int32)
+        base[..., 0] = i + 1
+        base[..., 1:] = np.minimum(now[..., 1:] + 1, now[..., :-1] + ~same)
         if i and width > 1:
-            swapped = same[:, :-1] & (refs[:, 1:] == labels[i - 1])
-            base[:, 2:] = np.where(swapped, np.minimum(base[:, 2:], before[:, :-2] + 1), base[:, 2:])
-        before, now = now, np.minimum.accumulate(base - steps, axis=1) + steps
+            swapped = same[..., :-1] & (refs[:, 1:] == codes[:n, i - 1, None, None])
+            np.minimum(base[..., 2:], before[:n, :, :-2] + 1, out=base[..., 2:], where=swapped)
+        before, now = now, np.minimum.accumulate(base - steps, axis=2) + steps
         yield now
 
 
-def edit_distances(traces: DataFrame, bank: DataFrame, last_only: bool = False) -> DataFrame:
-    """run_id, pos and arrays dl, dl_full, dl_trunc by bank_idx, for every prefix (or the last)."""
-    spark = traces.sparkSession
-    held = bank.orderBy("bank_idx").limit(MOST_REFERENCES).select("labels").collect()
+def _edit_values(row: np.ndarray, n: int, lengths: np.ndarray, inside: np.ndarray, wanted: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The distances (runs x references) after n events."""
+    at = np.arange(len(lengths))
+    forms = {
+        "dl": lambda: np.minimum(1.0, np.where(inside, row, 1 << 30).min(axis=2) / n), "dl_full": lambda: row[:, at, lengths] / np.maximum(n, lengths),
+        "dl_trunc": lambda: np.minimum(1.0, row[:, at, np.minimum(n, lengths)] / n),
+    }
+    return {d: forms[d]() for d in wanted}
+
+
+def _by_prefix(traces: DataFrame, bank: DataFrame, wanted: tuple[str, ...], columns: str, made, last_only: bool = False) -> DataFrame:
+    """run_id, pos and `columns`, which `made` gets from the distances of some runs and their own place in the bank."""
+    held = bounded(bank).orderBy("bank_idx").select("labels").collect()
     names = {a: n for n, a in enumerate(sorted({a for r in held for a in r.labels}))}
     lengths = np.array([len(r.labels) for r in held], np.int64)
-    refs = np.full((len(held), max(lengths, default=0)), -1, np.int64)
+    refs = np.full((len(held), max(lengths, default=0)), -1, np.int32)
     for j, r in enumerate(held):
         refs[j, : len(r.labels)] = [names[a] for a in r.labels]
-    shared = spark.sparkContext.broadcast((names, refs, lengths))
-    kind = pa.list_(pa.float64())
+    shared = traces.sparkSession.sparkContext.broadcast((names, refs, lengths))
+    outputs = [c.split(" ", 1)[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, refs, lengths = shared.value
-        k = len(lengths)
         inside = np.arange(refs.shape[1] + 1) <= lengths[:, None]
+        at_once = max(1, MOST_CELLS // max(1, inside.size))
         for b in batches:
-            for run_id, labels in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                # labels that no reference has differ from the padding and from each other
-                other: dict[str, int] = {}
-                codes = np.array([names.get(a, -2 - other.setdefault(a, len(other))) for a in labels], np.int64)
-                pos, out = [], ([], [], [])
-                for i, row in enumerate(edit_rows(codes, refs, lengths)):
-                    if last_only and i + 1 < len(codes):
-                        continue
-                    n = i + 1
-                    pos.append(i)
-                    out[0].append(np.minimum(1.0, np.where(inside, row, 1 << 30).min(axis=1) / n) if k else np.zeros(0))
-                    out[1].append(row[np.arange(k), lengths] / np.maximum(n, lengths))
-                    out[2].append(np.minimum(1.0, row[np.arange(k), np.minimum(n, lengths)] / n))
-                if pos:
-                    flat = [pa.ListArray.from_arrays(np.arange(len(pos) + 1, dtype=np.int32) * k, np.concatenate(o)) if k else pa.array([[]] * len(pos), kind) for o in out]
-                    yield pa.RecordBatch.from_arrays([pa.array([run_id] * len(pos)), pa.array(pos, pa.int32()), *flat], names=["run_id", "pos", "dl", "dl_full", "dl_trunc"])
-
-    return traces.select("run_id", "labels").mapInArrow(run, "run_id string, pos int, dl array<double>, dl_full array<double>, dl_trunc array<double>")
+            ids, own = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
+            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = b.column(1).flatten().dictionary_encode()
+            code = np.array([names.get(a, -2) for a in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+            starts = np.cumsum(size) - size
+            order = np.argsort(-size, kind="stable")
+            order = order[size[order] > 0]
+            for lo in range(0, len(order), at_once):
+                rows = order[lo : lo + at_once]
+                codes = np.full((len(rows), int(size[rows[0]])), -2, np.int32)
+                for x, r in enumerate(rows):
+                    codes[x, : size[r]] = code[starts[r] : starts[r] + size[r]]
+                found, run_no, pos = [], [], []
+                for i, table in enumerate(edit_rows(codes, size[rows], refs)):
+                    keep = np.flatnonzero(size[rows[: len(table)]] == i + 1) if last_only else np.arange(len(table))
+                    if len(keep):
+                        values = _edit_values(table[keep] if last_only else table, i + 1, lengths, inside, wanted)
+                        found.append(made(values, own[rows[keep]]))
+                        run_no.append(rows[keep])
+                        pos.append(np.full(len(keep), i, np.int32))
+                columns = [np.concatenate(c) for c in zip(*found)]
+                arrays = [pa.array(c) if c.ndim == 1 else pa.ListArray.from_arrays(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1], c.ravel()) for c in columns]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(run_no))), pa.array(np.concatenate(pos)), *arrays], names=["run_id", "pos", *outputs])
+
+    own = F.col("own") if "own" in traces.columns else F.lit(-1)
+    return traces.select("run_id", "labels", own.cast("int").alias("own")).mapInArrow(run, f"run_id string, pos int, {columns}")
+
+
+def edit_distances(traces: DataFrame, bank: DataFrame, last_only: bool = False, wanted: tuple[str, ...] = EDIT_DISTANCES) -> DataFrame:
+    """run_id, pos and an array by bank_idx of each distance wanted, for every prefix (or the last)."""
+    return _by_prefix(traces, bank, wanted, ", ".join(f"{d} array<double>" for d in wanted), lambda values, own: [values[d] for d in wanted], last_only)
+
+
+def edit_scores(traces: DataFrame, bank: DataFrame, scores: dict[str, tuple[str, str, int, float]]) -> DataFrame:
+    """run_id, pos and a column for each score: name to (distance, aggregator, kappa, q).
+
+    If `traces` has a column own, that place of the bank is left out for the run.
+    """
+    wanted = tuple(sorted({d for d, *_ in scores.values()}))
+    if unknown := set(wanted) - set(EDIT_DISTANCES):
+        raise ValueError(f"unknown distance {sorted(unknown)}")
+    return _by_prefix(traces, bank, wanted, ", ".join(f"`{n}` double" for n in scores), lambda values, own: [nearest_of(values[d], own, *how) for d, *how in scores.values()]).toDF("run_id", "pos", *scores)
 
 
 def edit_distance_fold(traces: DataFrame, bank: DataFrame) -> DataFrame:
     """Free-suffix edit distance of whole runs as a fold of built-in functions: run_id, bank_idx, dl."""
-    grid = traces.select("run_id", "labels").join(F.broadcast(bank.limit(MOST_REFERENCES).select("bank_idx", F.col("labels").alias("r"))))
+    grid = traces.select("run_id", "labels").join(F.broadcast(bounded(bank).select("bank_idx", F.col("labels").alias("r"))))
     base = """transform(sequence(0, size(r)), j -> CASE WHEN j = 0 THEN acc.i + 1 ELSE least(acc.now[j] + 1, acc.now[j - 1] + CASE WHEN r[j - 1] = x THEN 0 ELSE 1 END,
       CASE WHEN acc.i >= 1 AND j >= 2 AND r[greatest(j - 2, 0)] = x AND r[j - 1] = acc.last THEN acc.before[greatest(j - 2, 0)] + 1 ELSE 1000000000 END) END)"""
     swap = base.replace("r[greatest(j - 2, 0)] = x AND r[j - 1] = acc.last", "r[j - 1] = acc.last AND r[greatest(j - 2, 0)] = x")

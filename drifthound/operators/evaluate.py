@@ -76,10 +76,20 @@ def auc_roc(scored: DataFrame, score: str = "score", label: str = "label", keys:
 
 
 def auc_pr(scored: DataFrame, score: str = "score", label: str = "label", tie: str = "run_id", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Average precision in the order of falling score; ties in the order of `tie`."""
-    by = W.partitionBy(*keys).orderBy(F.desc(score), tie)
+    """Average precision in the order of falling score; ties in the order of `tie`.
+
+    Ranks inside a score are taken by key and score; what comes before a score
+    follows from its counts, of which a window sees one row for each score.
+    """
+    counts = scored.groupBy(*keys, score).agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
+    above = W.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*keys, score))], F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_ranked"), F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_hits"))
+    by = W.partitionBy(*keys, score).orderBy(tie)
     r = scored.withColumn("_rank", F.row_number().over(by)).withColumn("_tp", F.sum(label).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return r.groupBy(*keys).agg((F.sum(F.when(F.col(label) == 1, F.col("_tp") / F.col("_rank"))) / F.nullif(F.sum(label), F.lit(0))).alias("auc_pr"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*keys, score))]
+    r = r.join(before, same)
+    precision = (F.col("_tp") + F.col("_hits")) / (F.col("_rank") + F.col("_ranked"))
+    return r.groupBy(*keys).agg((F.sum(F.when(F.col(label) == 1, precision)) / F.nullif(F.sum(label), F.lit(0))).alias("auc_pr"))
 
 
 def mean_std(values: DataFrame, col: str, *keys: str) -> DataFrame:
@@ -93,14 +103,21 @@ def failure_rate(traces: DataFrame, *keys: str) -> DataFrame:
 
 
 def corpus_summary(events: DataFrame) -> DataFrame:
-    """Runs, tasks, successes, failures, failure rate, alphabet, upper-median lengths."""
+    """Runs, tasks, successes, failures, failure rate, alphabet, upper-median lengths.
+
+    A median is read off the counts of the lengths that occur.
+    """
     runs = events.groupBy("run_id").agg(F.count("*").alias("n"), F.first("success").alias("success"), F.first("task_id").alias("task_id"))
-    upper = lambda x: F.try_element_at(F.array_sort(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
+    sizes = F.array(*[F.struct(F.lit(w).alias("which"), when.alias("keep")) for w, when in ((0, F.lit(True)), (1, F.col("success")), (2, ~F.col("success")))])
+    counted = runs.select("n", F.inline(sizes)).filter("keep").groupBy("which", "n").agg(F.count("*").alias("c"))
+    upto = counted.select("which", "n", F.sum("c").over(W.partitionBy("which").orderBy("n")).alias("upto"), F.sum("c").over(W.partitionBy("which")).alias("all"))
+    at = lambda w: F.min(F.when((F.col("which") == w) & (F.col("upto") > F.floor(F.col("all") / 2)), F.col("n")))
+    medians = upto.agg(at(0).alias("length"), at(1).alias("length_success"), at(2).alias("length_failure"))
     labels = events.agg(F.count_distinct("act").alias("alphabet"))
     return runs.agg(
         F.count("*").alias("runs"), F.count_distinct("task_id").alias("tasks"), F.sum(F.col("success").cast("int")).alias("successes"), F.sum((~F.col("success")).cast("int")).alias("failures"),
-        F.avg(F.when(F.col("success"), 0.0).otherwise(1.0)).alias("failure_rate"), upper(F.col("n")).alias("length"), upper(F.when(F.col("success"), F.col("n"))).alias("length_success"), upper(F.when(~F.col("success"), F.col("n"))).alias("length_failure"),
-    ).crossJoin(labels)
+        F.avg(F.when(F.col("success"), 0.0).otherwise(1.0)).alias("failure_rate"),
+    ).crossJoin(medians).crossJoin(labels)  # one row each
 
 
 def per_environment(cells: DataFrame) -> DataFrame:

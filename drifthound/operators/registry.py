@@ -35,13 +35,27 @@ def list_rw(tool: Column) -> Column:
     return F.when(tool.isin(*LIST_WRITE_TOOLS), "write").otherwise("read")
 
 
+def by_tool(registry: DataFrame, with_domain: bool) -> DataFrame:
+    """The registry, if it has one row for each tool (with domains, for each tool of a domain)."""
+    keys = ["domain", "tool"] if with_domain else ["tool"]
+    if twice := registry.groupBy(*keys).count().filter("count > 1").limit(20).collect():
+        raise ValueError(f"the registry has several rows for {sorted(r.tool for r in twice)}" + ("" if with_domain else "; give calls a column domain, or choose one domain"))
+    return registry
+
+
 def with_rw(calls: DataFrame, registry: DataFrame | None = None, tool: str = "act") -> DataFrame:
-    """Adds rw: by the registry read, write or unknown (a generic tool reads)."""
+    """Adds rw: by the registry read, write or unknown (a generic tool reads).
+
+    Calls with a column domain are looked up in their own domain.
+    """
     if registry is None:
         return calls.withColumn("rw", list_rw(F.col(tool)))
-    kinds = registry.select(F.col("tool").alias("_tool"), F.when(F.col("type") == "WRITE", "write").otherwise("read").alias("_rw"))
+    own = "domain" in calls.columns
+    kinds = by_tool(registry, own).select(F.col("domain").alias("_domain"), F.col("tool").alias("_tool"), F.when(F.col("type") == "WRITE", "write").otherwise("read").alias("_rw"))
+    same = F.col(tool) == F.col("_tool")
     # a registry has some dozens of tools
-    return calls.join(F.broadcast(kinds), F.col(tool) == F.col("_tool"), "left").withColumn("rw", F.coalesce("_rw", F.lit("unknown"))).drop("_tool", "_rw")
+    met = calls.join(F.broadcast(kinds), same & (F.col("domain") == F.col("_domain")) if own else same, "left")
+    return met.withColumn("rw", F.coalesce("_rw", F.lit("unknown"))).drop("_domain", "_tool", "_rw")
 
 
 def tool_coverage(calls: DataFrame, registry: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import run_order, so_far, ratio, sigmoid
 from .baselines import bank_events, surprisal
+from .distances import bounded
 
 START = "<start>"
 
@@ -93,20 +98,37 @@ def df_legality(events: DataFrame, bank: DataFrame, leave_out: bool = False) ->
 def dfg_fitness(traces: DataFrame, bank: DataFrame) -> DataFrame:
     """Missing tokens of a replay on the bank's directly-follows graph, per event so far.
 
-    Of several marked predecessors the smallest label gives its token. A fold
-    over the labels, with the marking in a map.
+    Of several marked predecessors the smallest label gives its token. The
+    marking depends on all that came before, so runs are replayed in Arrow
+    batches, in time linear in their length.
     """
     before = F.coalesce(F.lag("act").over(W.partitionBy("ref_id").orderBy("pos")), F.lit(START))
-    edges = bank_events(bank).withColumn("a", before).groupBy("act").agg(F.array_sort(F.collect_set("a")).alias("from"))
-    # one row: predecessors of each label of the bank's alphabet
-    graph = edges.agg(F.map_from_entries(F.collect_list(F.struct("act", "from"))).alias("graph"))
-    step = """named_struct('m', map_filter(map_concat(map_filter(acc.m, (k, v) -> k <> x AND NOT k <=> src), map(x, coalesce(acc.m[x], 0) + 1 - CASE WHEN x <=> src THEN 1 ELSE 0 END),
-        CASE WHEN src IS NULL OR src = x THEN cast(map() as map<string,int>) ELSE map(src, acc.m[src] - 1) END), (k, v) -> v > 0),
-        'missing', acc.missing + CASE WHEN src IS NULL THEN 1 ELSE 0 END, 'out', concat(acc.out, array(acc.missing + CASE WHEN src IS NULL THEN 1 ELSE 0 END)))"""
-    src = "try_element_at(filter(coalesce(try_element_at(graph, x), array()), s -> coalesce(acc.m[s], 0) > 0), 1)"
-    fold = f"aggregate(labels, named_struct('m', map('{START}', 1), 'missing', 0, 'out', cast(array() as array<int>)), (acc, x) -> {step.replace('src', '(' + src + ')')}, acc -> acc.out)"
-    met = traces.select("run_id", "labels").join(F.broadcast(graph))
-    return met.select("run_id", F.posexplode(F.expr(fold)).alias("pos", "missing")).select("run_id", "pos", (F.col("missing") / (F.col("pos") + 1)).alias("score"))
+    edges = bank_events(bounded(bank)).withColumn("a", before).select("act", "a").distinct()
+    graph: dict[str, list[str]] = {}
+    for r in edges.orderBy("act", "a").collect():  # no more edges than the bank has events
+        graph.setdefault(r.act, []).append(r.a)
+    shared = traces.sparkSession.sparkContext.broadcast(graph)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = shared.value
+        for b in batches:
+            size = b.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            missing = []
+            for labels in b.column(1).to_pylist():
+                marked, lacking = {START: 1}, 0
+                for x in labels or ():
+                    source = next((s for s in graph.get(x, ()) if marked.get(s, 0) > 0), None)
+                    if source is None:
+                        lacking += 1
+                    else:
+                        marked[source] -= 1
+                    marked[x] = marked.get(x, 0) + 1
+                    missing.append(lacking)
+            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pos.astype(np.int32)), pa.array(np.array(missing, np.float64) / (pos + 1))], names=["run_id", "pos", "score"])
+
+    return traces.select("run_id", "labels").mapInArrow(replay, "run_id string, pos int, score double")
 
 
 def step_surprisal(events: DataFrame, bank: DataFrame, refs: DataFrame, alpha: float = 0.5, squash: float = 2.0) -> DataFrame:

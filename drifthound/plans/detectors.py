@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import nearest
 from ..operators import declare, distances, evaluate, mining, structure
-from ..operators.bank import ScoreConfig, draw_bank
+from ..operators.bank import ScoreConfig, draw_bank, usable
 from ..operators.baselines import counted_scores, ngram_score, random_score
 from ..sources.logs import traces_of
 
@@ -40,11 +40,8 @@ def bank_scores(events: DataFrame, traces: DataFrame, bank: DataFrame, configs:
         found = _named(wide, *wide.columns[2:])
     edit = [c for c in configs if c.distance in distances.EDIT_DISTANCES]
     if edit:
-        d = distances.edit_distances(traces, bank)
-        if leave_out:
-            rest = lambda c: F.filter(F.col(c), lambda x, i: i != F.col("_own")).alias(c)
-            d = d.join(F.broadcast(own), "run_id").select("run_id", "pos", *[rest(c) for c in distances.EDIT_DISTANCES])
-        wide = d.select("run_id", "pos", *[score(c, F.col(c.distance)) for c in edit])
+        asked = traces.join(F.broadcast(own.withColumnRenamed("_own", "own")), "run_id") if leave_out else traces
+        wide = distances.edit_scores(asked, bank, {c.label(): (c.distance, c.aggregator, c.kappa, c.q) for c in edit})
         rows = _named(wide, *wide.columns[2:])
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -125,15 +122,29 @@ def sweep_light(events: DataFrame, k: int = 16, seed: int = 0, quantiles: tuple[
     return out
 
 
-def sweep_all(logs: dict[str, DataFrame], seeds: range = range(10), sizes: tuple[int, ...] = SIZES, **options) -> DataFrame:
-    """The sweep over sources, seeds and bank sizes: metrics by (source, k, detector, q, w, seed)."""
-    out = None
+def sweep_all(logs: dict[str, DataFrame], folder: str, seeds: range = range(10), sizes: tuple[int, ...] = SIZES, **options) -> tuple[DataFrame, dict[tuple, str]]:
+    """The sweep over sources, seeds and bank sizes, in `folder`: metrics by (source, k, detector, q, w, seed), and why draws were skipped.
+
+    A draw is skipped that has fewer references than k, or runs of one class
+    only. Each draw is a job of its own whose rows are written, so that no plan
+    grows with their number.
+    """
+    skipped = {}
+    spark = next(iter(logs.values())).sparkSession
+    schema = None
     for source, events in logs.items():
+        traces = traces_of(events)
         for k in sizes:
             for seed in seeds:
+                bank = draw_bank(traces, k, seed)
+                rest = traces.join(F.broadcast(bank.select(F.col("ref_id").alias("run_id"))), "run_id", "left_anti")
+                if why := usable(rest, bank, k):
+                    skipped[source, k, seed] = why
+                    continue
                 part = sweep(events, k, seed, **options).select(F.lit(source).alias("source"), F.lit(k).alias("k"), F.lit(seed).alias("seed"), "*")
-                out = part if out is None else out.unionByName(part)
-    return out
+                part.write.mode("append").parquet(folder)
+                schema = part.schema
+    return (spark.read.schema(schema).parquet(folder) if schema else spark.createDataFrame([], "source string, k int, seed int")), skipped
 
 
 BASELINES = {

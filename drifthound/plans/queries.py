@@ -108,7 +108,7 @@ def set_distance(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edit_distance(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     _, traces, bank = _session(spark, sf_dir)
-    return distances.edit_distances(traces, bank).select("run_id", "pos", *_stats(F.col(name)))
+    return distances.edit_distances(traces, bank, wanted=(name,)).select("run_id", "pos", *_stats(F.col(name)))
 
 
 def edit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def edit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: third-nearest edit distance to the bank at every prefix."""
     _, traces, bank = _session(spark, sf_dir)
-    return distances.edit_distances(traces, bank).select("run_id", "pos", F.round(nearest(F.col("dl"), "max_knn", 3), 6).alias("score"))
+    return _round(distances.edit_scores(traces, bank, {"score": ("dl", "max_knn", 3, 0.25)}), "score")
 
 
 def _jaccard(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -146,7 +146,7 @@ def knn_per_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_empty_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix scores 0 against a bank without runs."""
     events, traces, bank = _session(spark, sf_dir)
-    return distances.edit_distances(traces, bank.filter("false")).select("run_id", "pos", nearest(F.col("dl"), "max_knn", 3).alias("score"))
+    return distances.edit_scores(traces, bank.filter("false"), {"score": ("dl", "max_knn", 3, 0.25)})
 
 
 def _model(spark: SparkSession) -> DataFrame:
@@ -336,7 +336,11 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live scores of each user's events, read as a stream; the bank is drawn from whole users."""
     log_ = session_log(spark, sf_dir, gap_hours=1_000_000)
     bank = banks.draw_bank(traces_of(log_))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.distances import bounded
+
 OUTPUT = "run_id string, pos int, act string, edit_knn double, return_rate double, edge_novelty double, step_count double, late long"
 
 
@@ -96,9 +98,9 @@ class RunScorer(StatefulProcessor):
         pass
 
 
-def score_stream(events: DataFrame, bank: DataFrame, kappa: int = 3, most: int = 4096, expire_ms: int | None = None) -> DataFrame:
+def score_stream(events: DataFrame, bank: DataFrame, kappa: int = 3, expire_ms: int | None = None) -> DataFrame:
     """Streaming rows (run_id, ts, event_id, act) to scores; `bank` is a batch table of few runs."""
-    labels = [r.labels for r in bank.orderBy("bank_idx").limit(most).select("labels").collect()]
+    labels = [r.labels for r in bounded(bank).orderBy("bank_idx").select("labels").collect()]
     return events.groupBy("run_id").transformWithStateInPandas(RunScorer(labels, kappa, expire_ms), outputStructType=OUTPUT, outputMode="append", timeMode="None" if expire_ms is None else "ProcessingTime")
 
 

@@ -1,10 +1,12 @@
 """Operators against independent plain-Python definitions on small random runs."""
 
+import itertools
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from drifthound.functions.expr import nearest, upper_rank
 from drifthound.operators import bank as banks
@@ -142,6 +144,70 @@ def test_absorbing_states(spark):
         before[k] = row.state
 
 
+def seen(t, a, b, n, l):
+    """(witnessed, activated) by a prefix, from its places of a and b."""
+    ia, ib = [i for i, x in enumerate(l) if x == a], [i for i, x in enumerate(l) if x == b]
+    before, next_to = any(i < j for i in ia for j in ib), any(i + 1 in ib for i in ia)
+    chain = t.startswith("chain_")
+    witnessed = {"init": l[0] == a, "existence": len(ia) >= (n or 1), "coexistence": bool(ia and ib)}.get(t, t in declare.WITNESSABLE and (next_to if chain else before))
+    source = ("existence", "absence", "exactly", "response", "alternate_response", "chain_response", "not_succession", "not_chain_succession")
+    target = ("precedence", "alternate_precedence", "chain_precedence")
+    return witnessed, True if t in ("init", "end") else bool(ia) if t in source else bool(ib) if t in target else bool(ia or ib)
+
+
+def test_verdicts_of_every_prefix(spark):
+    """Four values from what a finished run is: satisfied now, and by some or all of its continuations."""
+    texts = ["".join(x) for n in range(1, 5) for x in itertools.product("abx", repeat=n)]
+    more = ["".join(x) for n in range(4) for x in itertools.product("abx", repeat=n)]
+    cons = [(t, "a", None if t in declare.UNARY else "b", 2 if t in declare.COUNTING else None) for t in declare.TEMPLATES]
+    out = declare.verdicts(events_of(spark, {x: list(x) for x in texts}), declare.model(spark, cons)).collect()
+    assert len(out) == len(cons) * sum(map(len, texts))
+    want = {}
+    for x in texts:
+        for c in cons:
+            now, later = batch(*c, list(x)), [batch(*c, list(x + y)) for y in more]
+            want[x, c] = (3 if all(later) else 2) if now else (1 if any(later) else 0), *seen(*c, list(x))
+    for row in out:
+        c, x = cons[row.cid], row.run_id[: row.pos + 1]
+        assert (row.state, row.witness, row.activated) == want[x, c], (c, x)
+
+
+def test_verdicts_share_columns_of_a_pair(spark):
+    """Constraints on one pair, in any order and with others between them, are judged alone."""
+    runs = events_of(spark, runs_of(21, 15))
+    cons = [("response", "a", "b", None), ("init", "b", None, None), ("precedence", "a", "b", None), ("response", "b", "a", None), ("response", "a", "a", None), ("init", "a", None, None)]
+    both = {(r.run_id, r.pos, r.cid): r.state for r in declare.verdicts(runs, declare.model(spark, cons)).collect()}
+    for i, c in enumerate(cons):
+        alone = declare.verdicts(runs, declare.model(spark, [c])).collect()
+        assert alone and all(both[r.run_id, r.pos, i] == r.state for r in alone)
+
+
+def test_edit_scores_reduce_distances(spark):
+    """Scores reduced in the tasks are those of the distances, with and without a run's own place."""
+    runs, refs = runs_of(14, 30, "abcd", 12), runs_of(15, 7, "abce")
+    how = {f"{d}-{h}": (d, h, 3, 0.25) for d in distances.EDIT_DISTANCES for h in ("min", "max_knn", "mean_knn", "quantile", "mean")}
+    bank = bank_of(spark, refs)
+    for own in (False, True):
+        t = traces_of(spark, runs)
+        if own:
+            t = t.withColumn("own", F.crc32("run_id") % 8 - 1)
+        left = {r.run_id: r.own if own else -1 for r in t.collect()}
+        got = {(r.run_id, r.pos): r for r in distances.edit_scores(t, bank, how).collect()}
+        for r in distances.edit_distances(t, bank).collect():
+            for name, (d, h, k, q) in how.items():
+                s = sorted(x for i, x in enumerate(r[d]) if i != left[r.run_id])
+                want = {"min": s[0], "max_knn": s[2], "mean_knn": np.mean(s[:3]), "quantile": np.quantile(s, 0.25), "mean": np.mean(s)}[h]
+                assert got[r.run_id, r.pos][name] == pytest.approx(want)
+
+
+def test_large_banks_are_refused(spark):
+    bank = spark.range(distances.MOST_REFERENCES + 1).selectExpr("cast(id as string) ref_id", "cast(id as int) bank_idx", "array('a') labels", "1 n", "'t' task_id")
+    runs = runs_of(3, 2)
+    for f in (lambda: distances.edit_distances(traces_of(spark, runs), bank), lambda: distances.set_distances(events_of(spark, runs), bank), lambda: structure.dfg_fitness(traces_of(spark, runs), bank)):
+        with pytest.raises(ValueError):
+            f()
+
+
 def test_mining_supports(spark):
     runs = runs_of(7, 12, "abc", 5)
     mined = {(r.template, r.a, r.b, r.n): r for r in mining.mine(events_of(spark, runs), cumulative=True).collect()}

@@ -88,3 +88,15 @@ def test_simulations(spark, tmp_path):
     path.write_text(json.dumps(data))
     r = runs.read_simulations(spark, str(path), "airline", "m")
     assert r.first().run_id == "m:airline:t7:r2" and P.project(P.explode_messages_of(r), "object").first().act == "respond"
+
+
+def test_registry_of_several_domains(spark):
+    """A tool that several domains have is looked up in the call's own domain, or refused."""
+    kinds = registry.registry_of(spark, [(d, "transfer_to_human_agents", "agent", "GENERIC") for d in ("x", "y", "z")] + [("x", "move", "agent", "WRITE"), ("y", "move", "agent", "READ")])
+    calls = '[{"id": "1", "name": "%s", "arguments": "{}", "requestor": "assistant"}]'
+    rows = [("r", 0, "assistant", None, calls % "transfer_to_human_agents", None, None, None, "y"), ("s", 0, "assistant", None, calls % "move", None, None, None, "x"), ("t", 0, "assistant", None, calls % "move", None, None, None, "y")]
+    messages = spark.createDataFrame(rows, "run_id string, idx int, role string, content string, tool_calls string, tool_call_id string, id string, error boolean, domain string")
+    out = {r.run_id: (r.rw, r.terminal) for r in P.project(messages, "object", kinds).collect()}
+    assert out == {"r": ("read", True), "s": ("write", False), "t": ("read", False)}
+    with pytest.raises(ValueError):
+        P.project(messages.drop("domain"), "object", kinds)
