@@ -182,7 +182,9 @@ def signature_distances(v: DataFrame, bank_v: DataFrame, kind: str = "state", mo
     """
     if mode not in ("prefix", "full"):
         raise ValueError(f"unknown mode {mode!r}")
-    symbols = lambda df, *k: df.groupBy(*k).agg(F.sort_array(F.collect_list(F.when(F.expr(SIGNATURES[kind]), F.struct("cid", (F.col("state") if kind == "state" else F.lit(0)).alias("s"))))).alias("s"))
+    # a symbol as one number: arrays of numbers are intersected by hashing
+    symbol = F.col("cid").cast("long") * 4 + (F.col("state") if kind == "state" else F.lit(0))
+    symbols = lambda df, *k: df.groupBy(*k).agg(F.collect_list(F.when(F.expr(SIGNATURES[kind]), symbol)).alias("s"))
     theirs = symbols(bank_v, "bank_idx", "pos")
     ends = theirs.groupBy("bank_idx").agg(F.max("pos").alias("last"))
     mine = symbols(v, "run_id", "pos").join(F.broadcast(ends))
