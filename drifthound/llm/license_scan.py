@@ -17,6 +17,8 @@ empty result; no other column is read.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,7 +60,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     # a few hundred rows at most, whatever the input
     grams = F.broadcast(spark.createDataFrame(template_grams(phrases, templates), "t int, label string, base boolean, n int, j int, a string, b string, c string").withColumn("h", F.xxhash64("a", "b", "c")))
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(ALNUM_WORD), F.lit(0))
+    words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), ascii_uppercase, ascii_lowercase), F.lit(ALNUM_WORD), F.lit(0))
     read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_text"), words.alias("w"))
     zipped = F.arrays_zip(F.col("w").alias("x"), F.expr("slice(w, 2, size(w))").alias("y"), F.expr("slice(w, 3, size(w))").alias("z"))
     rolled = read.select("_id", "_text", F.posexplode(zipped).alias("i", "g")).select("_id", "_text", "i", F.col("g.x").alias("x"), F.col("g.y").alias("y"), F.col("g.z").alias("z"))

@@ -101,7 +101,7 @@ def _sql_rows(rows: list[tuple]) -> str:
 
 OP5_SQL = rf"""
 WITH g(t, label, base, n, j, a, b, c) AS (VALUES {_sql_rows(template_grams(PHRASES, TEMPLATES))}),
-w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 r AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w),
 v AS (SELECT doc_id, t, label, base, n, i - 1 - j AS d, j FROM r JOIN g ON w[i] = a AND w[i + 1] = b AND w[i + 2] = c),
 m AS (SELECT doc_id, t, label, base, n, d, bit_or(CAST(1 AS BIGINT) << j) AS mask FROM v GROUP BY ALL),

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Queries whose first products with a lane of candidates are held at once.
+QUERY_BLOCK = 256
 SCHEMA = "query_no long, query_id long, vec_id long, score long"
 
 
@@ -74,10 +76,12 @@ def _search(best: list[_Best], qids: np.ndarray, q: np.ndarray, qrest: np.ndarra
     layout = np.ascontiguousarray(c.T)  # one row per dimension
     exact = np.abs(q).max(initial=0).astype(float) * np.abs(c).max(initial=0) * q.shape[1] < 2**52
     kind = np.float64 if exact else np.int64
-    first = q[:, : slices[1]].astype(kind) @ layout[: slices[1]].astype(kind)
+    head = layout[: slices[1]].astype(kind)
     for n in range(len(q)):
+        if n % QUERY_BLOCK == 0:  # first products of a few queries at once: their size doesn't grow with the chunk
+            first = q[n : n + QUERY_BLOCK, : slices[1]].astype(kind) @ head
         alive = np.flatnonzero(cids != qids[n])
-        part = first[n, alive].astype(np.int64)
+        part = first[n % QUERY_BLOCK, alive].astype(np.int64)
         for s in range(1, len(slices) - 1):
             if (least := best[n].least) is not None:
                 keep = part + qrest[s, n] * crest[s, alive] >= least

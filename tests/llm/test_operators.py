@@ -116,6 +116,13 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs_of(spark, ["x"]).filter("false")).count() == 0
 
 
+def test_license_scan_lowers_ascii_only(spark):
+    """A letter outside A-Z that Unicode lowers to one of them is another letter."""
+    docs = docs_of(spark, ["Under The MIT License", "under the m\u0130t license", "x \u212a y"])
+    rows = license_scan.scan_licenses(docs, phrases=(("other", "x k y"), *license_scan.PHRASES)).orderBy("doc_id").collect()
+    assert [r.n_base for r in rows] == [1, 0, 0]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [[float(x) for x in v] for v in rng.normal(0, 0.3, (150, 20)).astype(np.float32)]
@@ -322,6 +329,19 @@ def test_wavelet_matrix():
             assert m.occurrences(int(ids[0])) == np.flatnonzero(ids == ids[0]).tolist()
 
 
+def test_encoder_of_odd_texts():
+    """Cut, composed and forgotten pieces give the tokenizer's own ids."""
+    rng = random.Random(4)
+    bits = ["a", "b", "Zed", "\u00e9", "\u6f22", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "'s", "'", "$$$", "...", ",", "!?", "12", "<|x", "|", "don't", "x" * 80]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    encoder = token_ids.Encoder(tokenizer_path(), limit=300)
+    for lo in range(0, len(texts), 250):
+        part = texts[lo : lo + 250]
+        ids, lengths = encoder.encode(pa.array(part, pa.large_string()))
+        got = np.split(ids, np.cumsum(lengths)[:-1])
+        assert [g.tolist() for g in got] == [[*e.ids, 2] for e in encoder.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+
 def test_token_ids(spark):
     from tokenizers import Tokenizer
 
