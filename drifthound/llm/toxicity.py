@@ -184,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
     n1, n0 = (sum(r.n for r in words if r.label == c) for c in (1, 0))
     model = Model(e_value=e_value)
     if not n1 or not n0:
+        sample.unpersist()
         return model
     share = (F.col("y1") + F.col("y0")) / float(n1 + n0) * prior
     # a prefix that all words have leaves nothing for the others
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
     scored = _counts(sample).filter(F.col("y1") >= least_count).select("token", "y1", "y0", (odds("y1", n1) - odds("y0", n0)).alias("s"), F.sqrt(1 / (F.col("y1") + share) + 1 / (F.col("y0") + share)).alias("e"))
     top = scored.withColumn("sure", F.col("s") - errors * F.col("e")).filter(F.col("sure") > least_odds).orderBy(F.desc("sure"), "token").limit(listed).collect()
     if not top:
+        sample.unpersist()
         return model
     hashes, s = np.array([r.token for r in top], np.int64).view(np.uint64), np.array([r.s for r in top])
     order = np.argsort(hashes)
