@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, prefix_sums
+from .common import SPACE_WORD, prefix_sums, unused
 
 WEIGHTS = (3, 1, 2)
 SLOPES = (-0.8, 0.0, 0.8)
@@ -90,10 +90,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Positions are found on narrow rows; the texts are shuffled once to meet
     them, and once by position.
     """
-    key = F.xxhash64(id_col, text_col)
-    nth = F.row_number().over(W.partitionBy("__key").orderBy("__key"))  # repeated rows meet one by one
-    narrow = mix(docs.select(id_col, text_col, source_col, key.alias("__key")), id_col, text_col, source_col, carry=("__key",), **options)
-    places = narrow.filter(F.size("positions") > 0).select("__key", "positions").withColumn("__nth", nth)
-    rows = docs.withColumn("__key", key).withColumn("__nth", nth)
-    placed = rows.join(places, ["__key", "__nth"]).withColumn("__position", F.explode("positions"))
-    return placed.orderBy("__position", id_col).select(*docs.columns, *([F.col("__position").alias(position_col)] if position_col else []))
+    key, nth, places, place = unused(docs, "mix_key", "mix_nth", "mix_places", "mix_place")
+    hashed = F.xxhash64(id_col, text_col)
+    number = F.row_number().over(W.partitionBy(key).orderBy(key))  # repeated rows meet one by one
+    narrow = mix(docs.select(id_col, text_col, source_col, hashed.alias(key)), id_col, text_col, source_col, carry=(key,), **options)
+    taken = narrow.filter(F.size("positions") > 0).select(key, F.col("positions").alias(places)).withColumn(nth, number)
+    rows = docs.withColumn(key, hashed).withColumn(nth, number)
+    placed = rows.join(taken, [key, nth]).withColumn(place, F.explode(places))
+    return placed.orderBy(place, id_col).select(*docs.columns, *([F.col(place).alias(position_col)] if position_col else []))

@@ -99,6 +99,13 @@ def test_mixing(spark):
     assert mixing.mix(twice).count() == 2 * len(texts)
 
 
+def test_mixed_documents_keep_clashing_columns(spark):
+    rows = [(i, f"w{i} " * (i + 1), "s", i * 10, "p", 7) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key int, positions string, mix_place int")
+    out = mixing.mix_documents(docs, position_col="at")
+    assert out.columns == [*docs.columns, "at"] and {tuple(r)[:-1] for r in out.collect()} <= set(rows)
+
+
 def test_license_scan(spark):
     texts = ODD + ["Released UNDER the (MIT) License. under the mit license", "CC-BY NC 4.0", "cc by", "Apache License, version 2", "All rights reserved", "licensed under the gnu general public license version 3 or so",
                    "permission is hereby granted free of charge to every person obtaining a copy of this software and all associated documentation files"]
