@@ -114,6 +114,7 @@ def sweep_light(events: DataFrame, k: int = 16, seed: int = 0, quantiles: tuple[
     runs = traces.filter("n >= 3").select("run_id", "success").join(F.broadcast(bank.select(F.col("ref_id").alias("run_id"))), "run_id", "left_anti")
     scores = bank_scores(events.join(runs.select("run_id"), "run_id", "left_semi"), traces, bank, configs)
     loo = bank_scores(structure.as_events(bank), traces, bank, configs, leave_out=True)
+    scores, loo = (df.withColumn("score", F.round("score", 9)) for df in (scores, loo))
     out = None
     for q in quantiles:
         found = evaluate.threshold(evaluate.peaks(loo, 3, ("detector",)), q, ("detector",))

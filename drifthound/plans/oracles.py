@@ -243,14 +243,19 @@ def mined(where: str = "true", log_: str = SESSION, cumulative: bool = False) ->
     return sql(f"SELECT template, a, b, n, {_STAT} FROM mn WHERE {where}", log_, _BANKRUNS, *_mined("br", cumulative=cumulative))
 
 
-DISCRIMINATIVE = sql("""SELECT side, template, a, b, n, round(support, 6) AS support, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY side ORDER BY round(weight, 9) DESC, template, a, b NULLS FIRST, n NULLS FIRST) AS INTEGER) AS rank FROM (
-  SELECT CASE WHEN sp >= 0.1 AND sp - sm >= 0.02 THEN 'plus' WHEN sm >= 0.1 AND sm - sp >= 0.02 AND template IN ('init', 'existence', 'response', 'precedence', 'succession', 'alternate_response', 'alternate_precedence', 'chain_response', 'chain_precedence', 'chain_succession', 'coexistence') THEN 'minus' END AS side,
-    template, a, b, n, CASE WHEN sp >= 0.1 AND sp - sm >= 0.02 THEN sp ELSE sm END AS support, abs(sp - sm) AS weight
+def discriminative(delta: str = "0.2", support: str = "0.6", top_k: int = 200, log_: str = SESSION) -> str:
+    return sql(f"""SELECT side, template, a, b, n, round(support, 6) AS support, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY side ORDER BY round(weight, 9) DESC, template, a, b NULLS FIRST, n NULLS FIRST) AS INTEGER) AS rank FROM (
+  SELECT CASE WHEN sp >= {support} AND sp - sm >= {delta} THEN 'plus' WHEN sm >= {support} AND sm - sp >= {delta} AND template IN ('init', 'existence', 'response', 'precedence', 'succession', 'alternate_response', 'alternate_precedence', 'chain_response', 'chain_precedence', 'chain_succession', 'coexistence') THEN 'minus' END AS side,
+    template, a, b, n, CASE WHEN sp >= {support} AND sp - sm >= {delta} THEN sp ELSE sm END AS support, abs(sp - sm) AS weight
   FROM (SELECT coalesce(p.template, m.template) AS template, coalesce(p.a, m.a) AS a, coalesce(p.b, m.b) AS b, coalesce(p.n, m.n) AS n, coalesce(p.support, 0) AS sp, coalesce(m.support, 0) AS sm
     FROM (SELECT * FROM mnp WHERE template NOT IN ('succession', 'chain_succession', 'not_coexistence', 'end', 'choice')) p FULL JOIN (SELECT * FROM mnm WHERE template NOT IN ('succession', 'chain_succession', 'not_coexistence', 'end', 'choice')) m
-    ON p.template = m.template AND p.a = m.a AND p.b IS NOT DISTINCT FROM m.b AND p.n IS NOT DISTINCT FROM m.n)) WHERE side IS NOT NULL""", SESSION,
-    "rp AS MATERIALIZED (SELECT run_id, labels AS l FROM tr WHERE success AND n >= 3)", "rm AS MATERIALIZED (SELECT run_id, labels AS l FROM tr WHERE NOT success AND n >= 3)", *_mined("rp", "p"), *_mined("rm", "m"))
-CENSUS = sql("SELECT template, count(*) AS \"constraints\", CAST(count(*) AS DOUBLE) AS weight FROM mn WHERE support >= 0.3 AND template NOT IN ('succession', 'chain_succession', 'not_coexistence', 'end', 'choice', 'existence', 'absence', 'exactly', 'init') GROUP BY template", SESSION, _BANKRUNS, *_mined("br", cumulative=True))
+    ON p.template = m.template AND p.a = m.a AND p.b IS NOT DISTINCT FROM m.b AND p.n IS NOT DISTINCT FROM m.n)) WHERE side IS NOT NULL QUALIFY rank <= {top_k}""", log_,
+        "rp AS MATERIALIZED (SELECT run_id, labels AS l FROM tr WHERE success AND n >= 3)", "rm AS MATERIALIZED (SELECT run_id, labels AS l FROM tr WHERE NOT success AND n >= 3)", *_mined("rp", "p"), *_mined("rm", "m"))
+
+
+def census(support: float, log_: str = SESSION) -> str:
+    return sql(f"SELECT template, count(*) AS \"constraints\", CAST(count(*) AS DOUBLE) AS weight FROM mn WHERE support >= {support} AND template NOT IN ('succession', 'chain_succession', 'not_coexistence', 'end', 'choice', 'existence', 'absence', 'exactly', 'init') GROUP BY template", log_, _BANKRUNS, *_mined("br", cumulative=True))
+
 
 # ---- calibration and evaluation, on third-nearest Jaccard
 _EVAL = (*_JAC, "sc AS MATERIALIZED (SELECT run_id, pos, round(list_sort(list(d))[3], 9) AS score FROM jc WHERE run_id NOT IN (SELECT ref_id FROM bank) AND run_id IN (SELECT run_id FROM tr WHERE n >= 3) GROUP BY run_id, pos)",
@@ -264,12 +269,44 @@ DECISIONS = sql("SELECT run_id, step IS NOT NULL AS fired, CAST(step AS INTEGER)
 METRICS = sql("""SELECT tp, fp, pos, neg, runs, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / nullif(p + r, 0), 6) AS f1, round(fp / nullif(neg, 0), 6) AS fpr, round((tp + fp) / runs, 6) AS flag_rate, round(ef, 6) AS earliness_frac, round(es, 6) AS earliness_step
   FROM (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(pos, 0) AS r FROM (SELECT count(*) FILTER (step IS NOT NULL AND NOT success) AS tp, count(*) FILTER (step IS NOT NULL AND success) AS fp, count(*) FILTER (NOT success) AS pos, count(*) FILTER (success) AS neg, count(*) AS runs,
     avg(step / n) FILTER (NOT success) AS ef, avg(step) FILTER (NOT success) AS es FROM dl2))""", SESSION, *_EVAL)
+CALIBRATED = sql("SELECT round(list_sort(list(peak))[1 + CAST(least(count(*) - 1, ceil(0.9::DOUBLE * (count(*) - 1))) AS BIGINT)], 6) AS threshold FROM (SELECT run_id, max(score) AS peak FROM sc JOIN tr USING (run_id) WHERE success AND pos >= 2 GROUP BY run_id)", SESSION, *_EVAL)
 ROC = sql("""SELECT round((sum(r) FILTER (NOT success) - count(*) FILTER (NOT success) * (count(*) FILTER (NOT success) + 1) / 2) / (count(*) FILTER (NOT success) * count(*) FILTER (success)), 6) AS auc_roc
   FROM (SELECT *, rank() OVER (ORDER BY peak) + (count(*) OVER (PARTITION BY peak) - 1) / 2 AS r FROM dl2)""", SESSION, *_EVAL)
 PR = sql("""SELECT round(sum(CASE WHEN NOT success THEN tp / k END) / count(*) FILTER (NOT success), 6) AS auc_pr FROM (SELECT success, row_number() OVER w AS k, sum(CAST(NOT success AS INTEGER)) OVER (ORDER BY peak DESC, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp FROM dl2 WINDOW w AS (ORDER BY peak DESC, run_id))""", SESSION, *_EVAL)
 FAILURES = sql("SELECT round(avg(CASE WHEN success THEN 0 ELSE 1 END), 6) AS failure_rate FROM tr")
 SUMMARY = "SELECT count(*) AS runs, count(DISTINCT task_id) AS tasks, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, round(avg(CASE WHEN success THEN 0 ELSE 1 END), 6) AS failure_rate, list_sort(list(n))[1 + count(*) // 2] AS length, list_sort(list(n) FILTER (success))[1 + count(*) FILTER (success) // 2] AS length_success, list_sort(list(n) FILTER (NOT success))[1 + count(*) FILTER (NOT success) // 2] AS length_failure, (SELECT count(DISTINCT act) FROM ev) AS alphabet FROM tr"
 
+
+# ---- reports over the cells of a small sweep: two logs, two bank sizes, two Jaccard detectors, two quantiles
+def _cell(log_: str, k: int) -> str:
+    every = "unnest(['jac/max@3', 'jac/min']) AS detector, unnest([round(list_sort(list(d))[3], 9), round(min(d), 9)]) AS score"
+    body = """SELECT detector, q, p AS precision, r AS recall, 2 * p * r / nullif(p + r, 0) AS f1, (tp + fp) / runs AS flag_rate, ef AS earliness_frac
+      FROM (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(bad, 0) AS r FROM (SELECT detector, q, count(*) FILTER (step IS NOT NULL AND NOT success) AS tp, count(*) FILTER (step IS NOT NULL AND success) AS fp,
+        count(*) FILTER (NOT success) AS bad, count(*) AS runs, avg(step / dc.n) FILTER (NOT success) AS ef FROM dc JOIN tr USING (run_id) GROUP BY detector, q))"""
+    ctes = (
+        *_JAC, f"sc AS MATERIALIZED (SELECT run_id, pos, {every} FROM jc WHERE run_id NOT IN (SELECT ref_id FROM bank) AND run_id IN (SELECT run_id FROM tr WHERE n >= 3) GROUP BY run_id, pos)",
+        f"lo AS (SELECT j.run_id, pos, {every} FROM jc j JOIN bank b ON b.ref_id = j.run_id WHERE j.bank_idx <> b.bank_idx GROUP BY j.run_id, pos)",
+        "pk AS (SELECT detector, run_id, max(score) AS peak FROM lo WHERE pos >= 2 GROUP BY ALL)",
+        "th AS MATERIALIZED (SELECT detector, q, list_sort(list(peak))[1 + CAST(least(count(*) - 1, ceil(q * (count(*) - 1))) AS BIGINT)] AS threshold FROM pk, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE]) AS q) GROUP BY detector, q)",
+        "ov AS (SELECT sc.*, q, score > threshold AND pos + 1 >= 3 AS over FROM sc JOIN th USING (detector))",
+        "o2 AS (SELECT *, over AND coalesce(lag(over) OVER (PARTITION BY detector, q, run_id ORDER BY pos), false) AS fires FROM ov)",
+        "dc AS MATERIALIZED (SELECT detector, q, run_id, min(CASE WHEN fires THEN pos + 1 END) AS step, max(pos) + 1 AS n FROM o2 GROUP BY ALL)",
+    )
+    return sql(body, log_, *ctes).replace("LIMIT 16", f"LIMIT {k}")
+
+
+def report(body: str) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS environment, {k} AS k, * FROM ({_cell(log_, k)})" for name, log_ in (("session", SESSION), ("order", ORDER)) for k in (16, 32))
+    return f"""WITH cells AS MATERIALIZED ({parts}),
+pe AS (SELECT detector, environment, avg(coalesce(f1, 0)) AS f1, avg(earliness_frac) AS earliness_frac, avg(flag_rate) AS flag_rate FROM cells GROUP BY ALL)
+{body}"""
+
+
+ENVIRONMENTS = report("SELECT detector, environment, round(f1, 6) AS f1, round(earliness_frac, 6) AS earliness_frac, round(flag_rate, 6) AS flag_rate FROM pe")
+REPORT_SUMMARY = report("SELECT detector, round(avg(f1), 6) AS mean, round(coalesce(stddev_samp(f1), 0) / sqrt(count(f1)), 6) AS sem FROM pe GROUP BY detector")
+BEST_SETTING = report("SELECT detector, k, q, round(f1, 6) AS f1 FROM (SELECT detector, k, q, avg(coalesce(f1, 0)) AS f1 FROM cells GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY detector ORDER BY round(f1, 9) DESC, k, q) = 1")
+REPETITIONS = report("SELECT detector, q, round(avg(recall), 6) AS mean, round(coalesce(stddev_samp(recall), 0), 6) AS std FROM cells GROUP BY detector, q")
+
 # ---- projection: messages made from sessions
 def projected(granularity: str, family: str) -> str:
     err = "CASE WHEN act <> 'error' THEN CASE WHEN status = 'empty' THEN 'empty' ELSE 'ok' END WHEN status = 'policy' THEN 'policy' ELSE 'notfound' END"

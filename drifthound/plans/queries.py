@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -12,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import nearest
 from ..operators import bank as banks
-from ..operators import baselines, declare, distances, evaluate, mining, projection, registry, structure
+from ..operators import baselines, declare, distances, evaluate, mining, projection, structure
 from ..sources.logs import conversation_log, order_log, session_log, traces_of
+from ..sources.runs import shared_folder, write_results
 from ..streaming import scoring
-from . import detectors, oracles
+from . import detectors, oracles, records
+from .records import projected, tool_coverage
 
 LOGS = {"session": session_log, "order": order_log, "conversation": conversation_log}
 #: Label pairs of the session log that the constraint queries use.
@@ -65,16 +65,16 @@ def split_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counted(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(baselines.counted_scores(session_log(spark, sf_dir)).select("run_id", "pos", F.col(name).alias("score")), "score")
+    return _round(detectors.BASELINES[name](session_log(spark, sf_dir), None), "score")
 
 
 def ngram(order: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     events, _, bank = _session(spark, sf_dir)
-    return _round(baselines.ngram_score(events, bank, order), "score")
+    return _round(detectors.BASELINES[f"ngram{order}"](events, bank), "score")
 
 
 def random_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(baselines.random_score(session_log(spark, sf_dir)), "score")
+    return _round(detectors.BASELINES["random"](session_log(spark, sf_dir), None), "score")
 
 
 def walk(col: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,9 +204,9 @@ def mined_families(kinds: tuple[str, ...], spark: SparkSession, sf_dir: str) ->
     return mined(spark, sf_dir, templates=kinds)
 
 
-def discriminative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = session_log(spark, sf_dir).filter("n >= 3")
-    chosen = mining.select_discriminative(mining.mine(e.filter("success")), mining.mine(e.filter("NOT success")), min_delta=0.02, min_support=0.1, top_k=100_000)
+def discriminative(spark: SparkSession, sf_dir: str, which: str = "session", **options) -> DataFrame:
+    e = LOGS[which](spark, sf_dir).filter("n >= 3")
+    chosen = mining.select_discriminative(mining.mine(e.filter("success")), mining.mine(e.filter("NOT success")), **options)
     return _round(chosen, "support", "weight").select("side", *mining.KEY, "support", "weight", "rank")
 
 
@@ -215,6 +215,12 @@ def model_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declare.census(detectors.bank_model(bank, 0.3))
 
 
+def bank_model(which: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep's model as its default makes it: what every run of the bank satisfies."""
+    model = detectors.bank_model(banks.draw_bank(traces_of(LOGS[which](spark, sf_dir))).cache())
+    return declare.census(_model(spark).filter("false") if model is None else model)
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Third-nearest Jaccard scores of evaluated runs, and what is made of them."""
     d, traces, bank = _jaccard(spark, sf_dir)
@@ -240,6 +246,14 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_judged(spark, sf_dir)["decisions"], "frac", "peak")
 
 
+def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold of third-nearest Jaccard that a tenth of the trusted runs' peaks exceeds at most."""
+    d, traces, bank = _jaccard(spark, sf_dir)
+    trusted = traces.filter("n >= 3").join(F.broadcast(bank.select(F.col("ref_id").alias("run_id"))), "run_id", "left_anti")
+    scores = d.groupBy("run_id", "pos").agg(F.round(nearest(F.collect_list("d"), "max_knn", 3), 9).alias("score"))
+    return _round(evaluate.calibrate(scores, trusted), "threshold")
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _judged(spark, sf_dir)
     return _round(evaluate.metrics(j["decisions"], j["runs"]), *evaluate.METRICS)
@@ -287,61 +301,24 @@ def best_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluate.best_setting(_cells(spark, sf_dir)), "f1")
 
 
-def repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(evaluate.mean_std(_cells(spark, sf_dir), "recall", "detector", "q"), "mean", "std")
-
-
-def session_messages(spark: SparkSession, sf_dir: str, family: str = "list") -> DataFrame:
-    """Message logs that the session log would have come from, in either record shape.
-
-    Each event is a call and its result; a sign-up is announced first; a user
-    ends the run. In the object shape, views are the user's own calls.
-    """
-    e = session_log(spark, sf_dir)
-    call_id = F.concat(F.lit("c"), "pos")
-    args = F.to_json(F.struct(F.col("args_hash").alias("h")))
-    body = F.when(F.col("act") == "error", F.when(F.col("status") == "policy", "Error: this cannot be done").otherwise("Error: user not found")).when(F.col("status") == "empty", "[]").otherwise("done")
-    if family == "list":
-        calls = F.to_json(F.array(F.struct(call_id.alias("id"), F.struct(F.col("act").alias("name"), args.alias("arguments")).alias("function"))))
-    else:
-        calls = F.to_json(F.array(F.struct(call_id.alias("id"), F.col("act").alias("name"), args.alias("arguments"), F.when(F.col("act") == "view", "user").otherwise("assistant").alias("requestor"))))
-    message = lambda order, role, content=F.lit(None), tool_calls=F.lit(None), of=F.lit(None), error=F.lit(None): F.struct(
-        order.alias("idx"), role.alias("role"), content.cast("string").alias("content"), tool_calls.cast("string").alias("tool_calls"), (of if family == "list" else F.lit(None)).cast("string").alias("tool_call_id"),
-        (of if family == "object" else F.lit(None)).cast("string").alias("id"), error.cast("boolean").alias("error"))
-    actor = F.when(F.col("act") == "view", "user").otherwise("assistant") if family == "object" else F.lit("assistant")
-    at = F.col("pos") * 4
-    rows = F.array(
-        F.when(F.col("pos") == 0, message(at, F.lit("system"), F.lit("policy"))), F.when(F.col("act") == "signup", message(at + 1, F.lit("assistant"), F.lit("welcome"))),
-        message(at + 2, actor, tool_calls=calls), message(at + 3, F.lit("tool"), body, of=call_id, error=(F.col("act") == "error") if family == "object" else F.lit(None)),
-        F.when(F.col("pos") == F.col("n") - 1, message(at + 4, F.lit("user"), F.lit("bye ###STOP###"))))
-    return e.select("run_id", F.inline(F.filter(rows, lambda m: m.isNotNull())))
-
-
-def session_registry(spark: SparkSession) -> DataFrame:
-    return registry.registry_of(spark, [("shop", "purchase", "agent", "WRITE"), ("shop", "signup", "agent", "WRITE"), ("shop", "click", "agent", "READ"), ("shop", "view", "user", "GENERIC")])
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined constraints as a nested result file, one object a template, written and read back."""
+    place = shared_folder(spark, "results")
+    found = mined(spark, sf_dir)
+    write_results(evaluate.nested_results(mining.ordered_output(found), "template"), place)
+    cells = f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in found.schema if f.name != 'template')}>>"
+    return spark.read.schema(f"template string, cells {cells}").json(place).select("template", F.inline("cells"))
 
 
-def projected(granularity: str, family: str, matching: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = session_messages(spark, sf_dir, family)
-    events = projection.project(messages, family, session_registry(spark) if family == "object" else None, matching)
-    return projection.relabel(events, granularity).select("run_id", "pos", "act")
-
-
-def tool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = projection.project(session_messages(spark, sf_dir, "object"), "object", session_registry(spark), "id")
-    return registry.audit(events.filter(F.col("kind").isin("tool", "user_tool")).select(F.col("act").alias("tool"), "error"), session_registry(spark))
+def repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluate.mean_std(_cells(spark, sf_dir), "recall", "detector", "q"), "mean", "std")
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live scores of each user's events, read as a stream; the bank is drawn from whole users."""
     log_ = session_log(spark, sf_dir, gap_hours=1_000_000)
     bank = banks.draw_bank(traces_of(log_))
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = arriving.select(F.concat("user_id", F.lit(":1")).alias("run_id"), "ts", "event_id", F.col("event_type").alias("act"))
@@ -377,11 +354,16 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         "mine_all": (partial(mined, support=0.3, confidence=0.5), o.mined("support >= 0.3 AND confidence >= 0.5")),
         "mine_compat": (partial(mined, interest=1.0, compat=True), o.mined("interest >= 1.0")),
         "mine_cumulative": (partial(mined, cumulative=True), o.mined(cumulative=True)), "mine_orders": (partial(mined, which="order", support=0.3, cumulative=True), o.mined("support >= 0.3", o.ORDER, True)),
-        "mine_discriminative": (discriminative, o.DISCRIMINATIVE), "mine_model_census": (model_census, o.CENSUS),
+        "mine_discriminative": (partial(discriminative, min_delta=0.02, min_support=0.1, top_k=100_000), o.discriminative("0.02", "0.1", 100_000)),
+        **{f"mine_discriminative_{w}": (partial(discriminative, which=w), o.discriminative(log_=t)) for w, t in (("session", o.SESSION), ("conversation", o.TALK))},
+        "mine_model_census": (model_census, o.census(0.3)), **{f"mine_model_{w}": (partial(bank_model, w), o.census(1.0, t)) for w, t in (("session", o.SESSION), ("conversation", o.TALK))},
         "eval_loo_peaks": (loo_peaks, o.PEAKS), "eval_threshold": (loo_threshold, o.THRESHOLD), "eval_decisions": (decisions, o.DECISIONS), "eval_metrics": (metrics, o.METRICS),
         "eval_auc_roc": (roc, o.ROC), "eval_auc_pr": (pr, o.PR), "eval_failure_rate": (failures, o.FAILURES),
         **{f"summary_{n}": (partial(summary, n), o.sql(o.SUMMARY, t)) for n, t in (("session", o.SESSION), ("order", o.ORDER), ("conversation", o.TALK))},
-        "sweep_session": (sweep, None), "report_environments": (environments, None), "report_summary": (environment_summary, None), "report_best_setting": (best_settings, None), "report_repetitions": (repetitions, None),
+        "sweep_session": (sweep, None), "report_environments": (environments, o.ENVIRONMENTS), "report_summary": (environment_summary, o.REPORT_SUMMARY), "report_best_setting": (best_settings, o.BEST_SETTING), "report_repetitions": (repetitions, o.REPETITIONS),
+        "report_nested": (nested, o.mined()), "eval_calibrated": (calibrated, o.CALIBRATED),
+        **{f"records_{f}": (partial(records.record_runs, f), records.record_runs_sql(f)) for f in records.READERS}, **{f"records_{f}_traces": (partial(records.record_traces, f), records.record_traces_sql(f)) for f in records.READERS},
+        "records_catalogue": (records.record_catalogue, records.RECORD_CATALOGUE), **{f"project_{f}_odd": (partial(records.projected_odd, f), records.projected_odd_sql(f)) for f in records.READERS},
         **{f"project_list_{g}": (partial(projected, g, "list", "fifo" if g == "status" else "id"), o.projected(g, "list")) for g in projection.GRANULARITIES},
         **{f"project_object_{g}": (partial(projected, g, "object", "fifo" if g == "rw_status" else "id"), o.projected(g, "object")) for g in projection.GRANULARITIES},
         "registry_coverage": (tool_coverage, o.COVERAGE), "stream_scores": (stream_scores, o.STREAM),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,16 @@ EVENT = "struct<act:string,pos:int,ts:double,attr:struct<raw:string,kind:string,
 TRACE = f"run_id string, task_id string, trial int, reward double, domain string, model string, instruction string, meta map<string,string>, events array<{EVENT}>"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: under spark.checkpoint.dir, in local mode also elsewhere."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def catalogue(spark: SparkSession, rows: list[tuple[str, str, str, str, str]], chosen: str = "all") -> DataFrame:
     """Data sets (source, family, path, domain, model), all or those of one family."""
     df = spark.createDataFrame(rows, "source string, family string, path string, domain string, model string")
