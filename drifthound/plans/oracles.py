@@ -327,5 +327,9 @@ def projected(granularity: str, family: str) -> str:
 
 
 COVERAGE = sql("SELECT act AS tool, count(*) AS calls, count(*) FILTER (act <> 'error') AS ok, count(*) FILTER (act = 'error') AS err, act <> 'error' AS known, act = 'error' AS hallucinated FROM ev GROUP BY act")
-STREAM = sql(f"SELECT run_id, pos, edit_knn, round(return_rate, 6) AS return_rate FROM (SELECT run_id, CAST(i - 1 AS INTEGER) AS pos, round(list_sort(list(least(1, list_min(cur) / i)))[3], 6) AS edit_knn FROM dl WHERE i > 0 GROUP BY run_id, i) JOIN wf USING (run_id, pos)",
-    SESSION.replace("24 HOUR", "1000000 HOUR"), _DL, *_walk("ev", ""))
+_LIVE = {  # each score of the stream, as the same score of whole runs says it
+    "edit_knn": (FLAGSHIP, "score"), "jaccard_knn": (set_distance("jaccard"), "d_max3"), "jaccard_prefix_knn": (set_distance("jaccard_prefix"), "d_max3"), "containment_min": (set_distance("containment"), "d_min"),
+    **{n: (walk(n), "score") for n in ("return_rate", "edge_novelty")}, **{n: (profile(n), "score") for n in ("cycle_absz", "edge_absz")}, "df_legality": (LEGALITY, "score"), "graph_progress": (PROGRESS, "score"),
+    **{n: (counted(n), "score") for n in COUNTED},
+}
+STREAM = ("SELECT run_id, pos, " + ", ".join(f"round({n}, 6) AS {n}" for n in _LIVE) + " FROM " + " JOIN ".join(f"(SELECT run_id, pos, {c} AS {n} FROM ({body})){' USING (run_id, pos)' if i else ''}" for i, (n, (body, c)) in enumerate(_LIVE.items()))).replace("24 HOUR", "1000000 HOUR")

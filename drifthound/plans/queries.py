@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import nearest
 from ..operators import bank as banks
 from ..operators import baselines, declare, distances, evaluate, mining, projection, structure
-from ..sources.logs import conversation_log, order_log, session_log, traces_of
+from ..sources.logs import conversation_log, hash_of, order_log, session_log, status_of, traces_of
 from ..sources.runs import shared_folder, write_results
 from ..streaming import scoring
 from . import detectors, oracles, records
@@ -321,9 +321,10 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = arriving.select(F.concat("user_id", F.lit(":1")).alias("run_id"), "ts", "event_id", F.col("event_type").alias("act"))
+    error = F.col("event_type") == "error"
+    rows = arriving.select(F.concat("user_id", F.lit(":1")).alias("run_id"), "ts", "event_id", F.col("event_type").alias("act"), error.alias("error"), status_of(error).alias("status"), hash_of().alias("args_hash"))
     scoring.run_once(scoring.score_stream(rows, bank), f"{place}/scores", f"{place}/state")
-    return _round(spark.read.parquet(f"{place}/scores").select("run_id", "pos", "edit_knn", "return_rate"), "edit_knn", "return_rate")
+    return _round(spark.read.parquet(f"{place}/scores").select("run_id", "pos", *scoring.SCORES), *scoring.SCORES)
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:

@@ -6,7 +6,7 @@ n (events of the run), success.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,6 +22,15 @@ def _finished(events: DataFrame, good) -> DataFrame:
     ).select(*COLUMNS)
 
 
+def status_of(error: Column) -> Column:
+    """Status of an activity by its value."""
+    return F.when(error & (F.col("value") < 5), "policy").when(error, "err").when(F.col("value") < 2, "empty").otherwise("ok")
+
+
+def hash_of() -> Column:
+    return F.md5(F.concat_ws("|", "event_type", "props").cast("binary"))
+
+
 def session_log(spark: SparkSession, sf_dir: str, gap_hours: int = 24) -> DataFrame:
     """The activity of each user, cut at gaps of more than `gap_hours`."""
     by = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -33,8 +42,7 @@ def session_log(spark: SparkSession, sf_dir: str, gap_hours: int = 24) -> DataFr
     rows = e.select(
         F.concat_ws(":", "user_id", "sid").alias("run_id"), F.struct("ts", "event_id").alias("_o"), F.col("event_type").alias("act"), F.col("user_id").cast("string").alias("task_id"),
         F.lit("tool").alias("kind"), error.alias("error"),
-        F.when(error & (F.col("value") < 5), "policy").when(error, "err").when(F.col("value") < 2, "empty").otherwise("ok").alias("status"),
-        F.md5(F.concat_ws("|", "event_type", "props").cast("binary")).alias("args_hash"),
+        status_of(error).alias("status"), hash_of().alias("args_hash"),
     )
     return _finished(rows, lambda last: last != "error")
 

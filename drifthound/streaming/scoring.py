@@ -10,23 +10,45 @@ long after a run's last event; without it a query may stop when all is read.
 
 from __future__ import annotations
 
+import copy
 import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.distances import bounded
 
-OUTPUT = "run_id string, pos int, act string, edit_knn double, return_rate double, edge_novelty double, step_count double, late long"
+#: Scores of each event, in the order of the output's columns.
+SCORES = ("edit_knn", "jaccard_knn", "jaccard_prefix_knn", "containment_min", "return_rate", "edge_novelty", "cycle_absz", "edge_absz", "df_legality", "graph_progress", "step_count", "error_rate", "error_count", "repeat_rate", "empty_rate", "policy_count")
+OUTPUT = "run_id string, pos int, act string, " + "".join(f"{c} double, " for c in SCORES) + "late long"
+START = {"n": 0, "last": None, "now": None, "before": None, "left": [], "edges": [], "back": 0, "seen": [], "strange": 0, "hashes": [], "error": 0, "again": 0, "empty": 0, "policy": 0, "at": None, "late": 0}
+
+
+def _walk(s: dict, act: str) -> tuple[float, float]:
+    """Return rate and edge novelty with one more label."""
+    if s["last"] is not None:
+        if act != s["last"] and s["last"] not in s["left"]:
+            s["left"].append(s["last"])
+        if [s["last"], act] not in s["edges"]:
+            s["edges"].append([s["last"], act])
+    s["back"] += act in s["left"]
+    s["n"], s["last"] = s["n"] + 1, act
+    return s["back"] / s["n"], len(s["edges"]) / (s["n"] - 1) if s["n"] > 1 else 0.0
+
+
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 class RunScorer(StatefulProcessor):
-    """Edit distance to the bank (kappa-th nearest) and the walk features of each run."""
+    """Distances to the bank (kappa-th nearest, or least), walk features and their profiles, and counts of each run."""
 
     def __init__(self, bank: list[list[str]], kappa: int = 3, expire_ms: int | None = None, step_cap: int = 60) -> None:
         self.bank, self.kappa, self.expire_ms, self.step_cap = bank, kappa, expire_ms, step_cap
@@ -40,6 +62,28 @@ class RunScorer(StatefulProcessor):
         for j, r in enumerate(self.bank):
             self.refs[j, : len(r)] = [self.names[a] for a in r]
 
+        self.known = {(a, b) for r in self.bank for a, b in zip(r, r[1:])}
+        places: dict[str, list[int]] = {}
+        walks: list[list[tuple[float, float]]] = []
+        for r in self.bank:
+            s = copy.deepcopy(START)
+            for i, a in enumerate(r):
+                places.setdefault(a, []).append(i + 1)
+                if i == len(walks):
+                    walks.append([])
+                walks[i].append(_walk(s, a))
+        self.mean_place = {a: sum(p) / len(p) for a, p in places.items()}
+        self.profile = [(np.mean(w, axis=0), np.maximum(np.std(w, axis=0, ddof=1) if len(w) > 1 else np.zeros(2), 1e-6)) for w in walks]
+
+    def _sets(self, seen: set[str], n: int) -> tuple[float, float, float]:
+        """Jaccard distance to whole references and to their first n labels, and containment."""
+        if not self.bank:
+            return 0.0, 0.0, 0.0
+        whole, cut = [set(r) for r in self.bank], [set(r[:n]) for r in self.bank]
+        at = min(self.kappa, len(self.bank)) - 1
+        near = lambda refs: sorted(1 - len(seen & r) / len(seen | r) for r in refs)[at]
+        return near(whole), near(cut), min(1 - len(seen & r) / len(seen) for r in whole)
+
     def _edit(self, s: dict, act: str) -> float:
         """One more row of each table."""
         k, width = self.refs.shape
@@ -63,7 +107,7 @@ class RunScorer(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get()
-        s = json.loads(held[0]) if held is not None else {"n": 0, "last": None, "now": None, "before": None, "left": [], "edges": [], "back": 0, "at": None, "late": 0}
+        s = json.loads(held[0]) if held is not None else copy.deepcopy(START)
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
         out = []
         for e in events.itertuples():
@@ -73,15 +117,25 @@ class RunScorer(StatefulProcessor):
                 continue
             s["at"] = at
             knn = self._edit(s, e.act)
-            if s["last"] is not None:
-                if e.act != s["last"] and s["last"] not in s["left"]:
-                    s["left"].append(s["last"])
-                if [s["last"], e.act] not in s["edges"]:
-                    s["edges"].append([s["last"], e.act])
-            s["back"] += e.act in s["left"]
-            s["n"], s["last"] = s["n"] + 1, e.act
+            s["strange"] += s["last"] is not None and (s["last"], e.act) not in self.known
+            walk = _walk(s, e.act)
             n = s["n"]
-            out.append((key[0], n - 1, e.act, knn, s["back"] / n, len(s["edges"]) / (n - 1) if n > 1 else 0.0, min(1.0, n / self.step_cap), s["late"]))
+            if e.act not in s["seen"]:
+                s["seen"].append(e.act)
+            profile = (0.0, 0.0)
+            if self.profile:
+                mean, sd = self.profile[min(n, len(self.profile)) - 1]
+                profile = tuple(_sigmoid(abs(v - m) / d - 1) for v, m, d in zip(walk, mean, sd))
+            progress = _sigmoid((n - self.mean_place[e.act]) / 5) if e.act in self.mean_place else 0.5
+            s["error"] += pd.notna(e.error) and bool(e.error)
+            if pd.notna(e.args_hash):
+                s["again"] += e.args_hash in s["hashes"]
+                if e.args_hash not in s["hashes"]:
+                    s["hashes"].append(e.args_hash)
+            s["empty"] += e.status == "empty"
+            s["policy"] += e.status in ("policy", "invalid")
+            counts = (min(1.0, n / self.step_cap), s["error"] / n, min(1.0, s["error"] / 5), s["again"] / n, s["empty"] / n, min(1.0, s["policy"] / 2))
+            out.append((key[0], n - 1, e.act, knn, *self._sets(set(s["seen"]), n), *walk, *profile, s["strange"] / (n - 1) if n > 1 else 0.0, progress, *counts, s["late"]))
         self.state.update((json.dumps(s), s["n"]))
         if self.expire_ms is not None:
             for t in list(self.handle.listTimers()):
@@ -99,7 +153,12 @@ class RunScorer(StatefulProcessor):
 
 
 def score_stream(events: DataFrame, bank: DataFrame, kappa: int = 3, expire_ms: int | None = None) -> DataFrame:
-    """Streaming rows (run_id, ts, event_id, act) to scores; `bank` is a batch table of few runs."""
+    """Streaming rows (run_id, ts, event_id, act, error, status, args_hash) to scores; `bank` is a batch table of few runs.
+
+    Columns error, status and args_hash may be missing: no event is then an error, empty, refused or a repeat.
+    """
+    given = events.columns
+    events = events.withColumns({c: F.lit(None).cast(t) for c, t in (("error", "boolean"), ("status", "string"), ("args_hash", "string")) if c not in given})
     labels = [r.labels for r in bounded(bank).orderBy("bank_idx").select("labels").collect()]
     return events.groupBy("run_id").transformWithStateInPandas(RunScorer(labels, kappa, expire_ms), outputStructType=OUTPUT, outputMode="append", timeMode="None" if expire_ms is None else "ProcessingTime")
 

@@ -291,3 +291,34 @@ def test_bank_edits_and_names(spark):
     assert banks.remove_from_bank(b, "x").count() == 1
     assert banks.ScoreConfig().label() == "dl/max_knn@3" and banks.ScoreConfig("jaccard", "min").label() == "jaccard/min"
     assert baselines.random_score(events_of(spark, {"r": ["a", "b"]})).select("score").distinct().count() == 1
+
+
+def test_live_scores_without_attributes(spark, tmp_path):
+    """Rows without error, status and args_hash: nothing counts as an error or a repeat; the other scores are those of whole runs."""
+    from drifthound.streaming import scoring
+
+    runs, refs = runs_of(11, 6, "abcd"), runs_of(12, 4, "abce")
+    rows = [(r, i, i, a) for r, l in runs.items() for i, a in enumerate(l)]
+    spark.createDataFrame(rows, "run_id string, ts long, event_id long, act string").selectExpr("run_id", "timestamp_seconds(ts) AS ts", "event_id", "act").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("run_id string, ts timestamp, event_id long, act string").parquet(str(tmp_path / "in"))
+    scoring.run_once(scoring.score_stream(stream, bank_of(spark, refs)), str(tmp_path / "out"), str(tmp_path / "state"))
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(out) == len(rows) and all(r.error_rate == r.repeat_rate == r.empty_rate == r.policy_count == 0 for r in out)
+    sets = [set(r) for r in refs.values()]
+    edges = {e for r in refs.values() for e in zip(r, r[1:])}
+    for r in out:
+        p = runs[r.run_id][: r.pos + 1]
+        assert r.jaccard_knn == pytest.approx(sorted(1 - len(set(p) & s) / len(set(p) | s) for s in sets)[2])
+        assert r.df_legality == pytest.approx(sum(e not in edges for e in zip(p, p[1:])) / max(1, len(p) - 1))
+
+
+def test_sweep_of_several_draws(spark, tmp_path):
+    """Each draw's cells are written; a draw without enough good runs, or of one class, is skipped and says why."""
+    from drifthound.plans import detectors
+
+    events = events_of(spark, runs_of(13, 30, "abcd", 9))
+    mixed = events.withColumn("success", F.substring("run_id", 2, 9).cast("int") % 3 != 0)
+    cells, skipped = detectors.sweep_all({"mixed": mixed, "good": events}, str(tmp_path / "cells"), seeds=range(1), sizes=(4, 64), support=0.5, quantiles=(0.9,))
+    assert set(skipped) == {("mixed", 64, 0), ("good", 4, 0), ("good", 64, 0)} and "class" in skipped["good", 4, 0]
+    found = cells.select("source", "k", "seed", "detector", "w").distinct().collect()
+    assert {(r.source, r.k, r.seed) for r in found} == {("mixed", 4, 0)} and {r.detector for r in found} <= set(detectors.SWEPT) and len({r.detector for r in found}) >= 16
