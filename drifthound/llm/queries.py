@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality, toxicity
+from .bpe import decode_ids, encode_texts
 from .common import id_crc, table
 from .decontam import find_contamination
+from .dialogue_trie import conversation_trie
+from .hard_negatives import hard_negatives
 from .license_scan import PHRASES, TEMPLATES, scan_licenses, template_grams
 from .mixing import SLOPES, mix
 from .ngram_join import link_components
@@ -208,6 +211,70 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: Prefixes as whole lists of turns; crc32 as in OP4_SQL.
+OP11_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+r AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ' ' || role || text)) - 1 AS pos FROM r),
+h AS (SELECT c, c - c % 100 AS b,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, x: xor(a >> 8, tbl[(xor(a, x) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 6 AS h FROM (SELECT DISTINCT c FROM t), crc),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, role, text FROM (
+    SELECT h.c, 0 AS part, pos, role, text FROM h JOIN t ON t.c = b AND pos < h
+    UNION ALL SELECT h.c, 1, pos, role, text FROM h JOIN t ON t.c = h.c AND pos >= h)),
+p AS (SELECT c, d, text, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS k FROM q
+    UNION ALL SELECT c, 0, '', [] FROM h),
+n AS MATERIALIZED (SELECT d, k, min(c) AS id, count(*) AS n, length(any_value(text)) AS chars FROM p GROUP BY d, k),
+m AS MATERIALIZED (SELECT p.c, p.d, n.id, max(p.d) OVER (PARTITION BY p.c) AS last FROM p JOIN n ON p.d = n.d AND p.k = n.k),
+a AS (SELECT n.id, n.d, n.n, n.chars, u.id AS parent FROM n LEFT JOIN m u ON u.c = n.id AND u.d = n.d - 1),
+x AS (SELECT parent AS id, d - 1 AS d, count(*) AS kids FROM a WHERE d > 0 GROUP BY ALL),
+v AS (SELECT a.*, coalesce(kids, 0) AS kids FROM a LEFT JOIN x USING (id, d)),
+s AS (SELECT u.id, u.d, count(*) FILTER (v.kids = 0) AS leaves, sum((v.n - 1) * v.chars) AS saved FROM v JOIN m u ON u.c = v.id AND u.d <= v.d GROUP BY ALL),
+e AS (SELECT id, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM m WHERE d = last GROUP BY ALL)
+SELECT v.id AS conv_id, CAST(v.d AS BIGINT) AS depth, v.parent AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN s USING (id, d) LEFT JOIN e USING (id, d)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.v) = len(c.v)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op13_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    read = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxic_segments": op1_toxic_segments,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -219,5 +286,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_network": op9_quality_network,
     "op10_token_ids": op10_token_ids,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_bpe_transducer": op13_bpe_transducer,
+}
+ORACLES: dict[str, str] = {
+    "op2_warc_round_trip": OP2_SQL,
+    "op3_decontaminate": OP3_SQL,
+    "op4_shard_by_bytes": OP4_SQL,
+    "op5_license_diagonals": OP5_SQL,
+    "op6_ngram_components": OP6_SQL,
+    "op7_exact_top_k": OP7_SQL,
+    "op8_mix_sources": OP8_SQL,
+    "op11_conversation_trie": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
-ORACLES: dict[str, str] = {"op2_warc_round_trip": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_shard_by_bytes": OP4_SQL, "op5_license_diagonals": OP5_SQL, "op6_ngram_components": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op8_mix_sources": OP8_SQL}
