@@ -55,17 +55,20 @@ def nearest(distances: Column, how: str = "max_knn", kappa: int = 3, q: float =
     return F.when(n > 0, value).otherwise(F.lit(0.0))
 
 
-def nearest_of(d: np.ndarray, own: np.ndarray, how: str = "max_knn", kappa: int = 3, q: float = 0.25) -> np.ndarray:
-    """`nearest` inside a task: a score for each row of distances, without the place `own` where that is one."""
-    if how not in AGGREGATORS:
-        raise ValueError(f"unknown aggregator {how!r}")
+def without_own(d: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of distances in rising order, and how many count in each: the place `own`, where that is one, does not."""
     out = own >= 0
-    n = d.shape[1] - out
     s = d.copy()
     s[out, own[out]] = np.inf
-    s = np.sort(s, axis=1)
+    return np.sort(s, axis=1), d.shape[1] - out
+
+
+def nearest_sorted(s: np.ndarray, n: np.ndarray, how: str = "max_knn", kappa: int = 3, q: float = 0.25) -> np.ndarray:
+    """`nearest` inside a task: a score for each row of sorted distances, of which the first n count."""
+    if how not in AGGREGATORS:
+        raise ValueError(f"unknown aggregator {how!r}")
     rows = np.arange(len(s))
-    if not d.shape[1]:
+    if not s.shape[1]:
         return np.zeros(len(s))
     first = np.maximum(1, np.minimum(kappa, n))
     total = lambda k: np.where(np.arange(s.shape[1]) < k[:, None], s, 0.0).sum(axis=1)
@@ -85,6 +88,11 @@ def nearest_of(d: np.ndarray, own: np.ndarray, how: str = "max_knn", kappa: int
     return np.where(n > 0, value, 0.0)
 
 
+def nearest_of(d: np.ndarray, own: np.ndarray, how: str = "max_knn", kappa: int = 3, q: float = 0.25) -> np.ndarray:
+    """`nearest` inside a task: a score for each row of distances, without the place `own` where that is one."""
+    return nearest_sorted(*without_own(d, own), how, kappa, q)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))

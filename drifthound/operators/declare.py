@@ -10,6 +10,8 @@ for good.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -174,24 +176,63 @@ def scores(events: DataFrame, positive: DataFrame | None = None, negative: DataF
     return grid.select("run_id", "pos", *[forms[f]().alias(f) for f in wanted])
 
 
+def packed(v: DataFrame, *keys: str, kind: str = "state") -> DataFrame:
+    """keys, lo, hi: of each prefix two rows of bits, constraint by constraint, in arrays of 64-bit words.
+
+    For kind `state` the two bits of a constraint are its verdict; for the
+    other kinds lo says whether the constraint is in the signature. `v` is
+    partitioned by run, so neither step moves rows.
+    """
+    bit = F.expr("shiftleft(1L, cast(cid % 64 AS int))")
+    marked = (F.col("state") % 2 == 1) if kind == "state" else F.expr(SIGNATURES[kind])
+    second = (F.col("state") >= 2) if kind == "state" else F.lit(False)
+    either = lambda x: F.bit_or(F.when(x, bit).otherwise(F.lit(0).cast("long")))
+    words = v.groupBy(*keys, F.floor(F.col("cid") / 64).alias("_w")).agg(either(marked).alias("lo"), either(second).alias("hi"))
+    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_w", "lo", "hi"))).alias("_x"))
+    return rows.select(*keys, F.transform("_x", lambda x: x["lo"]).alias("lo"), F.transform("_x", lambda x: x["hi"]).alias("hi"))
+
+
+def _bits(words: int, one: Callable[[Column], Column], upto: int = 32) -> Column:
+    """Set bits of `one` summed over the words: a plain sum of few, else a fold."""
+    if words <= upto:
+        total = F.lit(0)
+        for w in range(words):
+            total = total + F.bit_count(one(F.lit(w)))
+        return total
+    return F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda acc, w: acc + F.bit_count(one(w)))
+
+
+def packed_distance(words: int, kind: str = "state", mask: str | None = None) -> Column:
+    """Jaccard distance of the signatures in lo, hi and those in _lo, _hi, over the constraints of `mask` (an array like lo)."""
+    get = lambda c, w: F.get(F.col(c), w)
+    kept = (lambda x, w: x.bitwiseAND(get(mask, w))) if mask else (lambda x, w: x)
+    if kind == "state":
+        # every constraint has one symbol, so those that differ count twice in the union; bits past the last constraint are equal
+        differ = _bits(words, lambda w: kept(get("lo", w).bitwiseXOR(get("_lo", w)).bitwiseOR(get("hi", w).bitwiseXOR(get("_hi", w))), w))
+        both = F.col("_size") - differ
+        return F.when(F.col("_size") > 0, 1 - both / (F.col("_size") + differ)).otherwise(F.lit(0.0))
+    both = _bits(words, lambda w: kept(get("lo", w).bitwiseAND(get("_lo", w)), w))
+    union = _bits(words, lambda w: kept(get("lo", w).bitwiseOR(get("_lo", w)), w))
+    return F.when(union > 0, 1 - both / union).otherwise(F.lit(0.0))
+
+
 def signature_distances(v: DataFrame, bank_v: DataFrame, kind: str = "state", mode: str = "prefix") -> DataFrame:
     """run_id, pos, bank_idx, d: Jaccard distance of each prefix's symbols to each reference's.
 
     `bank_v` has the verdicts of the references with bank_idx in place of
     run_id. In prefix mode a reference stands at the same step, or its last.
+    Signatures are rows of bits, so a pair of them is compared word by word.
     """
     if mode not in ("prefix", "full"):
         raise ValueError(f"unknown mode {mode!r}")
-    # a symbol as one number: arrays of numbers are intersected by hashing
-    symbol = F.col("cid").cast("long") * 4 + (F.col("state") if kind == "state" else F.lit(0))
-    symbols = lambda df, *k: df.groupBy(*k).agg(F.collect_list(F.when(F.expr(SIGNATURES[kind]), symbol)).alias("s"))
-    theirs = symbols(bank_v, "bank_idx", "pos")
+    if kind not in SIGNATURES:
+        raise ValueError(f"unknown signature {kind!r}")
+    theirs = packed(bank_v, "bank_idx", "pos", kind=kind)
+    size, words = bank_v.agg(F.count_distinct("cid"), F.count_distinct(F.floor(F.col("cid") / 64))).first()
     ends = theirs.groupBy("bank_idx").agg(F.max("pos").alias("last"))
-    mine = symbols(v, "run_id", "pos").join(F.broadcast(ends))
+    mine = packed(v, "run_id", "pos", kind=kind).join(F.broadcast(ends))
     at = F.least("pos", "last") if mode == "prefix" else F.col("last")
-    t = theirs.select(F.col("bank_idx").alias("_b"), F.col("pos").alias("_p"), F.col("s").alias("t"))
+    t = theirs.select(F.col("bank_idx").alias("_b"), F.col("pos").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     # references times their steps: as small as the bank
-    met = mine.join(F.broadcast(t), (F.col("bank_idx") == F.col("_b")) & (at == F.col("_p")))
-    both = F.size(F.array_intersect("s", "t"))
-    union = F.size("s") + F.size("t") - both
-    return met.select("run_id", "pos", "bank_idx", F.when(union > 0, 1 - both / union).otherwise(F.lit(0.0)).alias("d"))
+    met = mine.join(F.broadcast(t), (F.col("bank_idx") == F.col("_b")) & (at == F.col("_p"))).withColumn("_size", F.lit(size))
+    return met.select("run_id", "pos", "bank_idx", packed_distance(words, kind).alias("d"))

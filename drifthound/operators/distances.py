@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import nearest_of, run_order, so_far
+from ..functions.expr import nearest_of, nearest_sorted, run_order, so_far, without_own
 
 #: The largest bank that is broadcast; a larger one is an error.
 MOST_REFERENCES = 4096
@@ -196,6 +196,120 @@ def edit_scores(traces: DataFrame, bank: DataFrame, scores: dict[str, tuple[str,
     return _by_prefix(traces, bank, wanted, ", ".join(f"`{n}` double" for n in scores), lambda values, own: [nearest_of(values[d], own, *how) for d, *how in scores.values()]).toDF("run_id", "pos", *scores)
 
 
+class SetRows:
+    """Set distances of many runs to all references, prefix by prefix: what enters the two sets at each place.
+
+    `refs` as in `edit_rows`; codes of labels that no reference has follow
+    those of the references.
+    """
+
+    def __init__(self, refs: np.ndarray, labels: int) -> None:
+        k, width = refs.shape
+        self.refs = refs
+        self.first = np.zeros((k, labels), np.int32)  # place from 1 of each label's first occurrence, 0 without any
+        for j in range(width - 1, -1, -1):
+            at = np.flatnonzero(refs[:, j] >= 0)
+            self.first[at, refs[at, j]] = j + 1
+        fresh = np.zeros((k, width), bool)
+        for j in range(width):
+            at = np.flatnonzero(refs[:, j] >= 0)
+            fresh[at, j] = self.first[at, refs[at, j]] == j + 1
+        self.fresh, self.upto = fresh, np.concatenate([np.zeros((k, 1), np.int64), np.cumsum(fresh, axis=1)], axis=1)
+
+    def rows(self, codes: np.ndarray, lengths: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        """The distances after each event, of the runs that have one there (runs in falling order of length)."""
+        k, width = self.refs.shape
+        seen = np.zeros((len(codes), self.first.shape[1]), bool)
+        mine = np.zeros(len(codes), np.int64)
+        whole, prefix = np.zeros((2, len(codes), k), np.int64)
+        for i in range(codes.shape[1]):
+            n = int(np.count_nonzero(lengths > i))
+            seen, mine, whole, prefix, c = seen[:n], mine[:n], whole[:n], prefix[:n], codes[:n, i]
+            if i < width:  # the references' new labels that a run has had before
+                prefix += seen[:, np.maximum(0, self.refs[:, i])] & self.fresh[:, i]
+            new = ~seen[np.arange(n), c]
+            there = self.first[:, c].T * new[:, None]
+            whole += there > 0
+            prefix += (there > 0) & (there <= i + 1)
+            mine += new
+            seen[np.arange(n), c] = True
+            p = mine[:, None]
+            theirs, cut = self.upto[:, -1], self.upto[:, min(i + 1, width)]
+            yield {"jaccard": 1 - whole / (p + theirs - whole), "jaccard_prefix": 1 - prefix / (p + cut - prefix), "containment": 1 - whole / p}
+
+
+def draw_curves(traces: DataFrame, references: dict[str, list[str]], draws: list[list[str]], scores: dict[str, tuple[str, str, int, float]], least: int = 1) -> DataFrame:
+    """Score curves of every run for many banks: run_id, draw, loo, curves (one array for each score, by position).
+
+    A draw is a list of references. The distance of a prefix to a reference is
+    computed once and used by all draws that hold it; the nearest are picked
+    draw by draw. Where a run is itself in a draw (`loo`) it is scored against
+    the others; other runs are scored if they have `least` events.
+    """
+    if unknown := {d for d, *_ in scores.values()} - set(EDIT_DISTANCES) - {"jaccard", "jaccard_prefix", "containment"}:
+        raise ValueError(f"unknown distance {sorted(unknown)}")
+    if len(references) > MOST_REFERENCES:
+        raise ValueError(f"the draws have more than {MOST_REFERENCES} references")
+    number = {r: i for i, r in enumerate(references)}
+    names = {a: n for n, a in enumerate(sorted({a for l in references.values() for a in l}))}
+    lengths = np.array([len(l) for l in references.values()], np.int64)
+    refs = np.full((len(references), max(lengths, default=0)), -1, np.int32)
+    for j, l in enumerate(references.values()):
+        refs[j, : len(l)] = [names[a] for a in l]
+    members = [np.array([number[r] for r in d], np.int64) for d in draws]
+    places = np.full((len(draws), len(references)), -1, np.int64)  # of a reference in each draw
+    for d, m in enumerate(members):
+        places[d, m] = np.arange(len(m))
+    shared = traces.sparkSession.sparkContext.broadcast((number, names, lengths, refs, members, places))
+    by_distance: dict[str, list[tuple[int, tuple]]] = {}
+    for n, (d, *how) in enumerate(scores.values()):
+        by_distance.setdefault(d, []).append((n, tuple(how)))
+    edits = tuple(d for d in by_distance if d in EDIT_DISTANCES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, names, lengths, refs, members, places = shared.value
+        inside = np.arange(refs.shape[1] + 1) <= lengths[:, None]
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            size = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = b.column(1).flatten().dictionary_encode()
+            labels = dict(names)
+            code = np.array([labels.setdefault(a, len(labels)) for a in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+            sets = SetRows(refs, max(1, len(labels)))
+            starts = np.cumsum(size) - size
+            own = np.array([number.get(r, -1) for r in ids], np.int64)
+            order = np.argsort(-size, kind="stable")
+            order = order[(size[order] >= least) | ((own[order] >= 0) & (size[order] > 0))]
+            lo = 0
+            while lo < len(order):
+                longest = int(size[order[lo]])
+                rows = order[lo : lo + max(1, MOST_CELLS // max(1, inside.size, longest * len(members) * len(scores)))]
+                lo += len(rows)
+                codes = np.zeros((len(rows), longest), np.int32)
+                for x, r in enumerate(rows):
+                    codes[x, : size[r]] = code[starts[r] : starts[r] + size[r]]
+                mine = np.where(own[rows] >= 0, places[:, own[rows]], -1)  # draws x runs
+                curves = np.empty((len(rows), len(members), len(scores), longest))
+                for i, (table, values) in enumerate(zip(edit_rows(codes, size[rows], refs), sets.rows(codes, size[rows]))):
+                    values |= _edit_values(table, i + 1, lengths, inside, edits)
+                    n = len(table)
+                    for d, m in enumerate(members):
+                        for name, wanted in by_distance.items():
+                            s, count = without_own(values[name][:, m], mine[d, :n])
+                            for j, how in wanted:
+                                curves[:n, d, j, i] = nearest_sorted(s, count, *how)
+                for x, r in enumerate(rows):
+                    loo = mine[:, x] >= 0
+                    kept = np.flatnonzero(loo | (size[r] >= least))
+                    n = int(size[r])
+                    flat = pa.array(curves[x, kept, :, :n].ravel())
+                    inner = pa.ListArray.from_arrays(np.arange(len(kept) * len(scores) + 1, dtype=np.int32) * n, flat)
+                    outer = pa.ListArray.from_arrays(np.arange(len(kept) + 1, dtype=np.int32) * len(scores), inner)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[r]] * len(kept)), pa.array(kept.astype(np.int32)), pa.array(loo[kept]), outer], names=["run_id", "draw", "loo", "curves"])
+
+    return traces.select("run_id", "labels").mapInArrow(run, "run_id string, draw int, loo boolean, curves array<array<double>>")
+
+
 def edit_distance_fold(traces: DataFrame, bank: DataFrame) -> DataFrame:
     """Free-suffix edit distance of whole runs as a fold of built-in functions: run_id, bank_idx, dl."""
     grid = traces.select("run_id", "labels").join(F.broadcast(bounded(bank).select("bank_idx", F.col("labels").alias("r"))))

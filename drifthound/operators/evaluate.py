@@ -53,9 +53,33 @@ def decide_over(met: DataFrame, patience: int = 2, keys: tuple[str, ...] = ()) -
     return out.select(*keys, "run_id", F.col("step").isNotNull().alias("fired"), "step", (F.col("step") / F.col("n")).alias("frac"), "peak", "n")
 
 
+def fired_steps(curves: DataFrame, thresholds: str, patience: int = 2) -> DataFrame:
+    """The columns of `curves` but curve and thresholds, and q, w, threshold, step: where each threshold fires.
+
+    A row holds a whole curve (array) and the thresholds it meets (array of
+    structs q, w, start, threshold). A threshold fires where the least of
+    `patience` scores in a row, all from step `start` on, lies above it.
+    """
+    rest = [c for c in curves.columns if c not in ("curve", thresholds)]
+    least = F.col("curve")
+    for p in range(1, patience):  # the least of each score and the p before it
+        cut = F.greatest(F.size("curve") - p, F.lit(0))
+        least = F.zip_with(F.slice(least, F.lit(1), cut), F.slice("curve", F.lit(p + 1), cut), lambda x, y: F.least(x, y))
+    rows = curves.withColumn("_least", least).select(*rest, "_least", F.inline(thresholds))
+    # place i of _least is the streak that ends at step i + patience - 1
+    late = F.slice("_least", F.col("start"), F.greatest(F.size("_least") - F.col("start") + 1, F.lit(0)))
+    place = F.array_position(F.transform(late, lambda x: x > F.col("threshold")), F.lit(True))
+    step = F.when(place > 0, (place + F.col("start") + (patience - 2)).cast("int"))
+    return rows.select(*rest, "q", "w", "threshold", step.alias("step"))
+
+
 def metrics(decisions: DataFrame, outcomes: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The seven metrics; a failed run is the positive class; undefined ones are null."""
-    d = decisions.join(outcomes.select("run_id", "success"), "run_id")
+    return metrics_of(decisions.join(outcomes.select("run_id", "success"), "run_id"), keys)
+
+
+def metrics_of(d: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """metrics() of decisions (fired, step, frac) that know their run's success."""
     n = lambda x: F.sum(x.cast("int"))
     fired, bad = F.col("fired"), ~F.col("success")
     c = d.groupBy(*keys).agg(
@@ -98,6 +122,16 @@ def mean_std(values: DataFrame, col: str, *keys: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"))
 
 
+def over_seeds(cells: DataFrame, *keys: str, metrics: tuple[str, ...] = METRICS, seed: str = "seed") -> DataFrame:
+    """keys and, of each metric, a struct (mean, std, raw): over seeds without nulls and NaN, and the values in the order of seeds."""
+    made = []
+    for m in metrics:
+        v = F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
+        raw = F.transform(F.array_sort(F.collect_list(F.struct(seed, v.alias("v")))), lambda x: x["v"])
+        made.append(F.struct(F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"), raw.alias("raw")).alias(m))
+    return cells.groupBy(*keys).agg(*made)
+
+
 def failure_rate(traces: DataFrame, *keys: str) -> DataFrame:
     return traces.groupBy(*keys).agg(F.avg(F.when(F.col("success"), 0.0).otherwise(1.0)).alias("failure_rate"))
 

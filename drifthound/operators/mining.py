@@ -44,59 +44,73 @@ def ordered_rows(events: DataFrame) -> DataFrame:
     return g.select("run_id", F.explode(names).alias("template"), "a", "b", F.lit(None).cast("int").alias("n"))
 
 
-def pair_counts(events: DataFrame) -> DataFrame:
-    """template, a, b, matches for pairs a < b of all labels, from how many runs have each or both.
+def _met(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """Join on the groups' columns, or (no groups) with the one row there is."""
+    return df.join(F.broadcast(other), on) if on else df.join(F.broadcast(other))
+
+
+def pair_counts(acts: DataFrame, total: DataFrame, by: list[str]) -> DataFrame:
+    """template, a, b, matches for pairs a < b of a group's labels, from how many runs have each or both.
 
     No run meets a pair that it lacks: runs with neither, one or both labels
     follow from three counts.
     """
-    acts = events.select("run_id", "act").distinct()
-    total = acts.agg(F.count_distinct("run_id").alias("all"))
-    one = acts.groupBy("act").agg(F.count("*").alias("c"))
-    two = acts.select("run_id", F.col("act").alias("a")).join(acts.select("run_id", F.col("act").alias("b")), "run_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    one = acts.groupBy(*by, "act").agg(F.count("*").alias("c"))
+    two = acts.select(*by, "run_id", F.col("act").alias("a")).join(acts.select(*by, "run_id", F.col("act").alias("b")), [*by, "run_id"]).filter("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("both"))
     # the alphabet's pairs
-    pairs = one.select(F.col("act").alias("a"), F.col("c").alias("ca")).join(one.select(F.col("act").alias("b"), F.col("c").alias("cb")), F.col("a") < F.col("b")).join(two, ["a", "b"], "left").fillna(0, "both").join(F.broadcast(total))
+    left, right = one.select(*by, F.col("act").alias("a"), F.col("c").alias("ca")), one.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("act").alias("b"), F.col("c").alias("cb"))
+    on = F.col("a") < F.col("b")
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    pairs = _met(left.join(right, on).drop(*[f"_{c}" for c in by]).join(two, [*by, "a", "b"], "left").fillna(0, "both"), total, by)
     any_ = F.col("ca") + F.col("cb") - F.col("both")
     rows = F.array(*[F.struct(F.lit(t).alias("template"), m.cast("long").alias("matches")) for t, m in (("coexistence", F.col("both")), ("choice", any_), ("exclusive_choice", any_ - F.col("both")), ("not_coexistence", F.col("all") - F.col("both")))])
-    return pairs.select("a", "b", F.inline(rows)).filter("matches > 0").select("template", "a", "b", F.lit(None).cast("int").alias("n"), "matches")
+    return pairs.select(*by, "a", "b", F.inline(rows)).filter("matches > 0").select(*by, "template", "a", "b", F.lit(None).cast("int").alias("n"), "matches")
 
 
-def accumulate_existential(counts: DataFrame, present: DataFrame, runs: DataFrame) -> DataFrame:
+def accumulate_existential(counts: DataFrame, present: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
     """existence and absence as tails of the counts; runs without a label satisfy its absence."""
-    up = W.partitionBy("template", "a").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    down = W.partitionBy("template", "a").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    c = counts.join(present.select(F.col("act").alias("a"), "runs_with"), "a", "left").join(F.broadcast(runs))
+    up = W.partitionBy(*by, "template", "a").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = W.partitionBy(*by, "template", "a").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    c = _met(counts.join(present.select(*by, F.col("act").alias("a"), "runs_with"), [*by, "a"], "left"), runs, by)
     tail = F.when(F.col("template") == "existence", F.sum("matches").over(down)).when(F.col("template") == "absence", F.sum("matches").over(up) + F.col("all") - F.col("runs_with")).otherwise(F.col("matches"))
-    return c.select(*KEY, tail.alias("matches"))
+    return c.select(*by, *KEY, tail.alias("matches"))
+
 
+def mine(events: DataFrame, templates: tuple[str, ...] | None = None, support: float = 0.0, confidence: float = 0.0, interest: float = 0.0, compat: bool = False, cumulative: bool = False, groups: DataFrame | None = None) -> DataFrame:
+    """template, a, b, n, matches, support, confidence, interest of every constraint mined.
 
-def mine(events: DataFrame, templates: tuple[str, ...] | None = None, support: float = 0.0, confidence: float = 0.0, interest: float = 0.0, compat: bool = False, cumulative: bool = False) -> DataFrame:
-    """template, a, b, n, matches, support, confidence, interest of every constraint mined."""
+    With `groups` (run_id and other columns) the runs of each group are mined
+    apart, all in one plan, and the rows start with the group's columns.
+    """
     want = set(TEMPLATES if templates is None else templates)
     if unknown := want - set(TEMPLATES):
         raise ValueError(f"unknown templates {sorted(unknown)}")
-    runs = events.agg(F.count_distinct("run_id").alias("all"))
-    present = events.select("run_id", "act").distinct().groupBy("act").agg(F.count("*").alias("runs_with"))
+    by = [c for c in groups.columns if c != "run_id"] if groups is not None else []
+    in_group = (lambda df: df.join(F.broadcast(groups), "run_id")) if by else (lambda df: df)
+    acts = in_group(events.select("run_id", "act").distinct())
+    runs = acts.groupBy(*by).agg(F.count_distinct("run_id").alias("all"))
+    present = acts.groupBy(*by, "act").agg(F.count("*").alias("runs_with"))
     per_run = [rows(events) for kinds, rows in ((("init", "end"), positional_rows), (COUNTING, existential_rows), (ORDERED, ordered_rows)) if want & set(kinds)]
-    counts = [r.groupBy(*KEY).agg(F.count("*").alias("matches")) for r in per_run]
+    counts = [in_group(r).groupBy(*by, *KEY).agg(F.count("*").alias("matches")) for r in per_run]
     if cumulative:
-        counts = [accumulate_existential(c, present, runs) if r is not None else c for c, r in zip(counts, per_run)]
+        counts = [accumulate_existential(c, present, runs, by) for c in counts]
     if want & set(UNORDERED + NEGATION):
-        counts.append(pair_counts(events))
+        counts.append(pair_counts(acts, runs, by))
     if not counts:
         raise ValueError("no templates")
     found = counts[0]
     for c in counts[1:]:
         found = found.unionByName(c)
-    side = lambda k: present.select(F.col("act").alias(k), F.col("runs_with").alias(f"c{k}"))
-    met = found.filter(F.col("template").isin(*want)).join(side("a"), "a", "left").join(side("b"), "b", "left").join(F.broadcast(runs))
+    side = lambda k: present.select(*by, F.col("act").alias(k), F.col("runs_with").alias(f"c{k}"))
+    met = _met(found.filter(F.col("template").isin(*want)).join(side("a"), [*by, "a"], "left").join(side("b"), [*by, "b"], "left"), runs, by)
     m, n, ca, cb = F.col("matches"), F.col("all"), F.col("ca"), F.col("cb")
     co = n - m
     negative = F.col("template").isin(*NEGATION)
     conf = F.when(F.col("template").isin(*UNORDERED), m / F.sqrt((ca * cb).cast("double"))).when(negative, F.sqrt(((ca - co) / ca) * ((cb - co) / cb))).otherwise(m / ca)
     independent = (ca / n) * (cb / n)
     expected = F.when(negative, 1 - independent).otherwise(independent)
-    out = met.select(*KEY, "matches", (m / n).alias("support"), conf.alias("confidence"), F.when(cb.isNotNull() & (expected != 0), (m / n) / expected).alias("interest"))
+    out = met.select(*by, *KEY, "matches", (m / n).alias("support"), conf.alias("confidence"), F.when(cb.isNotNull() & (expected != 0), (m / n) / expected).alias("interest"))
     kept = (F.col("support") >= support) & F.col("confidence").isNotNull() & (F.col("confidence") >= confidence)
     enough = F.col("interest") >= interest
     return out.filter(kept & (F.coalesce(enough, F.lit(False)) if compat else F.col("interest").isNull() | enough))
@@ -127,3 +141,13 @@ def as_model(mined: DataFrame, exclude: tuple[str, ...] = (*DEFAULT_EXCLUDED, *C
     weight = F.col("weight") if "weight" in mined.columns else F.lit(1.0)
     cid = F.row_number().over(W.orderBy("template", "a", F.col("b").asc_nulls_first(), F.col("n").asc_nulls_first())) - 1
     return kept.select(cid.cast("int").alias("cid"), *KEY, weight.alias("weight"))
+
+
+def as_models(mined: DataFrame, group: str, exclude: tuple[str, ...] = (*DEFAULT_EXCLUDED, *COUNTING, "init")) -> DataFrame:
+    """Constraints mined by group, numbered alike in all: group, cid, key, weight."""
+    kept = mined.filter(~F.col("template").isin(*exclude)).select(group, *KEY)
+    # as many rows as there are different constraints
+    named = kept.select(*[F.col(c).alias(f"_{c}") for c in KEY]).distinct()
+    named = named.withColumn("cid", (F.row_number().over(W.orderBy("_template", "_a", F.col("_b").asc_nulls_first(), F.col("_n").asc_nulls_first())) - 1).cast("int"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY]
+    return kept.join(F.broadcast(named), same).select(group, "cid", *KEY, F.lit(1.0).alias("weight"))

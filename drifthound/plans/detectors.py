@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import nearest
+from ..functions.expr import nearest, ratio, sigmoid
 from ..operators import declare, distances, evaluate, mining, structure
-from ..operators.bank import ScoreConfig, draw_bank, usable
+from ..operators.bank import ScoreConfig, draw_banks, unusable
 from ..operators.baselines import counted_scores, ngram_score, random_score
 from ..sources.logs import traces_of
+from ..sources.runs import materialised
 
 CONFIGS = (
     ScoreConfig("dl", "max_knn", 3, name="dl/max@3"), ScoreConfig("dl_trunc", "max_knn", 3, name="dltr/max@3"), ScoreConfig("dl", "min", name="dl/min"),
@@ -75,77 +77,175 @@ def bank_model(bank: DataFrame, support: float = 1.0) -> DataFrame | None:
     return m if m.take(1) else None
 
 
-def with_attributes(events: DataFrame) -> DataFrame:
-    """Bank events with the columns that counted scores read."""
-    return events.withColumns({"kind": F.lit("tool"), "error": F.lit(False), "status": F.lit("ok"), "args_hash": F.lit(None).cast("string"), "success": F.lit(True), "task_id": F.lit(None).cast("string")})
+def _curves(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows (run_id, draw, loo, pos, scores) to whole curves: run_id, draw, loo, detector, curve."""
+    kept = rows.groupBy("run_id", "draw", "loo").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("_x"))
+    each = F.array(*[F.struct(F.lit(n).alias("detector"), F.col("_x").getField(n).cast("array<double>").alias("curve")) for n in names])
+    return kept.select("run_id", "draw", "loo", F.inline(each))
 
 
-def sweep(events: DataFrame, k: int = 16, seed: int = 0, support: float = 1.0, quantiles: tuple[float, ...] = QUANTILES, warmup: int = 3, patience: int = 2) -> DataFrame:
-    """detector, q, w (1 or 3 warm-ups), threshold and metrics of one draw of the bank.
+def _structure_curves(grid: DataFrame, refs: DataFrame) -> DataFrame:
+    """Curves of the walk's scores: `grid` has the events of each run for each draw, `refs` those of the draws' references.
 
-    Scores are made once and meet all thresholds in one join.
+    What a draw knows (edges, places of labels, profiles) is a table of at most
+    its references' events; a run's own share is taken off where it is in the draw.
+    """
+    own = F.when(F.col("loo"), 1).otherwise(0)
+    edges = refs.filter("prev IS NOT NULL").groupBy("draw", "prev", "act").agg(F.count_distinct("run_id").alias("_refs"))
+    places = refs.groupBy("draw", "act").agg(F.sum(F.col("pos") + 1).alias("_s"), F.count("*").alias("_c"))
+    steps = refs.groupBy("draw", F.col("pos").alias("_step")).agg(
+        F.count("*").alias("_n"), *[f(x).alias(f"_{k}_{c}") for c in ("return_rate", "edge_novelty") for k, f, x in (("s", F.sum, F.col(c)), ("ss", F.sum, F.col(c) * F.col(c)))])
+    ends = refs.groupBy("draw", "run_id").agg(F.max("pos").alias("_end")).groupBy("draw").agg(F.sort_array(F.collect_list("_end"), asc=False).alias("_ends"))  # as many as the bank has references
+    met = grid.join(F.broadcast(edges), ["draw", "prev", "act"], "left").join(F.broadcast(places), ["draw", "act"], "left").join(F.broadcast(ends), "draw")
+    # the longest of the (other) references
+    last = F.when(F.col("loo") & (F.col("n") - 1 == F.get("_ends", F.lit(0))), F.coalesce(F.get("_ends", F.lit(1)), F.lit(-1))).otherwise(F.get("_ends", F.lit(0)))
+    met = met.withColumn("_step", F.least(F.col("pos"), last)).join(F.broadcast(steps), ["draw", "_step"], "left")
+    run = W.partitionBy("run_id", "draw").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    illegal = (F.col("prev").isNotNull() & (F.coalesce("_refs", F.lit(0)) <= own)).cast("int")
+    s, c = F.col("_s") - own * F.col("own_s"), F.col("_c") - own * F.col("own_c")
+    at_step = W.partitionBy("run_id", "draw")
+
+    def absz(col: str) -> Column:
+        # a run's own value at the step it is held against
+        mine = F.max(F.when(F.col("pos") == F.col("_step"), F.col(col))).over(at_step.orderBy("_step").rangeBetween(0, 0))
+        n, total, squares = F.col("_n") - own, F.col(f"_s_{col}") - own * mine, F.col(f"_ss_{col}") - own * mine * mine
+        sd = F.greatest(F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / F.greatest(n - 1, F.lit(1)))), F.lit(1e-6))
+        value = F.when(n > 0, F.abs(F.col(col) - total / n) / sd).otherwise(F.abs(F.col(col)))
+        return sigmoid(value - 1)
+
+    scores = met.select(
+        "run_id", "draw", "loo", "pos", "return_rate", "edge_novelty", ratio(F.sum(illegal).over(run), F.col("pos")).alias("df_legality"),
+        F.when(c > 0, sigmoid((F.col("pos") + 1 - s / c) / 5)).otherwise(0.5).alias("graph_progress"), absz("return_rate").alias("cycle_absz"), absz("edge_novelty").alias("edge_absz"), F.least(F.lit(1.0), (F.col("pos") + 1) / 60).alias("step_count"))
+    return _curves(scores, "return_rate", "edge_novelty", "df_legality", "graph_progress", "cycle_absz", "edge_absz", "step_count")
+
+
+def _constraint_curves(events: DataFrame, grid: DataFrame, refs: DataFrame, models: DataFrame, constraints: DataFrame) -> DataFrame:
+    """Curves of dcl_viol and dcl_div: verdicts of all draws' constraints are made once, as rows of bits that each draw masks.
+
+    `models` (draw, cid) says which constraints a draw has.
+    """
+    size = constraints.count()
+    words = -(-size // 64)
+    bits = materialised(declare.packed(declare.verdicts(events, constraints), "run_id", "pos"), "verdicts")
+    zero = F.array(*[F.lit(0).cast("long")] * words)
+    one = models.groupBy("draw", F.floor(F.col("cid") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cid % 64 AS int))")).alias("m")).groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("_m"))
+    masks = one.select("draw", F.transform(zero, lambda x, w: F.coalesce(F.try_element_at("_m", w.cast("long")), x)).alias("mask")).join(models.groupBy("draw").agg(F.count("*").alias("_size")), "draw")
+    mine = grid.select("run_id", "draw", "loo", "pos").join(bits, ["run_id", "pos"]).join(F.broadcast(masks), "draw")
+    broken = F.lit(0)
+    for w in range(words):
+        lo, hi = F.get("lo", F.lit(w)), F.get("hi", F.lit(w))
+        broken = broken + F.bit_count(F.bitwise_not(lo.bitwiseOR(hi)).bitwiseAND(F.get("mask", F.lit(w))))
+    theirs = bits.join(F.broadcast(refs.select("run_id").distinct()), "run_id").select(F.col("run_id").alias("_ref"), F.col("pos").alias("_pos"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    held = refs.groupBy("draw", "run_id").agg(F.max("pos").alias("_last")).withColumnRenamed("run_id", "_ref")
+    # all of a run's rows stay together: the other sides are as small as the banks
+    met = mine.withColumn("viol", 1 - F.exp(-broken / 8)).join(F.broadcast(held), "draw").filter("_ref <> run_id").withColumn("_pos", F.least("pos", "_last")).join(F.broadcast(theirs), ["_ref", "_pos"])
+    scored = met.groupBy("run_id", "draw", "loo", "pos").agg(F.first("viol").alias("dcl_viol"), nearest(F.collect_list(declare.packed_distance(words, mask="mask")), "max_knn", 3).alias("dcl_div"))
+    return _curves(scored, "dcl_viol", "dcl_div")
+
+
+def draw_curves(events: DataFrame, banks: DataFrame, draws: list[tuple[int, int, int]], support: float = 1.0, warmup: int = 3, detectors: tuple[str, ...] = SWEPT) -> DataFrame:
+    """Curves of every detector asked for, for all draws at once: run_id, n, success, draw, loo, detector, curve.
+
+    `draws` are (number, seed, size) over `banks` (`draw_banks`). A run is
+    scored for each draw: if it is in the draw's bank, against the others there
+    (`loo`), else, with `warmup` events, against the whole.
     """
-    traces = traces_of(events)
-    bank = draw_bank(traces, k, seed).cache()  # k rows
-    model = bank_model(bank, support)
-    runs = traces.filter(F.col("n") >= warmup).select("run_id", "success").join(F.broadcast(bank.select(F.col("ref_id").alias("run_id"))), "run_id", "left_anti")
-    scores = all_scores(events.join(runs.select("run_id"), "run_id", "left_semi"), bank, model)
-    loo = all_scores(with_attributes(structure.as_events(bank)), bank, model, leave_out=True)
     spark = events.sparkSession
-    grid = F.broadcast(spark.createDataFrame([(q, w, w * warmup) for q in quantiles for w in (1, 3)], "q double, w int, start int"))
-    peaks = loo.join(grid).filter("pos >= start - 1").groupBy("detector", "q", "w", "start", "run_id").agg(F.max("score").alias("peak"))
-    at = F.least(F.count("*") - 1, F.ceil(F.first("q") * (F.count("*") - 1))).cast("int") + 1
-    found = peaks.groupBy("detector", "q", "w", "start").agg(F.try_element_at(F.array_sort(F.collect_list("peak")), at).alias("threshold"))
-    names = scores.select("detector").distinct()
-    thresholds = names.join(grid).join(found.drop("start"), ["detector", "q", "w"], "left").withColumn("threshold", F.round(F.coalesce("threshold", F.lit(float("inf"))), 9))
-    rounded = scores.withColumn("score", F.round("score", 9))
-    met = rounded.join(F.broadcast(thresholds.select("detector", "q", "w", "start", "threshold")), "detector")
-    over = met.withColumn("over", (F.col("score") > F.col("threshold")) & (F.col("pos") + 1 >= F.col("start")))
-    decided = evaluate.decide_over(over, patience, ("detector", "q", "w"))
-    m = evaluate.metrics(decided, runs, ("detector", "q", "w"))
-    return m.join(thresholds.select("detector", "q", "w", "threshold"), ["detector", "q", "w"])
-
-
-def sweep_light(events: DataFrame, k: int = 16, seed: int = 0, quantiles: tuple[float, ...] = (0.9, 0.95)) -> DataFrame:
-    """The sweep's cells for the two Jaccard detectors only: detector, q and metrics."""
-    traces = traces_of(events)
-    bank = draw_bank(traces, k, seed).cache()
-    configs = tuple(c for c in CONFIGS if c.distance == "jaccard")
-    runs = traces.filter("n >= 3").select("run_id", "success").join(F.broadcast(bank.select(F.col("ref_id").alias("run_id"))), "run_id", "left_anti")
-    scores = bank_scores(events.join(runs.select("run_id"), "run_id", "left_semi"), traces, bank, configs)
-    loo = bank_scores(structure.as_events(bank), traces, bank, configs, leave_out=True)
-    scores, loo = (df.withColumn("score", F.round("score", 9)) for df in (scores, loo))
-    out = None
-    for q in quantiles:
-        found = evaluate.threshold(evaluate.peaks(loo, 3, ("detector",)), q, ("detector",))
-        part = evaluate.metrics(evaluate.decide(scores, found, keys=("detector",)), runs, ("detector",)).withColumn("q", F.lit(q))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def sweep_all(logs: dict[str, DataFrame], folder: str, seeds: range = range(10), sizes: tuple[int, ...] = SIZES, **options) -> tuple[DataFrame, dict[tuple, str]]:
-    """The sweep over sources, seeds and bank sizes, in `folder`: metrics by (source, k, detector, q, w, seed), and why draws were skipped.
-
-    A draw is skipped that has fewer references than k, or runs of one class
-    only. Each draw is a job of its own whose rows are written, so that no plan
-    grows with their number.
+    k = max(size for *_, size in draws)
+    held = [r for r in banks.filter(F.col("bank_idx") < k).orderBy("seed", "bank_idx").collect()]  # seeds times size rows
+    references = {r.ref_id: r.labels for r in held}
+    members = [[r.ref_id for r in held if r.seed == seed and r.bank_idx < size] for _, seed, size in draws]
+    numbered = [d for d, *_ in draws]
+    table = spark.createDataFrame([(d, r) for d, m in zip(numbered, members) for r in m], "draw int, run_id string")
+    traces = traces_of(events).select("run_id", "labels", "n", "success")
+    found = []
+    configs = [c for c in CONFIGS if c.label() in detectors]
+    if configs:
+        names = F.array(*[F.lit(c.label()) for c in configs])
+        raw = distances.draw_curves(traces, references, members, {c.label(): (c.distance, c.aggregator, c.kappa, c.q) for c in configs}, warmup)
+        number = F.array(*[F.lit(d) for d in numbered])
+        found.append(raw.select("run_id", F.get(number, F.col("draw")).alias("draw"), "loo", F.inline(F.arrays_zip(names.alias("detector"), F.col("curves").alias("curve")))).toDF("run_id", "draw", "loo", "detector", "curve"))
+    if set(detectors) - {c.label() for c in configs}:
+        walk = structure.walk_features(events)
+        own = W.partitionBy("run_id", "act")
+        facts = events.select("run_id", "pos", "n").join(walk, ["run_id", "pos"])
+        facts = facts.select("*", F.lag("act").over(W.partitionBy("run_id").orderBy("pos")).alias("prev"), F.sum(F.col("pos") + 1).over(own).alias("own_s"), F.count("*").over(own).alias("own_c"))
+        facts = materialised(facts, "facts")
+        refs = facts.join(F.broadcast(table), "run_id")
+        grid = facts.join(F.broadcast(spark.createDataFrame([(d,) for d in numbered], "draw int"))).join(F.broadcast(table.withColumn("_in", F.lit(True))), ["run_id", "draw"], "left")
+        grid = grid.withColumn("loo", F.coalesce("_in", F.lit(False))).drop("_in").filter(F.col("loo") | (F.col("n") >= warmup))
+        found.append(_structure_curves(grid, refs).filter(F.col("detector").isin(*detectors)))
+        if {"dcl_viol", "dcl_div"} & set(detectors):
+            # references mined apart in each draw
+            groups = table.select(F.concat_ws("|", "draw", "run_id").alias("run_id"), "draw")
+            apart = refs.select(F.concat_ws("|", "draw", "run_id").alias("run_id"), "pos", "act")
+            mined = materialised(mining.as_models(mining.mine(apart, support=support, cumulative=True, groups=groups), "draw"), "models")
+            constraints = mined.drop("draw").distinct()
+            if mined.take(1):
+                found.append(_constraint_curves(facts, grid, refs, mined.select("draw", "cid"), constraints).filter(F.col("detector").isin(*detectors)))
+    curves = found[0]
+    for f in found[1:]:
+        curves = curves.unionByName(f)
+    return curves.join(traces.select("run_id", "n", "success"), "run_id")
+
+
+def sweep_draws(events: DataFrame, seeds: tuple[int, ...] = (0,), sizes: tuple[int, ...] = (16,), support: float = 1.0, quantiles: tuple[float, ...] = QUANTILES, warmups: tuple[int, ...] = (1, 3), warmup: int = 3, patience: int = 2, detectors: tuple[str, ...] = SWEPT) -> tuple[DataFrame, dict[tuple[int, int], str]]:
+    """seed, k, detector, q, w (so many warm-ups), threshold and metrics for all draws in one plan, and why draws were skipped.
+
+    Curves are made once. Those of the banks' own runs give the thresholds
+    (as many rows as the banks have runs); all others meet them, and only
+    counts leave the tasks.
     """
-    skipped = {}
-    spark = next(iter(logs.values())).sparkSession
-    schema = None
-    for source, events in logs.items():
-        traces = traces_of(events)
+    spark = events.sparkSession
+    events = materialised(events, "events")
+    banks = materialised(draw_banks(traces_of(events), max(sizes), tuple(seeds)), "banks")
+    have = {r.seed: r.ends for r in banks.groupBy("seed").agg(F.collect_list(F.struct("bank_idx", "n")).alias("ends")).collect()}
+    ends = {r.success: r["count"] for r in events.filter((F.col("pos") == 0) & (F.col("n") >= warmup)).groupBy("success").count().collect()}
+    draws, skipped = [], {}
+    for seed in seeds:
         for k in sizes:
-            for seed in seeds:
-                bank = draw_bank(traces, k, seed)
-                rest = traces.join(F.broadcast(bank.select(F.col("ref_id").alias("run_id"))), "run_id", "left_anti")
-                if why := usable(rest, bank, k):
-                    skipped[source, k, seed] = why
-                    continue
-                part = sweep(events, k, seed, **options).select(F.lit(source).alias("source"), F.lit(k).alias("k"), F.lit(seed).alias("seed"), "*")
-                part.write.mode("append").parquet(folder)
-                schema = part.schema
-    return (spark.read.schema(schema).parquet(folder) if schema else spark.createDataFrame([], "source string, k int, seed int")), skipped
+            bank = [e for e in have.get(seed, []) if e.bank_idx < k]
+            why = unusable(len(bank), k, ends.get(False, 0), ends.get(True, 0) - sum(e.n >= warmup for e in bank))
+            if why:
+                skipped[seed, k] = why
+            else:
+                draws.append((len(draws), seed, k))
+    grid = [(q, w, w * warmup) for q in quantiles for w in warmups]
+    empty = "seed int, k int, detector string, q double, w int, threshold double, tp bigint, fp bigint, pos bigint, neg bigint, runs bigint, precision double, recall double, f1 double, fpr double, flag_rate double, earliness_frac double, earliness_step double"
+    if not draws:
+        return spark.createDataFrame([], empty), skipped
+    curves = draw_curves(events, banks, draws, support, warmup, detectors).withColumn("curve", F.transform("curve", lambda x: F.round(x, 9)))
+    curves = materialised(curves, "curves")
+    tests = F.broadcast(spark.createDataFrame(grid, "q double, w int, start int"))
+    late = F.array_max(F.slice("curve", F.col("start"), F.greatest(F.col("n") - F.col("start") + 1, F.lit(0))))
+    tops = curves.filter("loo").join(tests).withColumn("peak", late).groupBy("draw", "detector", "q", "w", "start").agg(F.array_sort(F.collect_list("peak")).alias("_p"))  # no more than the bank has runs
+    at = F.least(F.size("_p") - 1, F.ceil(F.col("q") * (F.size("_p") - 1))).cast("int")
+    limit = F.coalesce(F.get("_p", at), F.lit(float("inf"))).alias("threshold")
+    limits = tops.select("draw", "detector", F.struct("q", "w", "start", limit).alias("t")).groupBy("draw", "detector").agg(F.collect_list("t").alias("thresholds"))
+    met = evaluate.fired_steps(curves.filter(~F.col("loo")).join(F.broadcast(limits), ["draw", "detector"]), "thresholds", patience)
+    decided = met.withColumns({"fired": F.col("step").isNotNull(), "frac": F.col("step") / F.col("n")})
+    cells = evaluate.metrics_of(decided, ("draw", "detector", "q", "w", "threshold"))
+    names = F.broadcast(spark.createDataFrame(draws, "draw int, seed int, k int"))
+    return cells.join(names, "draw").select("seed", "k", *[c for c in cells.columns if c != "draw"]), skipped
+
+
+def sweep(events: DataFrame, k: int = 16, seed: int = 0, **options) -> DataFrame:
+    """detector, q, w, threshold and metrics of one draw of the bank."""
+    return sweep_draws(events, (seed,), (k,), **options)[0].drop("seed", "k")
+
+
+def sweep_all(logs: dict[str, DataFrame], seeds: tuple[int, ...] = tuple(range(10)), sizes: tuple[int, ...] = SIZES, **options) -> tuple[DataFrame, dict[tuple, str]]:
+    """The sweep over sources, seeds and bank sizes: cells by (source, seed, k, detector, q, w), and why draws were skipped.
+
+    All draws of a source are one plan.
+    """
+    cells, skipped = None, {}
+    for source, events in logs.items():
+        found, why = sweep_draws(events, tuple(seeds), tuple(sizes), **options)
+        skipped |= {(source, *draw): reason for draw, reason in why.items()}
+        found = found.select(F.lit(source).alias("source"), "*")
+        cells = found if cells is None else cells.unionByName(found)
+    return cells, skipped
 
 
 BASELINES = {

@@ -277,35 +277,107 @@ FAILURES = sql("SELECT round(avg(CASE WHEN success THEN 0 ELSE 1 END), 6) AS fai
 SUMMARY = "SELECT count(*) AS runs, count(DISTINCT task_id) AS tasks, count(*) FILTER (success) AS successes, count(*) FILTER (NOT success) AS failures, round(avg(CASE WHEN success THEN 0 ELSE 1 END), 6) AS failure_rate, list_sort(list(n))[1 + count(*) // 2] AS length, list_sort(list(n) FILTER (success))[1 + count(*) FILTER (success) // 2] AS length_success, list_sort(list(n) FILTER (NOT success))[1 + count(*) FILTER (NOT success) // 2] AS length_failure, (SELECT count(DISTINCT act) FROM ev) AS alphabet FROM tr"
 
 
-# ---- reports over the cells of a small sweep: two logs, two bank sizes, two Jaccard detectors, two quantiles
-def _cell(log_: str, k: int) -> str:
-    every = "unnest(['jac/max@3', 'jac/min']) AS detector, unnest([round(list_sort(list(d))[3], 9), round(min(d), 9)]) AS score"
-    body = """SELECT detector, q, p AS precision, r AS recall, 2 * p * r / nullif(p + r, 0) AS f1, (tp + fp) / runs AS flag_rate, ef AS earliness_frac
-      FROM (SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(bad, 0) AS r FROM (SELECT detector, q, count(*) FILTER (step IS NOT NULL AND NOT success) AS tp, count(*) FILTER (step IS NOT NULL AND success) AS fp,
-        count(*) FILTER (NOT success) AS bad, count(*) AS runs, avg(step / dc.n) FILTER (NOT success) AS ef FROM dc JOIN tr USING (run_id) GROUP BY detector, q))"""
-    ctes = (
-        *_JAC, f"sc AS MATERIALIZED (SELECT run_id, pos, {every} FROM jc WHERE run_id NOT IN (SELECT ref_id FROM bank) AND run_id IN (SELECT run_id FROM tr WHERE n >= 3) GROUP BY run_id, pos)",
-        f"lo AS (SELECT j.run_id, pos, {every} FROM jc j JOIN bank b ON b.ref_id = j.run_id WHERE j.bank_idx <> b.bank_idx GROUP BY j.run_id, pos)",
-        "pk AS (SELECT detector, run_id, max(score) AS peak FROM lo WHERE pos >= 2 GROUP BY ALL)",
-        "th AS MATERIALIZED (SELECT detector, q, list_sort(list(peak))[1 + CAST(least(count(*) - 1, ceil(q * (count(*) - 1))) AS BIGINT)] AS threshold FROM pk, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE]) AS q) GROUP BY detector, q)",
-        "ov AS (SELECT sc.*, q, score > threshold AND pos + 1 >= 3 AS over FROM sc JOIN th USING (detector))",
-        "o2 AS (SELECT *, over AND coalesce(lag(over) OVER (PARTITION BY detector, q, run_id ORDER BY pos), false) AS fires FROM ov)",
-        "dc AS MATERIALIZED (SELECT detector, q, run_id, min(CASE WHEN fires THEN pos + 1 END) AS step, max(pos) + 1 AS n FROM o2 GROUP BY ALL)",
+# ---- the sweep, draws as data: variant '' of a draw is its whole bank, the others leave one reference out
+def sweep_cells(log_: str, seeds: tuple[int, ...], sizes: tuple[int, ...], detectors: tuple[str, ...], quantiles: tuple[float, ...] = (0.9, 0.95, 0.99), warmups: tuple[int, ...] = (1, 3), support: float = 1.0) -> tuple[str, ...]:
+    """CTEs of which the last, cells, has the metrics of every draw, detector, quantile and warm-up."""
+    values = lambda xs: ", ".join(f"({x})" for x in xs)
+    third = lambda c: f"list_sort(list({c}))[least(3, count(*))]"
+    bank_forms = {
+        "dl/max@3": third("dl"), "dltr/max@3": third("dt"), "dl/min": "min(dl)", "dl/mean@3": "list_avg(list_sort(list(dl))[1:3])", "dl/q25": "quantile_cont(dl, 0.25)",
+        "jac/max@3": third("jc"), "jac/min": "min(jc)", "jac_pre/max@3": third("jp"), "cont/min": "min(ct)",
+    }
+    key = "seed, k, v, run_id, success, n, pos"
+    ctes = [
+        f"dr AS (SELECT seed, k FROM (VALUES {values(seeds)}) x(seed), (VALUES {values(sizes)}) y(k))",
+        f"bk AS MATERIALIZED (SELECT seed, run_id AS ref_id, labels, n, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || run_id)) - 1 AS bank_idx FROM tr, (VALUES {values(seeds)}) x(seed) WHERE success AND n >= 3 QUALIFY bank_idx < {max(sizes)})",
+        "bd AS MATERIALIZED (SELECT seed, k, ref_id, labels, n, bank_idx FROM bk JOIN dr USING (seed) WHERE bank_idx < k)",
+        "vr AS (SELECT seed, k, '' AS v FROM dr UNION ALL SELECT seed, k, ref_id FROM bd)",
+        "bv AS MATERIALIZED (SELECT seed, k, v, ref_id, labels, n FROM vr JOIN bd USING (seed, k) WHERE ref_id <> v)",
+        "tg AS MATERIALIZED (SELECT seed, k, '' AS v, run_id, success, n FROM dr, tr WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM bd WHERE bd.seed = dr.seed AND bd.k = dr.k AND ref_id = run_id) UNION ALL SELECT seed, k, ref_id, ref_id, true, n FROM bd)",
+        "te AS MATERIALIZED (SELECT tg.*, pos, act, lag(act) OVER (PARTITION BY seed, k, v, run_id ORDER BY pos) AS prev FROM tg JOIN (SELECT run_id, pos, act FROM ev) USING (run_id))",
+        "rl AS MATERIALIZED (SELECT DISTINCT ref_id, labels AS r FROM bd)", "rb AS (SELECT seed, k, v, ref_id, unnest(range(0, n)) AS pos, unnest(labels) AS act FROM bv)",
+    ]
+    curves = []
+    wanted = [d for d in bank_forms if d in detectors]
+    if wanted:
+        edits = any(d.startswith("dl") for d in wanted)
+        if edits:
+            ctes += [
+                _DL.replace("dl AS (SELECT run_id, bank_idx, t.labels, b.labels AS r", "de AS (SELECT run_id, ref_id, t.labels, b.r AS r").replace("len(b.labels)", "len(b.r)").replace("FROM tr t, bank b", "FROM tr t, rl b").replace("SELECT run_id, bank_idx, labels, r", "SELECT run_id, ref_id, labels, r").replace("FROM dl WHERE", "FROM de WHERE"),
+                "ed AS MATERIALIZED (SELECT run_id, ref_id, i - 1 AS pos, least(1, list_min(cur) / i) AS dl, least(1, cur[least(i, len(r)) + 1] / i) AS dt FROM de WHERE i > 0)",
+            ]
+        ctes += [
+            "sd AS MATERIALIZED (SELECT run_id, ref_id, pos, 1 - len(list_intersect(p, r)) / len(list_distinct(p || r)) AS jc, 1 - len(list_intersect(p, r[:pos + 1])) / len(list_distinct(p || r[:pos + 1])) AS jp, 1 - len(list_intersect(p, r)) / len(list_distinct(p)) AS ct FROM (SELECT run_id, pos, labels[:pos + 1] AS p, ref_id, r FROM (SELECT run_id, labels, unnest(range(0, n)) AS pos FROM tr), rl))",
+            f"bs AS MATERIALIZED (SELECT {key}, " + ", ".join(f'{bank_forms[d]} AS "{d}"' for d in wanted) + f" FROM te JOIN bv b USING (seed, k, v) JOIN sd USING (run_id, ref_id, pos){' JOIN ed USING (run_id, ref_id, pos)' if edits else ''} GROUP BY ALL)".replace("te JOIN bv b", "(SELECT seed, k, v, run_id, success, n, pos FROM te) JOIN (SELECT seed, k, v, ref_id FROM bv)"),
+        ]
+        curves += [f"SELECT {key}, '{d}' AS detector, \"{d}\" AS score FROM bs" for d in wanted]
+    ctes += _walk("ev", "")
+    forms = {"return_rate": "return_rate", "edge_novelty": "edge_novelty"}
+    curves += [f"SELECT {key}, '{d}', {c} FROM te JOIN (SELECT run_id, pos, return_rate, edge_novelty FROM wf) USING (run_id, pos)" for d, c in forms.items() if d in detectors]
+    if "step_count" in detectors:
+        curves.append(f"SELECT {key}, 'step_count', least(1, (pos + 1) / 60) FROM te")
+    if "df_legality" in detectors:
+        ctes.append("lk AS (SELECT DISTINCT seed, k, v, a AS prev, act, 1 AS known FROM (SELECT *, lag(act) OVER (PARTITION BY seed, k, v, ref_id ORDER BY pos) AS a FROM rb) WHERE a IS NOT NULL)")
+        curves.append(f"SELECT {key}, 'df_legality', CASE WHEN pos > 0 THEN sum(CAST(prev IS NOT NULL AND known IS NULL AS INTEGER)) OVER (PARTITION BY seed, k, v, run_id ORDER BY pos) / pos ELSE 0 END FROM te LEFT JOIN lk USING (seed, k, v, prev, act)")
+    if "graph_progress" in detectors:
+        ctes.append("gm AS (SELECT seed, k, v, act, avg(pos + 1) AS mu FROM rb GROUP BY ALL)")
+        curves.append(f"SELECT {key}, 'graph_progress', CASE WHEN mu IS NULL THEN 0.5 ELSE {SIG.format('(pos + 1 - mu) / 5')} END FROM te LEFT JOIN gm USING (seed, k, v, act)")
+    for d, c in (("cycle_absz", "return_rate"), ("edge_absz", "edge_novelty")):
+        if d in detectors:
+            ctes.append(f"{d} AS MATERIALIZED (SELECT seed, k, v, pos AS step, avg({c}) AS mu, greatest(coalesce(stddev_samp({c}), 0), 1e-6) AS sd FROM bv JOIN (SELECT run_id AS ref_id, pos, {c} FROM wf) USING (ref_id) GROUP BY seed, k, v, pos)")
+            curves.append(f"SELECT {key}, '{d}', {SIG.format(f'(abs({c} - mu) / sd - 1)')} FROM te JOIN (SELECT run_id, pos, {c} FROM wf) USING (run_id, pos) JOIN (SELECT seed, k, v, max(step) AS last FROM {d} GROUP BY ALL) USING (seed, k, v) JOIN {d} p USING (seed, k, v) WHERE p.step = least(pos, last)")
+    if {"dcl_viol", "dcl_div"} & set(detectors):
+        if len(seeds) * len(sizes) != 1:
+            raise ValueError("the SQL mines one draw's model")
+        ctes += [
+            "br AS MATERIALIZED (SELECT ref_id AS run_id, labels AS l FROM bd)", *_mined("br", cumulative=True),
+            f"cn AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY template, a, b) - 1 AS INTEGER) AS cid, template, a, b, n, 1.0 AS weight FROM mn WHERE support >= {support} AND template NOT IN ('succession', 'chain_succession', 'not_coexistence', 'end', 'choice', 'existence', 'absence', 'exactly', 'init'))",
+            *_verdicts(), "sg AS MATERIALIZED (SELECT run_id, pos, list(cid * 4 + state) AS s, count(*) FILTER (state = 0) AS broken FROM vd GROUP BY ALL)",
+            f"""dv AS (SELECT {', '.join('t.' + c for c in key.split(', '))}, any_value(m.broken) AS broken, {third('1 - len(list_intersect(m.s, r.s)) / len(list_distinct(m.s || r.s))')} AS div
+              FROM te t JOIN sg m ON m.run_id = t.run_id AND m.pos = t.pos JOIN bv b ON b.seed = t.seed AND b.k = t.k AND b.v = t.v JOIN sg r ON r.run_id = b.ref_id AND r.pos = least(t.pos, b.n - 1) GROUP BY ALL)""",
+        ]
+        curves += [f"SELECT {key}, '{d}', {c} FROM dv" for d, c in (("dcl_viol", "1 - exp(-broken / 8)"), ("dcl_div", "div")) if d in detectors]
+    return (
+        *ctes, f"cv AS MATERIALIZED (SELECT seed, k, v, run_id, success, n, pos, detector, round(CAST(score AS DOUBLE), 9) AS score FROM ({' UNION ALL '.join(curves)}) c({key}, detector, score))",
+        f"ts AS (SELECT CAST(q AS DOUBLE) AS q, CAST(w AS INTEGER) AS w, 3 * w AS start FROM (VALUES {values(quantiles)}) x(q), (VALUES {values(warmups)}) y(w))",
+        "pk AS (SELECT seed, k, detector, q, w, start, run_id, max(score) AS peak FROM cv, ts WHERE v <> '' AND pos >= start - 1 GROUP BY ALL)",
+        "tp AS (SELECT seed, k, detector, q, w, list_sort(list(peak))[1 + CAST(least(count(*) - 1, ceil(q * (count(*) - 1))) AS BIGINT)] AS threshold FROM pk GROUP BY seed, k, detector, q, w)",
+        "th AS MATERIALIZED (SELECT d.*, ts.*, coalesce(threshold, 'inf'::DOUBLE) AS threshold FROM (SELECT DISTINCT seed, k, detector FROM cv) d CROSS JOIN ts LEFT JOIN tp USING (seed, k, detector, q, w))",
+        "ov AS (SELECT c.seed, c.k, c.detector, q, w, threshold, run_id, success, n, pos, score > threshold AND pos + 1 >= start AS over FROM cv c JOIN th USING (seed, k, detector) WHERE v = '')",
+        "o2 AS (SELECT *, over AND coalesce(lag(over) OVER (PARTITION BY seed, k, detector, q, w, run_id ORDER BY pos), false) AS fires FROM ov)",
+        "dc AS (SELECT seed, k, detector, q, w, threshold, run_id, success, n, min(CASE WHEN fires THEN pos + 1 END) AS step FROM o2 GROUP BY ALL)",
+        """cells AS MATERIALIZED (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(pos, 0) AS recall, 2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(pos, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(pos, 0), 0) AS f1, fp / nullif(neg, 0) AS fpr, (tp + fp) / runs AS flag_rate
+          FROM (SELECT CAST(seed AS INTEGER) AS seed, CAST(k AS INTEGER) AS k, detector, q, w, threshold, count(*) FILTER (step IS NOT NULL AND NOT success) AS tp, count(*) FILTER (step IS NOT NULL AND success) AS fp, count(*) FILTER (NOT success) AS pos, count(*) FILTER (success) AS neg,
+            count(*) AS runs, avg(step / n) FILTER (NOT success) AS earliness_frac, avg(step) FILTER (NOT success) AS earliness_step FROM dc GROUP BY ALL))""",
     )
-    return sql(body, log_, *ctes).replace("LIMIT 16", f"LIMIT {k}")
+
+
+_CELL = "detector, q, w, round(threshold, 6) AS threshold, tp, fp, pos, neg, runs, " + ", ".join(f"round({m}, 6) AS {m}" for m in ("precision", "recall", "f1", "fpr", "flag_rate", "earliness_frac", "earliness_step"))
+
+
+def sweep(log_: str, seeds: tuple[int, ...], sizes: tuple[int, ...], detectors: tuple[str, ...], one: bool = False, **options) -> str:
+    return sql(f"SELECT {'' if one else 'seed, k, '}{_CELL} FROM cells", log_, *sweep_cells(log_, seeds, sizes, detectors, **options))
+
+
+# ---- reports over the cells of a small sweep: two logs, three seeds, two bank sizes, two Jaccard detectors, two quantiles
+REPORTED = ("jac/max@3", "jac/min")
 
 
 def report(body: str) -> str:
-    parts = " UNION ALL ".join(f"SELECT '{name}' AS environment, {k} AS k, * FROM ({_cell(log_, k)})" for name, log_ in (("session", SESSION), ("order", ORDER)) for k in (16, 32))
+    """`per` has the mean over seeds of each environment and setting."""
+    parts = " UNION ALL ".join("SELECT '" + name + "' AS environment, * FROM (" + sql("SELECT * FROM cells", log_, *sweep_cells(log_, (0, 1, 2), (16, 32), REPORTED, (0.9, 0.95), (1,))) + ")" for name, log_ in (("session", SESSION), ("order", ORDER)))
     return f"""WITH cells AS MATERIALIZED ({parts}),
-pe AS (SELECT detector, environment, avg(coalesce(f1, 0)) AS f1, avg(earliness_frac) AS earliness_frac, avg(flag_rate) AS flag_rate FROM cells GROUP BY ALL)
+per AS (SELECT environment, k, detector, q, w, avg(f1) AS f1, avg(earliness_frac) AS earliness_frac, avg(flag_rate) AS flag_rate FROM cells GROUP BY ALL),
+pe AS (SELECT detector, environment, avg(coalesce(f1, 0)) AS f1, avg(earliness_frac) AS earliness_frac, avg(flag_rate) AS flag_rate FROM per GROUP BY ALL)
 {body}"""
 
 
 ENVIRONMENTS = report("SELECT detector, environment, round(f1, 6) AS f1, round(earliness_frac, 6) AS earliness_frac, round(flag_rate, 6) AS flag_rate FROM pe")
 REPORT_SUMMARY = report("SELECT detector, round(avg(f1), 6) AS mean, round(coalesce(stddev_samp(f1), 0) / sqrt(count(f1)), 6) AS sem FROM pe GROUP BY detector")
-BEST_SETTING = report("SELECT detector, k, q, round(f1, 6) AS f1 FROM (SELECT detector, k, q, avg(coalesce(f1, 0)) AS f1 FROM cells GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY detector ORDER BY round(f1, 9) DESC, k, q) = 1")
-REPETITIONS = report("SELECT detector, q, round(avg(recall), 6) AS mean, round(coalesce(stddev_samp(recall), 0), 6) AS std FROM cells GROUP BY detector, q")
+BEST_SETTING = report("SELECT detector, k, q, round(f1, 6) AS f1 FROM (SELECT detector, k, q, avg(coalesce(f1, 0)) AS f1 FROM per GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY detector ORDER BY round(f1, 9) DESC, k, q) = 1")
+REPETITIONS = report("SELECT environment, k, detector, q, round(avg(recall), 6) AS mean, round(coalesce(stddev_samp(recall), 0), 6) AS std FROM cells GROUP BY environment, k, detector, q")
+#: Every metric of every setting: mean, deviation and the values by seed, as text.
+SEEDS = report("SELECT environment, k, detector, q, w, metric, round(avg(value), 6) AS mean, CASE WHEN count(value) > 0 THEN round(coalesce(stddev_samp(value), 0), 6) END AS std, array_to_string(list(coalesce(printf('%.6f', value), 'null') ORDER BY seed), ' ') AS raw FROM (SELECT environment, k, detector, q, w, seed, unnest(['f1', 'flag_rate', 'fpr', 'precision', 'recall', 'earliness_frac', 'earliness_step']) AS metric, unnest([f1, flag_rate, fpr, precision, recall, earliness_frac, earliness_step]) AS value FROM cells) GROUP BY ALL")
 
 # ---- projection: messages made from sessions
 def projected(granularity: str, family: str) -> str:

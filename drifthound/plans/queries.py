@@ -26,6 +26,8 @@ CONSTRAINTS = [
     *[(t, a, b, None, 0.25) for t in declare.TEMPLATES[5:] for a, b in PAIRS],
 ]
 
+BANK_DETECTORS = tuple(c.label() for c in detectors.CONFIGS)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -275,30 +277,54 @@ def summary(which: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluate.corpus_summary(LOGS[which](spark, sf_dir)), "failure_rate")
 
 
-def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(detectors.sweep(session_log(spark, sf_dir), support=0.3), "threshold", *evaluate.METRICS)
+def sweep(spark: SparkSession, sf_dir: str, which: str = "session", **options) -> DataFrame:
+    """All detectors for one draw of the bank."""
+    return _round(detectors.sweep(LOGS[which](spark, sf_dir), **options), "threshold", *evaluate.METRICS)
+
+
+def sweep_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine bank detectors for three seeds and two sizes of the bank, in one plan."""
+    cells, _ = detectors.sweep_draws(session_log(spark, sf_dir), (0, 1, 2), (16, 32), detectors=BANK_DETECTORS)
+    return _round(cells, "threshold", *evaluate.METRICS)
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a small sweep: two logs as environments, two draws of the bank."""
-    out = None
-    for name, log_ in (("session", session_log), ("order", order_log)):
-        for k in (16, 32):
-            part = detectors.sweep_light(log_(spark, sf_dir), k).select(F.lit(name).alias("environment"), F.lit(k).alias("k"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Cells of a small sweep: two logs as environments, three seeds, two sizes of the bank."""
+    logs = {"session": session_log(spark, sf_dir), "order": order_log(spark, sf_dir)}
+    cells, _ = detectors.sweep_all(logs, (0, 1, 2), (16, 32), quantiles=(0.9, 0.95), warmups=(1,), detectors=oracles.REPORTED)
+    return cells.withColumnRenamed("source", "environment")
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over seeds of each environment and setting."""
+    keys = ("environment", "k", "detector", "q", "w")
+    per = evaluate.over_seeds(_cells(spark, sf_dir), *keys)
+    return per.select(*keys, *[F.col(f"{m}.mean").alias(m) for m in evaluate.METRICS])
 
 
 def environments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(evaluate.per_environment(_cells(spark, sf_dir)), "f1", "earliness_frac", "flag_rate")
+    return _round(evaluate.per_environment(_settings(spark, sf_dir)), "f1", "earliness_frac", "flag_rate")
 
 
 def environment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(evaluate.ranking(evaluate.summarise(evaluate.per_environment(_cells(spark, sf_dir)))), "mean", "sem")
+    return _round(evaluate.ranking(evaluate.summarise(evaluate.per_environment(_settings(spark, sf_dir)))), "mean", "sem")
 
 
 def best_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(evaluate.best_setting(_cells(spark, sf_dir)), "f1")
+    return _round(evaluate.best_setting(_settings(spark, sf_dir)), "f1")
+
+
+def seed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested results with the values of each seed, written as a result file and read back as rows of (setting, metric)."""
+    keys = ("environment", "k", "detector", "q", "w")
+    place = shared_folder(spark, "results")
+    found = evaluate.over_seeds(_cells(spark, sf_dir), *keys)
+    write_results(evaluate.nested_results(found, "environment"), place)
+    cells = f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in found.schema if f.name != 'environment')}>>"
+    rows = spark.read.schema(f"environment string, cells {cells}").json(place).select("environment", F.inline("cells"))
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.mean").alias("mean"), F.col(f"{m}.std").alias("std"), F.col(f"{m}.raw").alias("raw")) for m in evaluate.METRICS])
+    text = F.array_join(F.transform("raw", lambda x: F.coalesce(F.format_string("%.6f", x), F.lit("null"))), " ")
+    return _round(rows.select(*keys, F.inline(each)), "mean", "std").withColumn("raw", text)
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +337,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(evaluate.mean_std(_cells(spark, sf_dir), "recall", "detector", "q"), "mean", "std")
+    return _round(evaluate.mean_std(_cells(spark, sf_dir), "recall", "environment", "k", "detector", "q"), "mean", "std")
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +387,9 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         "eval_loo_peaks": (loo_peaks, o.PEAKS), "eval_threshold": (loo_threshold, o.THRESHOLD), "eval_decisions": (decisions, o.DECISIONS), "eval_metrics": (metrics, o.METRICS),
         "eval_auc_roc": (roc, o.ROC), "eval_auc_pr": (pr, o.PR), "eval_failure_rate": (failures, o.FAILURES),
         **{f"summary_{n}": (partial(summary, n), o.sql(o.SUMMARY, t)) for n, t in (("session", o.SESSION), ("order", o.ORDER), ("conversation", o.TALK))},
-        "sweep_session": (sweep, None), "report_environments": (environments, o.ENVIRONMENTS), "report_summary": (environment_summary, o.REPORT_SUMMARY), "report_best_setting": (best_settings, o.BEST_SETTING), "report_repetitions": (repetitions, o.REPETITIONS),
+        "sweep_session": (sweep, o.sweep(o.SESSION, (0,), (16,), detectors.SWEPT, True)), "sweep_draws": (sweep_draws, o.sweep(o.SESSION, (0, 1, 2), (16, 32), BANK_DETECTORS)), "report_seeds": (seed_results, o.SEEDS),
+        "sweep_conversation": (partial(sweep, which="conversation"), o.sweep(o.TALK, (0,), (16,), detectors.SWEPT, True)), "sweep_session_support": (partial(sweep, support=0.3), o.sweep(o.SESSION, (0,), (16,), detectors.SWEPT, True, support=0.3)),
+        "report_environments": (environments, o.ENVIRONMENTS), "report_summary": (environment_summary, o.REPORT_SUMMARY), "report_best_setting": (best_settings, o.BEST_SETTING), "report_repetitions": (repetitions, o.REPETITIONS),
         "report_nested": (nested, o.mined()), "eval_calibrated": (calibrated, o.CALIBRATED),
         **{f"records_{f}": (partial(records.record_runs, f), records.record_runs_sql(f)) for f in records.READERS}, **{f"records_{f}_traces": (partial(records.record_traces, f), records.record_traces_sql(f)) for f in records.READERS},
         "records_catalogue": (records.record_catalogue, records.RECORD_CATALOGUE), **{f"project_{f}_odd": (partial(records.projected_odd, f), records.projected_odd_sql(f)) for f in records.READERS},

@@ -26,6 +26,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again: computed once, and no longer tied to what made it."""
+    place = shared_folder(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialised tables that nothing will read again."""
+    for df in tables:
+        if files := df.inputFiles():
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def catalogue(spark: SparkSession, rows: list[tuple[str, str, str, str, str]], chosen: str = "all") -> DataFrame:
     """Data sets (source, family, path, domain, model), all or those of one family."""
     df = spark.createDataFrame(rows, "source string, family string, path string, domain string, model string")

@@ -290,6 +290,7 @@ def test_bank_edits_and_names(spark):
     assert banks.mean_length(banks.add_to_bank(b, traces_of(spark, {"z": ["a"] * 6}))).first() == (3, 3.0)
     assert banks.remove_from_bank(b, "x").count() == 1
     assert banks.ScoreConfig().label() == "dl/max_knn@3" and banks.ScoreConfig("jaccard", "min").label() == "jaccard/min"
+    assert banks.ScoreConfig("dl", "quantile", q=0.5).label() == "dl/quantile@0.5" and banks.ScoreConfig("dl", "mean_knn", 4).label() == "dl/mean_knn@4" and banks.ScoreConfig(name="x").label() == "x"
     assert baselines.random_score(events_of(spark, {"r": ["a", "b"]})).select("score").distinct().count() == 1
 
 
@@ -312,13 +313,99 @@ def test_live_scores_without_attributes(spark, tmp_path):
         assert r.df_legality == pytest.approx(sum(e not in edges for e in zip(p, p[1:])) / max(1, len(p) - 1))
 
 
-def test_sweep_of_several_draws(spark, tmp_path):
-    """Each draw's cells are written; a draw without enough good runs, or of one class, is skipped and says why."""
+def walks_of(seed, count):
+    """Runs over a small graph of labels, so that some constraints hold in all of them."""
+    rng, after = random.Random(seed), {"a": "bbc", "b": "cad", "c": "abd", "d": "dab"}
+    out = {}
+    for i in range(count):
+        out[f"r{i}"] = ["a"]
+        for _ in range(rng.randint(0, 9)):
+            out[f"r{i}"].append(rng.choice(after[out[f"r{i}"][-1]]))
+    return out
+
+
+def test_curves_of_all_draws_equal_those_of_each(spark):
+    """Every detector of every draw at once, against the scores of one bank at a time, with and without the run's own part."""
+    from drifthound.operators import mining
+    from drifthound.plans import detectors
+
+    runs = walks_of(5, 60)
+    events = events_of(spark, runs).withColumn("success", F.substring("run_id", 2, 9).cast("int") % 4 != 0).cache()
+    traces = detectors.traces_of(events).cache()
+    drawn = banks.draw_banks(traces, 8, (0, 1)).cache()
+    draws = [(5, 0, 4), (7, 1, 8)]
+    got = {(r.draw, r.loo, r.run_id, r.detector): r.curve for r in detectors.draw_curves(events, drawn, draws).collect()}
+    for draw, seed, k in draws:
+        bank = banks.draw_bank(traces, k, seed).cache()
+        ids = [r.ref_id for r in bank.orderBy("bank_idx").collect()]
+        assert ids == [r.ref_id for r in drawn.filter(f"seed = {seed} AND bank_idx < {k}").orderBy("bank_idx").collect()]
+        model = mining.as_model(mining.mine(structure.as_events(bank), support=1.0, cumulative=True))
+        assert model.take(1)
+        attributes = {"kind": F.lit("tool"), "error": F.lit(False), "status": F.lit("ok"), "args_hash": F.lit(None).cast("string"), "success": F.lit(True), "task_id": F.lit(None).cast("string")}
+        for loo, part in ((False, events.filter(~F.col("run_id").isin(ids))), (True, structure.as_events(bank).withColumns(attributes))):
+            want = {}
+            for r in detectors.all_scores(part, bank, model, leave_out=loo).collect():
+                want.setdefault((draw, loo, r.run_id, r.detector), {})[r.pos] = r.score
+            for key, curve in want.items():
+                if loo or len(runs[key[2]]) >= 3:
+                    assert got.pop(key) == pytest.approx([curve[p] for p in range(len(curve))], abs=1e-6), key
+    assert not got
+
+
+def test_sweep_of_several_draws(spark):
+    """All draws are one plan; a draw without enough good runs, or of one class, is skipped and says why."""
     from drifthound.plans import detectors
 
     events = events_of(spark, runs_of(13, 30, "abcd", 9))
     mixed = events.withColumn("success", F.substring("run_id", 2, 9).cast("int") % 3 != 0)
-    cells, skipped = detectors.sweep_all({"mixed": mixed, "good": events}, str(tmp_path / "cells"), seeds=range(1), sizes=(4, 64), support=0.5, quantiles=(0.9,))
-    assert set(skipped) == {("mixed", 64, 0), ("good", 4, 0), ("good", 64, 0)} and "class" in skipped["good", 4, 0]
-    found = cells.select("source", "k", "seed", "detector", "w").distinct().collect()
-    assert {(r.source, r.k, r.seed) for r in found} == {("mixed", 4, 0)} and {r.detector for r in found} <= set(detectors.SWEPT) and len({r.detector for r in found}) >= 16
+    cells, skipped = detectors.sweep_all({"mixed": mixed, "good": events}, seeds=(0, 1), sizes=(4, 64), support=0.5, quantiles=(0.9,))
+    assert set(skipped) == {("mixed", 0, 64), ("mixed", 1, 64), *(("good", s, k) for s in (0, 1) for k in (4, 64))} and "class" in skipped["good", 0, 4] and "bank" in skipped["mixed", 0, 64]
+    rows = cells.collect()
+    assert {(r.source, r.k, r.seed) for r in rows} == {("mixed", 4, 0), ("mixed", 4, 1)} and {r.detector for r in rows} == set(detectors.SWEPT)
+    one = {(r.detector, r.q, r.w): r for r in detectors.sweep(mixed, 4, 1, support=0.5, quantiles=(0.9,)).collect()}
+    for r in rows:
+        if r.seed == 1:
+            same = one[r.detector, r.q, r.w]
+            assert (r.threshold, r.tp, r.fp, r.pos, r.neg) == (same.threshold, same.tp, same.fp, same.pos, same.neg)
+            assert (r.earliness_frac or 0) == pytest.approx(same.earliness_frac or 0)
+    assert detectors.sweep_draws(events, sizes=(4,))[0].collect() == []
+
+
+def test_fired_steps_equal_decisions(spark):
+    rng = random.Random(2)
+    curves = {f"r{i}": [rng.choice([0.1, 0.5, 0.9]) for _ in range(rng.randint(1, 12))] for i in range(60)}
+    flat = spark.createDataFrame([(k, i, x) for k, c in curves.items() for i, x in enumerate(c)], "run_id string, pos int, score double")
+    for patience in (1, 2, 3):
+        for start, limit in ((1, 0.1), (3, 0.5), (9, 0.5)):
+            want = {r.run_id: r.step for r in evaluate.decide(flat, spark.createDataFrame([(limit,)], "threshold double"), start, patience).collect()}
+            whole = spark.createDataFrame([(k, c, [(0.9, 1, start, limit)]) for k, c in curves.items()], "run_id string, curve array<double>, t array<struct<q:double,w:int,start:int,threshold:double>>")
+            assert {r.run_id: r.step for r in evaluate.fired_steps(whole, "t", patience).collect()} == want
+
+
+def test_mining_apart_equals_mining_alone(spark):
+    runs = {f"{g}{k}": l for g in "xy" for k, l in runs_of(ord(g), 6, "abc", 5).items()}
+    events = events_of(spark, runs)
+    groups = spark.createDataFrame([(k, k[0]) for k in runs], "run_id string, side string")
+    apart = {tuple(r) for r in mining.mine(events, cumulative=True, groups=groups).collect()}
+    alone = {(g, *r) for g in "xy" for r in mining.mine(events.filter(F.col("run_id").startswith(g)), cumulative=True).collect()}
+    assert apart == alone
+
+
+def test_packed_signatures_equal_sets(spark):
+    """All kinds, over more constraints than a word has bits, and with gaps in their numbers."""
+    runs, refs = runs_of(31, 8, "abc", 6), runs_of(32, 3, "abd", 5)
+    cons = [(t, a, None if t in declare.UNARY else b, 2 if t in declare.COUNTING else None) for t in declare.TEMPLATES for a, b in itertools.product("abc", "abd")]
+    model = declare.model(spark, cons).filter("cid % 5 <> 1 AND cid NOT BETWEEN 60 AND 140")
+    mine, theirs = declare.verdicts(events_of(spark, runs), model).cache(), declare.verdicts(events_of(spark, refs), model).cache()
+    own = spark.createDataFrame([(k, i) for i, k in enumerate(refs)], "run_id string, bank_idx int")
+    for kind in declare.SIGNATURES:
+        sets = lambda v: {k: {(r.cid, r.sym) for r in rows} for k, rows in itertools.groupby(sorted(declare.signature(v, kind).collect()), lambda r: (r.run_id, r.pos))}  # noqa: B023, E731
+        a, b = sets(mine), sets(theirs)
+        for mode in ("prefix", "full"):
+            out = declare.signature_distances(mine, theirs.join(own, "run_id").drop("run_id"), kind, mode).collect()
+            assert len(out) == 3 * sum(map(len, runs.values()))
+            for r in out:
+                name = list(refs)[r.bank_idx]
+                last = len(refs[name]) - 1
+                p, q = a.get((r.run_id, r.pos), set()), b.get((name, min(r.pos, last) if mode == "prefix" else last), set())
+                assert r.d == pytest.approx(1 - len(p & q) / len(p | q) if p | q else 0.0), (kind, mode)
