@@ -31,11 +31,14 @@ from __future__ import annotations
 
 import base64
 import gc
+import re
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, islice, takewhile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +183,33 @@ class Transducer:
         return out
 
 
+#: Texts without characters from here on are matched by the standard library, which is faster.
+NARROW = 0x250
+
+
+def narrowed(pattern: str) -> re.Pattern | None:
+    r"""The same matches below NARROW with \p{L}, \p{N} and \s spelled out; None if the pattern uses more than that."""
+    import regex
+
+    def ranges(kind: str) -> str:
+        inside = [c for c in range(NARROW) if regex.fullmatch(kind, chr(c))]
+        ends = [c for c in inside if c + 1 not in inside]
+        return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip([c for c in inside if c - 1 not in inside], ends))
+
+    out, in_class = [], False
+    for part in re.findall(r"\\[pP]\{\^?\w+\}|\\.|.", pattern, re.DOTALL):
+        if part in (r"\p{L}", r"\p{N}", r"\s"):
+            out.append(ranges(part) if in_class else f"[{ranges(part)}]")
+        elif part == r"\S" and not in_class:
+            out.append(f"[^{ranges(chr(92) + 's')}]")
+        elif len(part) > 1 and part[1].isalpha():
+            return None
+        else:
+            in_class = part == "[" or (in_class and part != "]")
+            out.append(part)
+    return re.compile("".join(out))
+
+
 class Encoder(dict):
     """Matches of the pattern to their ids; a dictionary of those met so far."""
 
@@ -190,7 +220,8 @@ class Encoder(dict):
         import regex
 
         super().__init__()
-        self.transducer, self.pattern = Transducer(ranks), regex.compile(pattern)
+        self.transducer, self.wide = Transducer(ranks), regex.compile(pattern)
+        self.narrow, self.wider = narrowed(pattern), re.compile(f"[{chr(NARROW)}-{chr(sys.maxunicode)}]")
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = tuple(self.transducer.encode(piece.encode()))
@@ -201,7 +232,9 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> Iterator[int]:
-        return chain.from_iterable(map(self.__getitem__, (m.group() for m in self.pattern.finditer(text)) if len(text) > BLOCK_BYTES else self.pattern.findall(text)))
+        pattern = self.wide if self.narrow is None or self.wider.search(text) else self.narrow
+        matches = pattern.findall(text) if len(text) <= BLOCK_BYTES else (m.group() for m in pattern.finditer(text))
+        return chain.from_iterable(map(self.__getitem__, matches))
 
 
 class Utf8Stream:
@@ -268,7 +301,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         gc.disable()  # states and remembered matches hold no cycles, and a search for some takes half the time
         for b in batches:
             texts = b.column(1)
-            sizes = np.fromiter((len(t) for t in texts.to_pylist()), np.int64, len(texts))
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
             for lo, hi in _blocks(sizes, BLOCK_BYTES):
                 flat, ends = [], [0]
                 for t in texts.slice(lo, hi - lo).to_pylist():
