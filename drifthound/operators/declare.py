@@ -139,7 +139,8 @@ def counters(v: DataFrame) -> DataFrame:
     )
 
 
-SIGNATURES = {"activated": "activated", "state": "true", "violated": "state = 0", "pending": "state = 1"}
+#: When a constraint is in a prefix's signature; `state` has it together with its verdict.
+SIGNATURES = {"activated": "activated", "state": "activated", "violated": "state = 0", "pending": "state = 1"}
 
 
 def signature(v: DataFrame, kind: str) -> DataFrame:
@@ -177,19 +178,18 @@ def scores(events: DataFrame, positive: DataFrame | None = None, negative: DataF
 
 
 def packed(v: DataFrame, *keys: str, kind: str = "state") -> DataFrame:
-    """keys, lo, hi: of each prefix two rows of bits, constraint by constraint, in arrays of 64-bit words.
+    """keys, in, lo, hi: rows of bits of each prefix, constraint by constraint, in arrays of 64-bit words.
 
-    For kind `state` the two bits of a constraint are its verdict; for the
-    other kinds lo says whether the constraint is in the signature. `v` is
-    partitioned by run, so neither step moves rows.
+    `in` says whether a constraint is in the signature; for kind `state`, lo
+    and hi are the two bits of its verdict. `v` is partitioned by run, so
+    neither step moves rows.
     """
     bit = F.expr("shiftleft(1L, cast(cid % 64 AS int))")
-    marked = (F.col("state") % 2 == 1) if kind == "state" else F.expr(SIGNATURES[kind])
-    second = (F.col("state") >= 2) if kind == "state" else F.lit(False)
     either = lambda x: F.bit_or(F.when(x, bit).otherwise(F.lit(0).cast("long")))
-    words = v.groupBy(*keys, F.floor(F.col("cid") / 64).alias("_w")).agg(either(marked).alias("lo"), either(second).alias("hi"))
-    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_w", "lo", "hi"))).alias("_x"))
-    return rows.select(*keys, F.transform("_x", lambda x: x["lo"]).alias("lo"), F.transform("_x", lambda x: x["hi"]).alias("hi"))
+    verdict = F.col("state") if kind == "state" else F.lit(0)
+    words = v.groupBy(*keys, F.floor(F.col("cid") / 64).alias("_w")).agg(either(F.expr(SIGNATURES[kind])).alias("in"), either(verdict % 2 == 1).alias("lo"), either(verdict >= 2).alias("hi"))
+    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_w", "in", "lo", "hi"))).alias("_x"))
+    return rows.select(*keys, *[F.col("_x").getField(c).alias(c) for c in ("in", "lo", "hi")])
 
 
 def _bits(words: int, one: Callable[[Column], Column], upto: int = 32) -> Column:
@@ -202,17 +202,14 @@ def _bits(words: int, one: Callable[[Column], Column], upto: int = 32) -> Column
     return F.aggregate(F.sequence(F.lit(0), F.lit(words - 1)), F.lit(0), lambda acc, w: acc + F.bit_count(one(w)))
 
 
-def packed_distance(words: int, kind: str = "state", mask: str | None = None) -> Column:
-    """Jaccard distance of the signatures in lo, hi and those in _lo, _hi, over the constraints of `mask` (an array like lo)."""
+def packed_distance(words: int, mask: str | None = None) -> Column:
+    """Jaccard distance of the signatures in (in, lo, hi) and (_in, _lo, _hi), over the constraints of `mask` (an array like `in`)."""
     get = lambda c, w: F.get(F.col(c), w)
     kept = (lambda x, w: x.bitwiseAND(get(mask, w))) if mask else (lambda x, w: x)
-    if kind == "state":
-        # every constraint has one symbol, so those that differ count twice in the union; bits past the last constraint are equal
-        differ = _bits(words, lambda w: kept(get("lo", w).bitwiseXOR(get("_lo", w)).bitwiseOR(get("hi", w).bitwiseXOR(get("_hi", w))), w))
-        both = F.col("_size") - differ
-        return F.when(F.col("_size") > 0, 1 - both / (F.col("_size") + differ)).otherwise(F.lit(0.0))
-    both = _bits(words, lambda w: kept(get("lo", w).bitwiseAND(get("_lo", w)), w))
-    union = _bits(words, lambda w: kept(get("lo", w).bitwiseOR(get("_lo", w)), w))
+    differ = lambda w: get("lo", w).bitwiseXOR(get("_lo", w)).bitwiseOR(get("hi", w).bitwiseXOR(get("_hi", w)))
+    both = _bits(words, lambda w: kept(get("in", w).bitwiseAND(get("_in", w)).bitwiseAND(F.bitwise_not(differ(w))), w))
+    size = lambda c: _bits(words, lambda w: kept(get(c, w), w))
+    union = size("in") + size("_in") - both
     return F.when(union > 0, 1 - both / union).otherwise(F.lit(0.0))
 
 
@@ -228,11 +225,11 @@ def signature_distances(v: DataFrame, bank_v: DataFrame, kind: str = "state", mo
     if kind not in SIGNATURES:
         raise ValueError(f"unknown signature {kind!r}")
     theirs = packed(bank_v, "bank_idx", "pos", kind=kind)
-    size, words = bank_v.agg(F.count_distinct("cid"), F.count_distinct(F.floor(F.col("cid") / 64))).first()
+    words = bank_v.agg(F.count_distinct(F.floor(F.col("cid") / 64))).first()[0]
     ends = theirs.groupBy("bank_idx").agg(F.max("pos").alias("last"))
     mine = packed(v, "run_id", "pos", kind=kind).join(F.broadcast(ends))
     at = F.least("pos", "last") if mode == "prefix" else F.col("last")
-    t = theirs.select(F.col("bank_idx").alias("_b"), F.col("pos").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    t = theirs.select(F.col("bank_idx").alias("_b"), F.col("pos").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("in", "lo", "hi")])
     # references times their steps: as small as the bank
-    met = mine.join(F.broadcast(t), (F.col("bank_idx") == F.col("_b")) & (at == F.col("_p"))).withColumn("_size", F.lit(size))
-    return met.select("run_id", "pos", "bank_idx", packed_distance(words, kind).alias("d"))
+    met = mine.join(F.broadcast(t), (F.col("bank_idx") == F.col("_b")) & (at == F.col("_p")))
+    return met.select("run_id", "pos", "bank_idx", packed_distance(words).alias("d"))

@@ -129,17 +129,17 @@ def _constraint_curves(events: DataFrame, grid: DataFrame, refs: DataFrame, mode
     bits = materialised(declare.packed(declare.verdicts(events, constraints), "run_id", "pos"), "verdicts")
     zero = F.array(*[F.lit(0).cast("long")] * words)
     one = models.groupBy("draw", F.floor(F.col("cid") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cid % 64 AS int))")).alias("m")).groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("_m"))
-    masks = one.select("draw", F.transform(zero, lambda x, w: F.coalesce(F.try_element_at("_m", w.cast("long")), x)).alias("mask")).join(models.groupBy("draw").agg(F.count("*").alias("_size")), "draw")
+    masks = one.select("draw", F.transform(zero, lambda x, w: F.coalesce(F.try_element_at("_m", w.cast("long")), x)).alias("mask"))
     mine = grid.select("run_id", "draw", "loo", "pos").join(bits, ["run_id", "pos"]).join(F.broadcast(masks), "draw")
-    broken = F.lit(0)
+    broken = F.lit(0)  # verdicts of 0; a constraint violated for good may not be activated
     for w in range(words):
         lo, hi = F.get("lo", F.lit(w)), F.get("hi", F.lit(w))
         broken = broken + F.bit_count(F.bitwise_not(lo.bitwiseOR(hi)).bitwiseAND(F.get("mask", F.lit(w))))
-    theirs = bits.join(F.broadcast(refs.select("run_id").distinct()), "run_id").select(F.col("run_id").alias("_ref"), F.col("pos").alias("_pos"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    theirs = bits.join(F.broadcast(refs.select("run_id").distinct()), "run_id").select(F.col("run_id").alias("_ref"), F.col("pos").alias("_pos"), *[F.col(c).alias(f"_{c}") for c in ("in", "lo", "hi")])
     held = refs.groupBy("draw", "run_id").agg(F.max("pos").alias("_last")).withColumnRenamed("run_id", "_ref")
     # all of a run's rows stay together: the other sides are as small as the banks
     met = mine.withColumn("viol", 1 - F.exp(-broken / 8)).join(F.broadcast(held), "draw").filter("_ref <> run_id").withColumn("_pos", F.least("pos", "_last")).join(F.broadcast(theirs), ["_ref", "_pos"])
-    scored = met.groupBy("run_id", "draw", "loo", "pos").agg(F.first("viol").alias("dcl_viol"), nearest(F.collect_list(declare.packed_distance(words, mask="mask")), "max_knn", 3).alias("dcl_div"))
+    scored = met.groupBy("run_id", "draw", "loo", "pos").agg(F.first("viol").alias("dcl_viol"), nearest(F.collect_list(declare.packed_distance(words, "mask")), "max_knn", 3).alias("dcl_div"))
     return _curves(scored, "dcl_viol", "dcl_div")
 
 

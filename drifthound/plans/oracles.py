@@ -49,15 +49,16 @@ SPLIT = sql("""SELECT run_id, 'bank' AS role FROM b UNION ALL SELECT run_id, 'ca
     "b AS MATERIALIZED (SELECT run_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY md5('0|' || run_id)) AS r FROM t WHERE success) WHERE r = 1 ORDER BY md5('0|' || task_id) LIMIT 16)")
 
 # ---- baselines
-COUNTED = {
-    "step_count": "least(1, (pos + 1) / 60)", "error_rate": f"sum(CAST(error AS INTEGER)) OVER ({RUNNING}) / (pos + 1)",
-    "error_count": f"least(1, sum(CAST(error AS INTEGER)) OVER ({RUNNING}) / 5)", "repeat_rate": f"sum(again) OVER ({RUNNING}) / (pos + 1)",
-    "empty_rate": f"sum(CAST(status = 'empty' AS INTEGER)) OVER ({RUNNING}) / (pos + 1)", "policy_count": f"least(1, sum(CAST(status IN ('policy', 'invalid') AS INTEGER)) OVER ({RUNNING}) / 2)",
+_CALLS = f"nullif(count(*) FILTER (kind = 'tool') OVER ({RUNNING}), 0)"
+COUNTED = {  # rates are of tool events only
+    "step_count": "least(1, (pos + 1) / 60)", "error_rate": f"coalesce(count(*) FILTER (error AND kind = 'tool') OVER ({RUNNING}) / {_CALLS}, 0)",
+    "error_count": f"least(1, sum(CAST(error AS INTEGER)) OVER ({RUNNING}) / 5)", "repeat_rate": f"coalesce(sum(again) OVER ({RUNNING}) / {_CALLS}, 0)",
+    "empty_rate": f"coalesce(count(*) FILTER (status = 'empty' AND kind = 'tool') OVER ({RUNNING}) / {_CALLS}, 0)", "policy_count": f"least(1, sum(CAST(status IN ('policy', 'invalid') AS INTEGER)) OVER ({RUNNING}) / 2)",
 }
 
 
 def counted(name: str) -> str:
-    return sql(f"SELECT run_id, pos, round(CAST({COUNTED[name]} AS DOUBLE), 6) AS score FROM a", SESSION, "a AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, args_hash ORDER BY pos) > 1 AS INTEGER) AS again FROM ev)")
+    return sql(f"SELECT run_id, pos, round(CAST({COUNTED[name]} AS DOUBLE), 6) AS score FROM a", SESSION, "a AS (SELECT *, CAST(kind = 'tool' AND args_hash IS NOT NULL AND row_number() OVER (PARTITION BY run_id, kind, args_hash ORDER BY pos) > 1 AS INTEGER) AS again FROM ev)")
 
 
 def _nll(order: int) -> tuple[str, ...]:
@@ -198,9 +199,9 @@ SCORES = """SELECT run_id, pos, round(1 - exp(-v / 8), 6) AS dcl_pos_viol, round
 
 def signature_bank(rows: list[tuple], mode: str) -> str:
     at = "least(m.pos, l.last)" if mode == "prefix" else "l.last"
-    return sql(f"""SELECT run_id, pos, {STATS} FROM (SELECT m.run_id, m.pos, 1 - len(list_intersect(m.s, r.s)) / (len(m.s) + len(r.s) - len(list_intersect(m.s, r.s))) AS d
+    return sql(f"""SELECT run_id, pos, {STATS} FROM (SELECT m.run_id, m.pos, coalesce(1 - len(list_intersect(m.s, r.s)) / nullif(len(list_distinct(m.s || r.s)), 0), 0) AS d
         FROM sg m, (SELECT bank_idx, max(pos) AS last FROM sb GROUP BY bank_idx) l JOIN sb r ON r.bank_idx = l.bank_idx AND r.pos = {at}) GROUP BY run_id, pos""", SESSION, constraints_sql(rows), *_verdicts(), *_verdicts("be", "cn", "b", "bank_idx"),
-        "sg AS MATERIALIZED (SELECT run_id, pos, list(cid * 4 + state) AS s FROM vd GROUP BY ALL)", "sb AS MATERIALIZED (SELECT bank_idx, pos, list(cid * 4 + state) AS s FROM vdb GROUP BY ALL)")
+        "sg AS MATERIALIZED (SELECT run_id, pos, coalesce(list(cid * 4 + state) FILTER (activated), []) AS s FROM vd GROUP BY ALL)", "sb AS MATERIALIZED (SELECT bank_idx, pos, coalesce(list(cid * 4 + state) FILTER (activated), []) AS s FROM vdb GROUP BY ALL)")
 
 
 # ---- mining
@@ -332,8 +333,8 @@ def sweep_cells(log_: str, seeds: tuple[int, ...], sizes: tuple[int, ...], detec
         ctes += [
             "br AS MATERIALIZED (SELECT ref_id AS run_id, labels AS l FROM bd)", *_mined("br", cumulative=True),
             f"cn AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY template, a, b) - 1 AS INTEGER) AS cid, template, a, b, n, 1.0 AS weight FROM mn WHERE support >= {support} AND template NOT IN ('succession', 'chain_succession', 'not_coexistence', 'end', 'choice', 'existence', 'absence', 'exactly', 'init'))",
-            *_verdicts(), "sg AS MATERIALIZED (SELECT run_id, pos, list(cid * 4 + state) AS s, count(*) FILTER (state = 0) AS broken FROM vd GROUP BY ALL)",
-            f"""dv AS (SELECT {', '.join('t.' + c for c in key.split(', '))}, any_value(m.broken) AS broken, {third('1 - len(list_intersect(m.s, r.s)) / len(list_distinct(m.s || r.s))')} AS div
+            *_verdicts(), "sg AS MATERIALIZED (SELECT run_id, pos, coalesce(list(cid * 4 + state) FILTER (activated), []) AS s, count(*) FILTER (state = 0) AS broken FROM vd GROUP BY ALL)",
+            f"""dv AS (SELECT {', '.join('t.' + c for c in key.split(', '))}, any_value(m.broken) AS broken, {third('coalesce(1 - len(list_intersect(m.s, r.s)) / nullif(len(list_distinct(m.s || r.s)), 0), 0)')} AS div
               FROM te t JOIN sg m ON m.run_id = t.run_id AND m.pos = t.pos JOIN bv b ON b.seed = t.seed AND b.k = t.k AND b.v = t.v JOIN sg r ON r.run_id = b.ref_id AND r.pos = least(t.pos, b.n - 1) GROUP BY ALL)""",
         ]
         curves += [f"SELECT {key}, '{d}', {c} FROM dv" for d, c in (("dcl_viol", "1 - exp(-broken / 8)"), ("dcl_div", "div")) if d in detectors]
@@ -399,9 +400,18 @@ def projected(granularity: str, family: str) -> str:
 
 
 COVERAGE = sql("SELECT act AS tool, count(*) AS calls, count(*) FILTER (act <> 'error') AS ok, count(*) FILTER (act = 'error') AS err, act <> 'error' AS known, act = 'error' AS hallucinated FROM ev GROUP BY act")
-_LIVE = {  # each score of the stream, as the same score of whole runs says it
-    "edit_knn": (FLAGSHIP, "score"), "jaccard_knn": (set_distance("jaccard"), "d_max3"), "jaccard_prefix_knn": (set_distance("jaccard_prefix"), "d_max3"), "containment_min": (set_distance("containment"), "d_min"),
-    **{n: (walk(n), "score") for n in ("return_rate", "edge_novelty")}, **{n: (profile(n), "score") for n in ("cycle_absz", "edge_absz")}, "df_legality": (LEGALITY, "score"), "graph_progress": (PROGRESS, "score"),
-    **{n: (counted(n), "score") for n in COUNTED},
-}
-STREAM = ("SELECT run_id, pos, " + ", ".join(f"round({n}, 6) AS {n}" for n in _LIVE) + " FROM " + " JOIN ".join(f"(SELECT run_id, pos, {c} AS {n} FROM ({body})){' USING (run_id, pos)' if i else ''}" for i, (n, (body, c)) in enumerate(_LIVE.items()))).replace("24 HOUR", "1000000 HOUR")
+
+
+def live(rows: list[tuple]) -> str:
+    """Each score of the stream, as the same score of whole runs says it; sign-ups are answers there, not tool calls."""
+    forms = {
+        "edit_knn": (edit_distance("dl"), "d_max3"), "edit_full_knn": (edit_distance("dl_full"), "d_max3"), "edit_trunc_knn": (edit_distance("dl_trunc"), "d_max3"),
+        **{f"{n}_knn": (set_distance(n), "d_max3") for n in ("jaccard", "jaccard_prefix", "ngram2_jaccard", "ngram2_jaccard_prefix", "ngram3_jaccard")}, "cosine_knn": (set_distance("cosine_count"), "d_max3"), "containment_min": (set_distance("containment"), "d_min"),
+        **{n: (walk(n), "score") for n in ("return_rate", "edge_novelty")}, **{n: (profile(n), "score") for n in ("cycle_resid", "cycle_absz", "edge_absz")}, "df_legality": (LEGALITY, "score"), "graph_progress": (PROGRESS, "score"), "dfg_fitness": (REPLAY, "score"),
+        "ngram0": (ngram(0), "score"), "ngram1": (ngram(1), "score"), "step_surprisal": (SURPRISAL, "score"), **{n: (counted(n), "score") for n in COUNTED},
+        "dcl_viol": (over_verdicts(SCORES, rows), "dcl_pos_viol"), "dcl_div": (signature_bank(rows, "prefix"), "d_max3"),
+    }
+    joined = " JOIN ".join(f"(SELECT run_id, pos, {c} AS {n} FROM ({body})){' USING (run_id, pos)' if i else ''}" for i, (n, (body, c)) in enumerate(forms.items()))
+    text = "SELECT run_id, pos, " + ", ".join(f"round({n}, 6) AS {n}" for n in forms) + " FROM " + joined
+    text = text.replace(STATS, "list_sort(list(d))[1] AS d_min, list_sort(list(d))[3] AS d_max3")  # rounded once
+    return text.replace("24 HOUR", "1000000 HOUR").replace("'tool' AS kind", "CASE WHEN event_type = 'signup' THEN 'respond' ELSE 'tool' END AS kind")

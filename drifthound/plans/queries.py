@@ -341,15 +341,15 @@ def repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live scores of each user's events, read as a stream; the bank is drawn from whole users."""
+    """Live scores of each user's events, read as a stream; the bank is drawn from whole users; a sign-up is an answer, not a tool call."""
     log_ = session_log(spark, sf_dir, gap_hours=1_000_000)
     bank = banks.draw_bank(traces_of(log_))
     place = shared_folder(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     error = F.col("event_type") == "error"
-    rows = arriving.select(F.concat("user_id", F.lit(":1")).alias("run_id"), "ts", "event_id", F.col("event_type").alias("act"), error.alias("error"), status_of(error).alias("status"), hash_of().alias("args_hash"))
-    scoring.run_once(scoring.score_stream(rows, bank), f"{place}/scores", f"{place}/state")
+    rows = arriving.select(F.concat("user_id", F.lit(":1")).alias("run_id"), "ts", "event_id", F.col("event_type").alias("act"), F.when(F.col("event_type") == "signup", "respond").otherwise("tool").alias("kind"), error.alias("error"), status_of(error).alias("status"), hash_of().alias("args_hash"))
+    scoring.run_once(scoring.score_stream(rows, bank, _model(spark)), f"{place}/scores", f"{place}/state")
     return _round(spark.read.parquet(f"{place}/scores").select("run_id", "pos", *scoring.SCORES), *scoring.SCORES)
 
 
@@ -395,7 +395,7 @@ def _all() -> dict[str, tuple[Query, str | None]]:
         "records_catalogue": (records.record_catalogue, records.RECORD_CATALOGUE), **{f"project_{f}_odd": (partial(records.projected_odd, f), records.projected_odd_sql(f)) for f in records.READERS},
         **{f"project_list_{g}": (partial(projected, g, "list", "fifo" if g == "status" else "id"), o.projected(g, "list")) for g in projection.GRANULARITIES},
         **{f"project_object_{g}": (partial(projected, g, "object", "fifo" if g == "rw_status" else "id"), o.projected(g, "object")) for g in projection.GRANULARITIES},
-        "registry_coverage": (tool_coverage, o.COVERAGE), "stream_scores": (stream_scores, o.STREAM),
+        "registry_coverage": (tool_coverage, o.COVERAGE), "stream_scores": (stream_scores, o.live(CONSTRAINTS)),
     }
     return q
 

@@ -1,8 +1,13 @@
 """Live scores: one row for each arriving event, with the state of its run kept by Spark.
 
-A run's state is what its next score needs: the labels so far for edit
-distance (two rows of the table against each reference), counts for the
-others. Events of a run are taken in the order of (ts, event_id) within a
+A run's state has two parts. What has a fixed size (counts, the last two rows
+of the edit tables, what each reference shares with the run, verdicts) is one
+binary row. What grows with the run (labels, n-grams and fingerprints that the
+bank does not have) is a map in the state store, of which an event reads and
+writes the few entries it touches; so a run costs the same for each event,
+however long it is and however its events are cut into batches.
+
+Events of a run are taken in the order of (ts, event_id) within a
 micro-batch; an event that is older than the last one scored is late: it is
 dropped and counted. With `expire_ms`, for queries that go on, state goes that
 long after a run's last event; without it a query may stop when all is read.
@@ -10,9 +15,8 @@ long after a run's last event; without it a query may stop when all is read.
 
 from __future__ import annotations
 
-import copy
-import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -21,122 +25,286 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.baselines import START as CONTEXT
 from ..operators.distances import bounded
+from ..operators.structure import START
+from .monitors import PAIR, Monitors, distance, signature
 
 #: Scores of each event, in the order of the output's columns.
-SCORES = ("edit_knn", "jaccard_knn", "jaccard_prefix_knn", "containment_min", "return_rate", "edge_novelty", "cycle_absz", "edge_absz", "df_legality", "graph_progress", "step_count", "error_rate", "error_count", "repeat_rate", "empty_rate", "policy_count")
+SCORES = (
+    "edit_knn", "edit_full_knn", "edit_trunc_knn", "jaccard_knn", "jaccard_prefix_knn", "containment_min", "ngram2_jaccard_knn", "ngram2_jaccard_prefix_knn", "ngram3_jaccard_knn", "cosine_knn",
+    "return_rate", "edge_novelty", "cycle_resid", "cycle_absz", "edge_absz", "df_legality", "graph_progress", "dfg_fitness", "ngram0", "ngram1", "step_surprisal",
+    "step_count", "error_rate", "error_count", "repeat_rate", "empty_rate", "policy_count", "dcl_viol", "dcl_div",
+)
 OUTPUT = "run_id string, pos int, act string, " + "".join(f"{c} double, " for c in SCORES) + "late long"
-START = {"n": 0, "last": None, "now": None, "before": None, "left": [], "edges": [], "back": 0, "seen": [], "strange": 0, "hashes": [], "error": 0, "again": 0, "empty": 0, "policy": 0, "at": None, "late": 0}
-
-
-def _walk(s: dict, act: str) -> tuple[float, float]:
-    """Return rate and edge novelty with one more label."""
-    if s["last"] is not None:
-        if act != s["last"] and s["last"] not in s["left"]:
-            s["left"].append(s["last"])
-        if [s["last"], act] not in s["edges"]:
-            s["edges"].append([s["last"], act])
-    s["back"] += act in s["left"]
-    s["n"], s["last"] = s["n"] + 1, act
-    return s["back"] / s["n"], len(s["edges"]) / (s["n"] - 1) if s["n"] > 1 else 0.0
+SEPARATOR = "\x1f"
 
 
 def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-class RunScorer(StatefulProcessor):
-    """Distances to the bank (kappa-th nearest, or least), walk features and their profiles, and counts of each run."""
+class Seen:
+    """Keys that a run has had and the bank hasn't, with how often: a map in the state store.
 
-    def __init__(self, bank: list[list[str]], kappa: int = 3, expire_ms: int | None = None, step_cap: int = 60) -> None:
-        self.bank, self.kappa, self.expire_ms, self.step_cap = bank, kappa, expire_ms, step_cap
+    What a batch has read it does not read again.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("run", StructType([StructField("at", StringType()), StructField("n", LongType())]))
-        self.names = {a: i for i, a in enumerate(sorted({a for r in self.bank for a in r}))}
-        self.lengths = np.array([len(r) for r in self.bank], np.int64)
-        self.refs = np.full((len(self.bank), max(self.lengths, default=0)), -1, np.int64)
-        for j, r in enumerate(self.bank):
-            self.refs[j, : len(r)] = [self.names[a] for a in r]
+    def __init__(self, grown: Any) -> None:
+        self.grown, self.known = grown, {}
+
+    def times(self, key: str) -> int:
+        if key not in self.known:
+            self.known[key] = self.grown.getValue((key,))[0] if self.grown.containsKey((key,)) else 0
+        return self.known[key]
+
+    def add(self, key: str) -> int:
+        """Count the key once more; how often it was there before."""
+        before = self.times(key)
+        self.known[key] = before + 1
+        self.grown.updateValue((key,), (before + 1,))
+        return before
+
+    def note(self, key: str) -> bool:
+        """Make sure that the key is there; whether it is new."""
+        return not self.times(key) and self.add(key) == 0
+
+
+def _of_steps(values: list[list[np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation (n - 1, at least 1e-6) at each step over runs."""
+    steps = max(map(len, values), default=0)
+    at = [np.array([v[i] for v in values if len(v) > i]) for i in range(steps)]
+    return [(v.mean(axis=0), np.maximum(v.std(axis=0, ddof=1) if len(v) > 1 else np.zeros_like(v[0]), 1e-6)) for v in at]
+
+
+class Shared:
+    """What the bank's n-grams of one order share with a run: places of first occurrence, reference by reference."""
+
+    def __init__(self, bank: list[list[str]], n: int) -> None:
+        grams = [[SEPARATOR.join(r[i - n + 1 : i + 1]) if i >= n - 1 else None for i in range(len(r))] for r in bank]
+        self.number = {g: i for i, g in enumerate(sorted({g for r in grams for g in r if g is not None}))}
+        self.first = np.zeros((len(self.number), len(bank)), np.int64)
+        self.fresh: list[list[tuple[int, int]]] = [[] for _ in range(max(map(len, bank), default=0))]  # (reference, gram) new at a step
+        self.upto = np.zeros((len(self.fresh) + 1, len(bank)), np.int64)
+        for j, r in enumerate(grams):
+            for i, g in enumerate(r):
+                if g is not None and not self.first[self.number[g], j]:
+                    self.first[self.number[g], j] = i + 1
+                    self.fresh[i].append((j, self.number[g]))
+        for i, new in enumerate(self.fresh):
+            self.upto[i + 1] = self.upto[i]
+            for j, _ in new:
+                self.upto[i + 1, j] += 1
+
+    def fields(self, n: int) -> list[tuple]:
+        return [(f"seen{n}", "?", (len(self.number),)), (f"mine{n}", "i8"), (f"whole{n}", "i8", (self.first.shape[1],)), (f"prefix{n}", "i8", (self.first.shape[1],))]
+
+    def push(self, s: np.void, n: int, gram: str | None, rest: Seen | None, step: int) -> bool:
+        """Take the gram that ends at `step` (from 1); whether it is new in the run."""
+        if step <= len(self.fresh):
+            for j, g in self.fresh[step - 1]:  # the references' new grams that the run has had before
+                s[f"prefix{n}"][j] += s[f"seen{n}"][g]
+        if gram is None:
+            return False
+        g = self.number.get(gram)
+        if g is None:
+            new = rest.note(f"{n}{gram}")
+        else:
+            new = not s[f"seen{n}"][g]
+            if new:
+                s[f"seen{n}"][g] = True
+                s[f"whole{n}"] += self.first[g] > 0
+                s[f"prefix{n}"] += (self.first[g] > 0) & (self.first[g] <= step)
+        s[f"mine{n}"] += new
+        return new
 
-        self.known = {(a, b) for r in self.bank for a, b in zip(r, r[1:])}
+    def jaccard(self, s: np.void, n: int, step: int | None = None) -> np.ndarray:
+        """To whole references, or to their first `step` events."""
+        both, theirs = (s[f"whole{n}"], self.upto[-1]) if step is None else (s[f"prefix{n}"], self.upto[min(step, len(self.fresh))])
+        return 1 - both / (s[f"mine{n}"] + theirs - both) if s[f"mine{n}"] else np.zeros(len(both))
+
+
+class Bank:
+    """What a processor knows of the bank and the model, and the state of a run as one numpy record."""
+
+    def __init__(self, bank: list[list[str]], constraints: list[tuple], kappa: int) -> None:
+        self.kappa, self.k = kappa, len(bank)
+        self.shared = {n: Shared(bank, n) for n in (1, 2, 3)}
+        self.names = self.shared[1].number
+        self.lengths = np.array([len(r) for r in bank], np.int64)
+        self.width = int(max(self.lengths, default=0))
+        self.refs = np.full((self.k, self.width), -1, np.int64)
+        for j, r in enumerate(bank):
+            self.refs[j, : len(r)] = [self.names[a] for a in r]
+        labels = len(self.names)
+        self.counts = np.zeros((labels, self.k), np.int64)
+        for j, r in enumerate(bank):
+            for a in r:
+                self.counts[self.names[a], j] += 1
+        self.norms = (self.counts**2).sum(axis=0)
+        # a smoothed model of the bank, without and with the label before
+        self.once, self.after = Counter(a for r in bank for a in r), Counter((p, a) for r in bank for p, a in zip([CONTEXT, *r], r))
+        self.contexts = Counter(p for r in bank for p in [CONTEXT, *r][:-1])
         places: dict[str, list[int]] = {}
-        walks: list[list[tuple[float, float]]] = []
-        for r in self.bank:
-            s = copy.deepcopy(START)
+        for r in bank:
             for i, a in enumerate(r):
                 places.setdefault(a, []).append(i + 1)
-                if i == len(walks):
-                    walks.append([])
-                walks[i].append(_walk(s, a))
         self.mean_place = {a: sum(p) / len(p) for a, p in places.items()}
-        self.profile = [(np.mean(w, axis=0), np.maximum(np.std(w, axis=0, ddof=1) if len(w) > 1 else np.zeros(2), 1e-6)) for w in walks]
+        graph: dict[str, set[str]] = {}
+        for r in bank:
+            for p, a in zip([START, *r], r):
+                graph.setdefault(a, set()).add(p)
+        self.sources = {a: sorted(p) for a, p in graph.items()}  # of marked ones the smallest gives its token
+        self.monitors = Monitors(constraints)
+        self.record = np.dtype([
+            ("n", "i8"), ("now", "i4", (self.k, self.width + 1)), ("before", "i4", (self.k, self.width + 1)), *[f for n, x in self.shared.items() for f in x.fields(n)],
+            ("dot", "i8", (self.k,)), ("norm", "i8"), ("times", "i8", (labels,)), ("left", "?", (labels,)), ("marks", "i8", (labels + 1,)), ("missing", "i8"), ("back", "i8"), ("strange", "i8"), ("nll", "f8", (2,)),
+            *[(c, "i8") for c in ("tool", "error", "errors", "again", "empty", "policy", "late")], ("pairs", PAIR, (len(self.monitors.pairs),)), ("verdicts", "u1", (self.monitors.size,)), ("active", "?", (self.monitors.size,)),
+        ])
+        runs = [self._replayed(r) for r in bank]
+        self.profile = _of_steps([[w for w, _, _ in r] for r in runs])
+        self.totals = _of_steps([[t for _, t, _ in r] for r in runs])
+        self.signatures = [[s for _, _, s in r] for r in runs]
+
+    def start(self) -> np.ndarray:
+        s = np.zeros(1, self.record)
+        s["now"] = np.arange(self.width + 1)
+        s["marks"][0, -1] = 1  # the start's token
+        s["pairs"] = self.monitors.start()
+        return s
 
-    def _sets(self, seen: set[str], n: int) -> tuple[float, float, float]:
-        """Jaccard distance to whole references and to their first n labels, and containment."""
-        if not self.bank:
+    def _replayed(self, run: list[str]) -> list[tuple[np.ndarray, np.ndarray, tuple]]:
+        """Of each prefix of a reference: walk features, surprisal so far, signature."""
+        s, last, out = self.start()[0], [None, None], []
+        for a in run:
+            walk = self.push(s, a, last, None)
+            out.append((np.array(walk), s["nll"][1].copy(), signature(s["verdicts"], s["active"]) if self.monitors.size else (0, 0, 0)))
+        return out
+
+    def push(self, s: np.void, act: str, last: list[str | None], rest: Seen | None) -> tuple[float, float]:
+        """Take an event into all but the edit tables and the counts of attributes; return rate and edge novelty.
+
+        `last` has the two labels before; `rest` keeps what the bank doesn't have.
+        """
+        n, name, (before, earlier) = int(s["n"]) + 1, self.names.get(act), last
+        if before is not None and before != act:
+            if (old := self.names.get(before)) is not None:
+                s["left"][old] = True
+            else:
+                rest.note(f"l{before}")
+        grams = {1: act, 2: SEPARATOR.join((before, act)) if before is not None else None, 3: SEPARATOR.join((earlier, before, act)) if earlier is not None else None}
+        for k, shared in self.shared.items():
+            shared.push(s, k, grams[k], rest, n)
+        if name is not None:
+            times = int(s["times"][name])
+            s["times"][name] += 1
+            s["dot"] += self.counts[name]
+        else:
+            times = rest.add(f"t{act}")
+        s["norm"] += 2 * times + 1
+        s["back"] += s["left"][name] if name is not None else rest.times(f"l{act}") > 0
+        s["strange"] += before is not None and grams[2] not in self.shared[2].number
+        v = len(self.once) + 1
+        for order, (seen, total) in enumerate(((self.once[act], self.once.total()), (self.after[before or CONTEXT, act], self.contexts[before or CONTEXT]))):
+            s["nll"][order] -= math.log((seen + 0.5) / (total + 0.5 * v) if total else 1 / v)
+        source = next((x for x in self.sources.get(act, ()) if s["marks"][self.names.get(x, -1)] > 0), None)
+        if source is None:
+            s["missing"] += 1
+        else:
+            s["marks"][self.names.get(source, -1)] -= 1
+        if name is not None:
+            s["marks"][name] += 1
+        if self.monitors.size:
+            self.monitors.push(s["pairs"], s["verdicts"], s["active"], act, before, n - 1)
+        s["n"] = n
+        last[:] = [act, before]
+        return s["back"] / n, int(s["mine2"]) / (n - 1) if n > 1 else 0.0
+
+    def edits(self, s: np.void, act: str, before: str | None) -> tuple[float, float, float]:
+        """One more row of each edit table; n is still the number of events before."""
+        if not self.k:
             return 0.0, 0.0, 0.0
-        whole, cut = [set(r) for r in self.bank], [set(r[:n]) for r in self.bank]
-        at = min(self.kappa, len(self.bank)) - 1
-        near = lambda refs: sorted(1 - len(seen & r) / len(seen | r) for r in refs)[at]
-        return near(whole), near(cut), min(1 - len(seen & r) / len(seen) for r in whole)
-
-    def _edit(self, s: dict, act: str) -> float:
-        """One more row of each table."""
-        k, width = self.refs.shape
-        if not k:
-            return 0.0
-        steps = np.arange(width + 1)
-        now = np.array(s["now"]) if s["now"] else np.tile(steps, (k, 1))
-        code = self.names.get(act, -2)
-        same = self.refs == code if code >= 0 else np.zeros(self.refs.shape, bool)
-        base = np.empty((k, width + 1), np.int64)
-        base[:, 0] = s["n"] + 1
+        n, steps, now = int(s["n"]), np.arange(self.width + 1), s["now"]
+        same = self.refs == self.names.get(act, -2)
+        base = np.empty(now.shape, np.int64)
+        base[:, 0] = n + 1
         base[:, 1:] = np.minimum(now[:, 1:] + 1, now[:, :-1] + ~same)
-        if s["n"] and width > 1:
-            before, last = np.array(s["before"]), self.names.get(s["last"], -2)
-            swapped = same[:, :-1] & (self.refs[:, 1:] == last)
-            base[:, 2:] = np.where(swapped, np.minimum(base[:, 2:], before[:, :-2] + 1), base[:, 2:])
+        if n and self.width > 1:
+            swapped = same[:, :-1] & (self.refs[:, 1:] == self.names.get(before, -2))
+            base[:, 2:] = np.where(swapped, np.minimum(base[:, 2:], s["before"][:, :-2] + 1), base[:, 2:])
         row = np.minimum.accumulate(base - steps, axis=1) + steps
-        s["before"], s["now"] = now.tolist(), row.tolist()
-        d = np.where(steps <= self.lengths[:, None], row, 1 << 30).min(axis=1) / (s["n"] + 1)
-        return float(np.sort(np.minimum(1.0, d))[min(self.kappa, k) - 1])
+        s["before"] = now
+        s["now"] = row
+        at = np.arange(self.k)
+        return (
+            self.near(np.minimum(1.0, np.where(steps <= self.lengths[:, None], row, 1 << 30).min(axis=1) / (n + 1))), self.near(row[at, self.lengths] / np.maximum(n + 1, self.lengths)),
+            self.near(np.minimum(1.0, row[at, np.minimum(n + 1, self.lengths)] / (n + 1))),
+        )
+
+    def near(self, d: np.ndarray) -> float:
+        """The kappa-th nearest; 0 for an empty bank."""
+        return float(np.sort(d)[min(self.kappa, len(d)) - 1]) if len(d) else 0.0
+
+    def scores(self, s: np.void, act: str, walk: tuple[float, float]) -> list[float]:
+        """The scores after `edits`, up to those of the attributes."""
+        n, one, two, three = int(s["n"]), self.shared[1], self.shared[2], self.shared[3]
+        cosine = np.where(self.norms > 0, 1 - s["dot"] / np.sqrt(np.maximum(1, self.norms) * float(s["norm"])), 1.0)
+        contained = float((1 - s["whole1"] / s["mine1"]).min()) if self.k else 0.0
+        mean, sd = self.profile[min(n, len(self.profile)) - 1] if self.profile else (np.zeros(2), np.ones(2))
+        total, spread = self.totals[min(n, len(self.totals)) - 1] if self.totals else (s["nll"][1], 1.0)
+        return [
+            self.near(one.jaccard(s, 1)), self.near(one.jaccard(s, 1, n)), contained, self.near(two.jaccard(s, 2)), self.near(two.jaccard(s, 2, n)), self.near(three.jaccard(s, 3)), self.near(np.clip(cosine, 0, 1)),
+            *walk, _sigmoid(walk[0] - mean[0]), *[_sigmoid(abs(v - m) / d - 1) for v, m, d in zip(walk, mean, sd)], s["strange"] / (n - 1) if n > 1 else 0.0,
+            _sigmoid((n - self.mean_place[act]) / 5) if act in self.mean_place else 0.5, s["missing"] / n, min(1.0, s["nll"][0] / n / 6), min(1.0, s["nll"][1] / n / 6), _sigmoid((s["nll"][1] - total) / spread / 2),
+        ]
+
+    def constraint_scores(self, s: np.void) -> list[float]:
+        if not self.monitors.size:
+            return [0.0, 0.0]
+        mine, n = signature(s["verdicts"], s["active"]), int(s["n"])
+        return [1 - math.exp(-int((s["verdicts"] == 0).sum()) / 8), self.near(np.array([distance(mine, r[min(n, len(r)) - 1]) for r in self.signatures if r]))]
+
+
+class RunScorer(StatefulProcessor):
+    """All scores of each event of a run."""
+
+    def __init__(self, bank: list[list[str]], constraints: list[tuple], kappa: int = 3, expire_ms: int | None = None, step_cap: int = 60) -> None:
+        self.given, self.expire_ms, self.step_cap = (bank, constraints, kappa), expire_ms, step_cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.bank = handle, Bank(*self.given)
+        self.state = handle.getValueState("run", "at long, event_id long, last string, earlier string, fixed binary")
+        self.grown = handle.getMapState("grown", "key string", "times long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get()
-        s = json.loads(held[0]) if held is not None else copy.deepcopy(START)
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        record = np.frombuffer(held[4], self.bank.record).copy() if held is not None else self.bank.start()
+        s, at = record[0], (held[0], held[1]) if held is not None else None
+        last = [held[2], held[3]] if held is not None else [None, None]
+        rest = Seen(self.grown)
         out = []
-        for e in events.itertuples():
-            at = [str(e.ts), int(e.event_id)]
-            if s["at"] is not None and (pd.Timestamp(at[0]), at[1]) <= (pd.Timestamp(s["at"][0]), s["at"][1]):
+        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
+            here = (e.ts.value // 1000, int(e.event_id))
+            if at is not None and here <= at:
                 s["late"] += 1
                 continue
-            s["at"] = at
-            knn = self._edit(s, e.act)
-            s["strange"] += s["last"] is not None and (s["last"], e.act) not in self.known
-            walk = _walk(s, e.act)
-            n = s["n"]
-            if e.act not in s["seen"]:
-                s["seen"].append(e.act)
-            profile = (0.0, 0.0)
-            if self.profile:
-                mean, sd = self.profile[min(n, len(self.profile)) - 1]
-                profile = tuple(_sigmoid(abs(v - m) / d - 1) for v, m, d in zip(walk, mean, sd))
-            progress = _sigmoid((n - self.mean_place[e.act]) / 5) if e.act in self.mean_place else 0.5
-            s["error"] += pd.notna(e.error) and bool(e.error)
-            if pd.notna(e.args_hash):
-                s["again"] += e.args_hash in s["hashes"]
-                if e.args_hash not in s["hashes"]:
-                    s["hashes"].append(e.args_hash)
-            s["empty"] += e.status == "empty"
+            at = here
+            edits = self.bank.edits(s, e.act, last[0])
+            walk = self.bank.push(s, e.act, last, rest)
+            tool, error = e.kind == "tool", pd.notna(e.error) and bool(e.error)
+            s["tool"] += tool
+            s["error"] += error
+            s["errors"] += tool and error
+            if tool and pd.notna(e.args_hash):
+                s["again"] += not rest.note(f"h{e.args_hash}")
+            s["empty"] += tool and e.status == "empty"
             s["policy"] += e.status in ("policy", "invalid")
-            counts = (min(1.0, n / self.step_cap), s["error"] / n, min(1.0, s["error"] / 5), s["again"] / n, s["empty"] / n, min(1.0, s["policy"] / 2))
-            out.append((key[0], n - 1, e.act, knn, *self._sets(set(s["seen"]), n), *walk, *profile, s["strange"] / (n - 1) if n > 1 else 0.0, progress, *counts, s["late"]))
-        self.state.update((json.dumps(s), s["n"]))
+            n, calls = int(s["n"]), max(1, int(s["tool"]))
+            counts = (min(1.0, n / self.step_cap), s["errors"] / calls, min(1.0, s["error"] / 5), s["again"] / calls, s["empty"] / calls, min(1.0, s["policy"] / 2))
+            out.append((key[0], n - 1, e.act, *edits, *self.bank.scores(s, e.act, walk), *counts, *self.bank.constraint_scores(s), int(s["late"])))
+        if at is not None:
+            self.state.update((at[0], at[1], last[0], last[1], record.tobytes()))
         if self.expire_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
@@ -146,21 +314,27 @@ class RunScorer(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.state.clear()
+        self.grown.clear()
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def score_stream(events: DataFrame, bank: DataFrame, kappa: int = 3, expire_ms: int | None = None) -> DataFrame:
-    """Streaming rows (run_id, ts, event_id, act, error, status, args_hash) to scores; `bank` is a batch table of few runs.
+def score_stream(events: DataFrame, bank: DataFrame, constraints: DataFrame | None = None, kappa: int = 3, expire_ms: int | None = None) -> DataFrame:
+    """Streaming rows (run_id, ts, event_id, act, kind, error, status, args_hash) to scores.
 
-    Columns error, status and args_hash may be missing: no event is then an error, empty, refused or a repeat.
+    `bank` and `constraints` (a model as `declare.model` makes it) are batch
+    tables of few rows. Columns error, status and args_hash may be missing: no
+    event is then an error, empty, refused or a repeat; without kind every
+    event is a tool's. Without constraints their two scores are 0.
     """
     given = events.columns
-    events = events.withColumns({c: F.lit(None).cast(t) for c, t in (("error", "boolean"), ("status", "string"), ("args_hash", "string")) if c not in given})
+    spare = (("kind", F.lit("tool")), ("error", F.lit(None).cast("boolean")), ("status", F.lit(None).cast("string")), ("args_hash", F.lit(None).cast("string")))
+    events = events.withColumns({c: x for c, x in spare if c not in given})
     labels = [r.labels for r in bounded(bank).orderBy("bank_idx").select("labels").collect()]
-    return events.groupBy("run_id").transformWithStateInPandas(RunScorer(labels, kappa, expire_ms), outputStructType=OUTPUT, outputMode="append", timeMode="None" if expire_ms is None else "ProcessingTime")
+    model = [tuple(r) for r in constraints.orderBy("cid").select("template", "a", "b", "n").collect()] if constraints is not None else []
+    return events.groupBy("run_id").transformWithStateInPandas(RunScorer(labels, model, kappa, expire_ms), outputStructType=OUTPUT, outputMode="append", timeMode="None" if expire_ms is None else "ProcessingTime")
 
 
 def run_once(scored: DataFrame, path: str, checkpoint: str) -> None:

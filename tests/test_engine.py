@@ -294,23 +294,87 @@ def test_bank_edits_and_names(spark):
     assert baselines.random_score(events_of(spark, {"r": ["a", "b"]})).select("score").distinct().count() == 1
 
 
-def test_live_scores_without_attributes(spark, tmp_path):
-    """Rows without error, status and args_hash: nothing counts as an error or a repeat; the other scores are those of whole runs."""
+def streamed(spark, folder, batches, bank, model=None):
+    """Rows (run_id, second, event_id, act, kind, error, status, args_hash), batch by batch, through the stream; its output by (run, pos)."""
     from drifthound.streaming import scoring
 
-    runs, refs = runs_of(11, 6, "abcd"), runs_of(12, 4, "abce")
-    rows = [(r, i, i, a) for r, l in runs.items() for i, a in enumerate(l)]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "run_id string, ts long, event_id long, act string, kind string, error boolean, status string, args_hash string")
+        df.selectExpr("run_id", "timestamp_seconds(ts) AS ts", "event_id", "act", "kind", "error", "status", "args_hash").write.parquet(str(folder / f"in/{n}"))
+        stream = spark.readStream.schema("run_id string, ts timestamp, event_id long, act string, kind string, error boolean, status string, args_hash string").option("recursiveFileLookup", "true").parquet(str(folder / "in"))
+        scoring.run_once(scoring.score_stream(stream, bank, model), str(folder / "out"), str(folder / "state"))
+    return {(r.run_id, r.pos): r for r in spark.read.parquet(str(folder / "out")).collect()}
+
+
+def test_live_scores_equal_those_of_whole_runs(spark, tmp_path):
+    """All scores, for runs cut over three batches, with labels that the bank doesn't have, messages between tool calls, and late events."""
+    runs, refs = runs_of(11, 9, "abcde", 12), runs_of(12, 5, "abcf")
+    kinds = {"a": "user", "b": "respond"}
+    rows = {r: [(r, i, i, x, kinds.get(x, "tool"), x == "c", {"c": "policy", "d": "empty"}.get(x, "ok"), x if i % 3 else None) for i, x in enumerate(l)] for r, l in runs.items()}
+    batches = [[e for l in rows.values() for e in l[len(l) * k // 3 : len(l) * (k + 1) // 3]] for k in range(3)]
+    first = next(l for l in rows.values() if len(l) > 6)[0]
+    bank = bank_of(spark, refs)
+    model = declare.model(spark, [(t, a, None if t in declare.UNARY else b, 2 if t in declare.COUNTING else None) for t in declare.TEMPLATES for a, b in (("a", "b"), ("c", "c"), ("b", "e"), ("f", "a"))])
+    got = streamed(spark, tmp_path, [batches[0], [*batches[1], first], batches[2]], bank, model)
+    assert len(got) == sum(map(len, runs.values()))
+    assert max(r.late for (run, _), r in got.items() if run == first[0]) == 1 and all(r.late == 0 for (run, _), r in got.items() if run != first[0])
+
+    events = spark.createDataFrame([(r, i, x, r, kind, error, status, h, len(l), True) for r, l in rows.items() for _, i, _, x, kind, error, status, h in l], "run_id string, pos int, act string, task_id string, kind string, error boolean, status string, args_hash string, n int, success boolean").cache()
+    traces = traces_of(spark, runs)
+    third = lambda df, *cols: df.groupBy("run_id", "pos").agg(*[nearest(F.collect_list(c), "min" if c == "containment" else "max_knn", 3).alias(c) for c in cols])
+    own = spark.createDataFrame([(k, i) for i, k in enumerate(refs)], "run_id string, bank_idx int")
+    ref_events = structure.as_events(bank)
+    theirs = declare.verdicts(ref_events, model).join(own, "run_id").drop("run_id")
+    names = {"jaccard": "jaccard_knn", "jaccard_prefix": "jaccard_prefix_knn", "containment": "containment_min", "ngram2_jaccard": "ngram2_jaccard_knn", "ngram2_jaccard_prefix": "ngram2_jaccard_prefix_knn", "ngram3_jaccard": "ngram3_jaccard_knn", "cosine_count": "cosine_knn"}
+    score = lambda df, name: df.select("run_id", "pos", F.col("score").alias(name))
+    tables = [
+        third(distances.set_distances(events, bank, tuple(names)), *names).withColumnsRenamed(names),
+        distances.edit_scores(traces, bank, {n: (d, "max_knn", 3, 0.25) for n, d in (("edit_knn", "dl"), ("edit_full_knn", "dl_full"), ("edit_trunc_knn", "dl_trunc"))}),
+        structure.walk_features(events).drop("act"), structure.profile_scores(events, ref_events), baselines.counted_scores(events),
+        score(structure.df_legality(events, bank), "df_legality"), score(structure.graph_progress(events, bank), "graph_progress"), score(structure.dfg_fitness(traces, bank), "dfg_fitness"),
+        score(baselines.ngram_score(events, bank, 0), "ngram0"), score(baselines.ngram_score(events, bank, 1), "ngram1"), score(structure.step_surprisal(events, bank, ref_events), "step_surprisal"),
+        declare.scores(events, model, wanted=("dcl_pos_viol",)).withColumnRenamed("dcl_pos_viol", "dcl_viol"),
+        third(declare.signature_distances(declare.verdicts(events, model), theirs), "d").withColumnRenamed("d", "dcl_div"),
+    ]
+    from drifthound.streaming import scoring
+
+    compared = set()
+    for t in tables:
+        for r in t.collect():
+            for c in t.columns[2:]:
+                assert got[r.run_id, r.pos][c] == pytest.approx(r[c], abs=1e-9), (c, runs[r.run_id][: r.pos + 1])
+                compared.add(c)
+    assert compared == set(scoring.SCORES)
+
+
+def test_live_scores_without_attributes_or_bank(spark, tmp_path):
+    from drifthound.streaming import scoring
+
+    rows = [("r", i, i, x) for i, x in enumerate("abab")]
     spark.createDataFrame(rows, "run_id string, ts long, event_id long, act string").selectExpr("run_id", "timestamp_seconds(ts) AS ts", "event_id", "act").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("run_id string, ts timestamp, event_id long, act string").parquet(str(tmp_path / "in"))
-    scoring.run_once(scoring.score_stream(stream, bank_of(spark, refs)), str(tmp_path / "out"), str(tmp_path / "state"))
-    out = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(out) == len(rows) and all(r.error_rate == r.repeat_rate == r.empty_rate == r.policy_count == 0 for r in out)
-    sets = [set(r) for r in refs.values()]
-    edges = {e for r in refs.values() for e in zip(r, r[1:])}
-    for r in out:
-        p = runs[r.run_id][: r.pos + 1]
-        assert r.jaccard_knn == pytest.approx(sorted(1 - len(set(p) & s) / len(set(p) | s) for s in sets)[2])
-        assert r.df_legality == pytest.approx(sum(e not in edges for e in zip(p, p[1:])) / max(1, len(p) - 1))
+    scoring.run_once(scoring.score_stream(stream, bank_of(spark, {"x": ["a"]}).filter("false")), str(tmp_path / "out"), str(tmp_path / "state"))
+    out = spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()
+    assert len(out) == 4 and all(r.error_rate == r.repeat_rate == r.policy_count == r.edit_knn == r.jaccard_knn == r.dcl_viol == 0 for r in out)
+    assert [r.return_rate for r in out] == pytest.approx([0, 0, 1 / 3, 1 / 2])
+
+
+def test_monitors_wake_only_what_an_event_can_change():
+    from drifthound.streaming.monitors import Monitors
+
+    rng, cons = random.Random(4), [(t, a, None if t in declare.UNARY else b, 2 if t in declare.COUNTING else None) for t in declare.TEMPLATES for a, b in itertools.product("abcd", "abcd")]
+    m = Monitors(cons)
+    pairs, v, active, woken, prev = m.start(), np.zeros(m.size, np.uint8), np.zeros(m.size, bool), [], None
+    for i in range(200):
+        x = rng.choice("abcdxyz")
+        before = v.copy(), active.copy()
+        woken.append(m.push(pairs, v, active, x, prev, i))
+        touched = [c for c, (_, a, b, _) in enumerate(cons) if x in (a, b) or prev == a]
+        if i:
+            changed = np.flatnonzero((v != before[0]) | (active != before[1]))
+            assert set(changed) <= set(touched)
+        prev = x
+    assert min(woken) == 0 and max(woken[1:]) < len(m.pairs)
 
 
 def walks_of(seed, count):

@@ -1,6 +1,8 @@
 """Message logs in both record shapes, with the odd cases of each."""
 
 import json
+import random
+import time
 
 import pytest
 
@@ -46,6 +48,43 @@ def test_fifo_without_ids_and_repeated_ids(spark):
     assert labels(P.relabel(P.project(m), "tool_result")) == ["a!policy", "b", "c", "d!notfound"]
 
 
+def answers(steps):
+    """Which call each result answers, by the rule over whole lists: the same id's last step if that is a call, else the first call that is open."""
+    out = {}
+    for i, (what, name) in enumerate(steps):
+        if what == "result":
+            same = [j for j in range(i) if name is not None and steps[j][1] == name]
+            if same and steps[same[-1]][0] == "call":
+                out[i] = same[-1]
+            elif rest := [j for j in range(i) if steps[j][0] == "call" and j not in out.values()]:
+                out[i] = rest[0]
+    return out
+
+
+def test_answers_of_many_runs(spark):
+    rng = random.Random(1)
+    texts = {f"r{k}": [(rng.choice(["call", "result"]), rng.choice([None, "x", "y", "z", "x"])) for _ in range(rng.randint(1, 14))] for k in range(150)}
+    rows = [(r, i, "assistant", None, json.dumps([call(f"c{i}", name)]), None, None, None) if what == "call" else (r, i, "tool", f"n{i}", None, name, None, None) for r, steps in texts.items() for i, (what, name) in enumerate(steps)]
+    found = {}
+    for e in P.project(spark.createDataFrame(rows, COLUMNS)).filter("obs_len IS NOT NULL").collect():
+        found.setdefault(e.run_id, {})[e.act] = e.obs_len
+    for r, steps in texts.items():
+        want = {f"c{c}": len(f"n{i}") for i, c in sorted(answers(steps).items())}  # the last result of a call stays
+        assert found.get(r, {}) == want, (r, steps)
+
+
+def test_long_run_is_matched_in_one_pass(spark):
+    """100,000 open calls, of which every other one is named by its result, the newest first."""
+    n = 100_000
+    e = spark.range(n).selectExpr("'r' AS run_id", "cast(id AS int) AS idx", "0 AS sub", "cast(id AS int) AS pos", "true AS is_call", "if(id % 2 = 1, cast(id AS string), null) AS call_id")
+    results = spark.range(n).selectExpr("'r' AS run_id", f"cast({n} + id AS int) AS idx", f"if(id < {n // 2}, cast({n} - 1 - 2 * id AS string), null) AS result_id")
+    began = time.perf_counter()
+    out = P._answered_calls(e, results).cache()
+    assert out.count() == n and out.select("pos").distinct().count() == n
+    assert out.filter(f"idx = {n}").first().pos == n - 1 and out.filter(f"idx = {n + n // 2}").first().pos == 0
+    assert time.perf_counter() - began < 60
+
+
 def test_odd_calls(spark):
     m = table(spark, [
         ("assistant", "x", "[]", None, None, None), ("assistant", None, "not a list", None, None, None), ("assistant", None, str([call("lit", "1")]), None, None, None),
