@@ -13,7 +13,9 @@ Stars: each n-gram's nodes first meet one of them, the node with the fewest
 n-grams of its own, which of near copies is the nearest to their common text.
 So a group of near copies makes about as many pairs as it has rows, not their
 square. For n-grams of many nodes further stars, each around a node outside the
-n-gram's largest component, go on while each at least halves what is left.
+n-gram's largest component, go on while each at least halves what is left. Rows
+that no partner of their n-gram's sizes can link with from there on (too few
+n-grams follow) take no part: pages of one template with words of their own.
 
 Product: then what two nodes of different components share of the n-grams they
 keep is counted by joining the incidence to itself on the n-gram, as long as
@@ -306,9 +308,24 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
     def rooted(rows: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.join(labels.withColumnsRenamed({"node": "_n", "root": "_r"}), F.col("node") == F.col("_n"), "left").select(*rows.columns, F.coalesce("_r", "node").alias("root"))
 
+    def within_reach(rows: DataFrame) -> DataFrame:
+        """Rows that can reach a partner of their n-gram's sizes: what follows them calls for a partner small enough, and a partner for a row small enough.
+
+        Pages of one template have their own n-grams first and then the
+        template's: too little follows for a partner of their size, so none of
+        them is left to be paired.
+        """
+        largest = F.expr(f"(n - place) * {num + den} div {num} - n")  # size of the largest partner
+        ends = written(rows.groupBy("token").agg(F.min("n").alias("_n"), F.max(largest).alias("_m")).withColumnRenamed("token", "_t"), "ends")
+        kept = written(rows.withColumn("_l", largest).join(ends, F.col("token") == F.col("_t")).filter("_l >= _n AND n <= _m").select(*rows.columns), "reach")
+        discard(ends)
+        return kept
+
     links = star(incidence, incidence)
     labels = components(links)
-    crowded = incidence.filter("crowded")
+    wider = within_reach(incidence.filter("crowded"))
+    crowded = within_reach(wider)
+    discard(wider)
     bound, last, heavy = product_rows * incidence.count(), None, None
     while True:
         discard(heavy)
@@ -342,7 +359,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_c
     possible = counted.filter(f"(shared + follow - 1) * {num + den} >= (na + nb) * {num}")
     found = links_of(possible.select("a", "b"))
     old, links = links, written(links.unionByName(found), "links")
-    discard(old, found, labels, heavy, signed, incidence, signatures, wide)
+    discard(old, found, labels, heavy, signed, incidence, crowded, signatures, wide)
     labels = components(links)
     # the least id of each node, then of each component; each is a table, so that Spark can split the joins' large keys
     members = sets.filter("n IS NOT NULL").select("id", "h", "node", "n")
