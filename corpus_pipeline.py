@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from drifthound.llm import decontam, mixing, ngram_join, quality, token_ids
-from drifthound.llm.common import table, written
+from drifthound.llm.common import discard, table, unused, written
 from drifthound.llm.queries import tokenizer_path
 
-#: The column that takes the training position from the mix to the shards.
+#: The column that takes the training position from the mix to the shards; underscores are put before it where documents have it.
 POSITION = "training_position"
 
 
@@ -30,13 +30,13 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, with their training position."""
-    return mixing.mix_documents(docs, position_col=POSITION)
+    """Documents as often as the mix takes them, with their training position as the last column."""
+    return mixing.mix_documents(docs, position_col=unused(docs, POSITION)[0])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in shard files in training order, and what was read back from them."""
-    return token_ids.token_ids(docs, tokenizer_path(), order_col=POSITION).drop("shard")
+    return token_ids.token_ids(docs, tokenizer_path(), order_col=docs.columns[-1]).drop("shard")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -53,9 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            discard(before)  # its successor is written
+            before = docs
     return docs
