@@ -258,6 +258,20 @@ def test_ngram_components(spark, crowd, product):
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, 4, 85, 100)
 
 
+def test_ngram_components_of_template_pages(spark):
+    """Pages of two templates with words of their own, few or many: only the short ones link, and none of the links is lost."""
+    rng = random.Random(22)
+    texts = []
+    for i in range(500):
+        template = [f"t{i % 2}x{j}" for j in range(100)]
+        own = [f"w{i}x{j}" for j in range(rng.randint(4, 30))]
+        at = rng.choice([0, 100, 100, 50])
+        texts.append(" ".join(template[:at] + own + template[at:]))
+    for parts in (1, 3):
+        got = ngram_join.link_components(docs_of(spark, texts).repartition(parts), 4, 85, 100).orderBy("doc_id").collect()
+        assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, 4, 85, 100)
+
+
 def test_ngram_components_of_one_crowd(spark):
     """Many near copies in one task: their n-grams are frequent, and nodes of every salt must meet."""
     rng = random.Random(12)
@@ -459,3 +473,29 @@ def test_quality_counts_single_words(spark):
 def test_shard_files_in_folder(tmp_path):
     address = put(str(tmp_path), "x", [b"a", b"b"])
     assert get(address) == b"ab" and get(f"file://{address}") == b"ab"
+
+
+def test_labelled_sample_beside_any_columns(spark):
+    """Documents with the names that the sample uses inside, and an id in many rows."""
+    rows = [(i % 40 if i < 40 else 7, f"text {i}", "a", 1.0, 5, "x") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string, weight double, _i int, id string")
+    labels = spark.createDataFrame([(i, i % 2, 9.0, "t") for i in range(40)] + [(3, 0, 1.0, "t"), (None, 1, 1.0, "t")], "doc_id long, quality int, weight double, text string")
+    from drifthound.llm.common import labelled_sample
+
+    sample = labelled_sample(docs, labels, "quality", per_class=12).collect()
+    assert sorted(r.label for r in sample) == [0] * 12 + [1] * 12
+    assert all(r.label == r.id % 2 for r in sample)
+
+
+@pytest.mark.parametrize("operator", ("toxicity", "quality"))
+def test_classifiers_beside_any_columns(spark, operator):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "fine", "calm", "soft"] if i % 2 else ["bad", "vile", "evil", "harsh"]) for _ in range(30)) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "a", 1.0, 5, "x", 0.5, 1) for i, t in enumerate(texts)], "doc_id long, text string, label string, weight double, _i int, id string, score double, predicted int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    module = {"toxicity": toxicity, "quality": quality}[operator]
+    model = module.fit(docs, labels, "toxic")
+    out = {r.doc_id: r.predicted for r in module.score(docs, model).collect()}
+    assert len(out) == 80
+    if operator == "quality":  # so few different words are no passage's log-odds
+        assert sum(out[i] == i % 2 for i in range(80)) > 70

@@ -62,7 +62,8 @@ def mixed(rows):
 def place(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("pipeline"))
     rows, sources, items = corpus(3)
-    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, ((t, _), s) in enumerate(zip(rows, sources))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    # with columns of the names that stages use
+    spark.createDataFrame([(i, t, "en", s, len(t or ""), -1.0, 3, 0.5, 7, "k") for i, ((t, _), s) in enumerate(zip(rows, sources))], "doc_id long, text string, lang string, source string, n_chars long, training_position double, label int, weight double, _i long, mix_key string").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, y, 0) for i, (_, y) in enumerate(rows) if i % 3], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(f"item{i}", t) for i, t in enumerate(items)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
