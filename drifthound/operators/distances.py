@@ -13,6 +13,7 @@ nearest references is wanted, it is reduced there too.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import nearest_of, nearest_sorted, run_order, so_far, without_own
+from ..sources.blocks import read_block, write_blocks
 
 #: The largest bank that is broadcast; a larger one is an error.
 MOST_REFERENCES = 4096
@@ -31,10 +33,14 @@ SET_DISTANCES = ("jaccard", "jaccard_prefix", "containment", "ngram2_jaccard", "
 EDIT_DISTANCES = ("dl", "dl_full", "dl_trunc")
 
 
+def large(bank: DataFrame) -> bool:
+    return bank.select("bank_idx").limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES
+
+
 def bounded(bank: DataFrame) -> DataFrame:
     """The bank, if it is small enough to broadcast."""
-    if bank.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
-        raise ValueError(f"a bank has at most {MOST_REFERENCES} references")
+    if large(bank):
+        raise ValueError(f"a bank of more than {MOST_REFERENCES} references is scored by block_scores")
     return bank
 
 
@@ -138,7 +144,9 @@ def _edit_values(row: np.ndarray, n: int, lengths: np.ndarray, inside: np.ndarra
 
 def _by_prefix(traces: DataFrame, bank: DataFrame, wanted: tuple[str, ...], columns: str, made, last_only: bool = False) -> DataFrame:
     """run_id, pos and `columns`, which `made` gets from the distances of some runs and their own place in the bank."""
-    held = bounded(bank).orderBy("bank_idx").select("labels").collect()
+    held = bank.orderBy("bank_idx").select("labels").limit(MOST_REFERENCES + 1).collect()
+    if len(held) > MOST_REFERENCES:
+        raise ValueError(f"distances by reference are for banks of at most {MOST_REFERENCES} references; edit_scores takes any bank")
     names = {a: n for n, a in enumerate(sorted({a for r in held for a in r.labels}))}
     lengths = np.array([len(r.labels) for r in held], np.int64)
     refs = np.full((len(held), max(lengths, default=0)), -1, np.int32)
@@ -188,11 +196,14 @@ def edit_distances(traces: DataFrame, bank: DataFrame, last_only: bool = False,
 def edit_scores(traces: DataFrame, bank: DataFrame, scores: dict[str, tuple[str, str, int, float]]) -> DataFrame:
     """run_id, pos and a column for each score: name to (distance, aggregator, kappa, q).
 
-    If `traces` has a column own, that place of the bank is left out for the run.
+    If `traces` has a column own, that place of the bank is left out for the
+    run. A bank too large to broadcast is read in blocks (`block_scores`).
     """
     wanted = tuple(sorted({d for d, *_ in scores.values()}))
     if unknown := set(wanted) - set(EDIT_DISTANCES):
         raise ValueError(f"unknown distance {sorted(unknown)}")
+    if large(bank):
+        return block_scores(traces, bank, scores)
     return _by_prefix(traces, bank, wanted, ", ".join(f"`{n}` double" for n in scores), lambda values, own: [nearest_of(values[d], own, *how) for d, *how in scores.values()]).toDF("run_id", "pos", *scores)
 
 
@@ -310,6 +321,121 @@ def draw_curves(traces: DataFrame, references: dict[str, list[str]], draws: list
     return traces.select("run_id", "labels").mapInArrow(run, "run_id string, draw int, loo boolean, curves array<array<double>>")
 
 
+class Nearest:
+    """The smallest distances of each prefix of a run so far, as many as a score needs; for a mean, their sum."""
+
+    def __init__(self, n: int, how: str, kappa: int, q: float, size: int) -> None:
+        self.how, self.kappa, self.q, self.size = how, kappa, q, size
+        place = q * max(0, size - 1)
+        self.keep = {"min": 1, "max_knn": max(1, min(kappa, size)), "mean_knn": max(1, min(kappa, size)), "quantile": min(size, math.floor(place) + 2)}.get(how)
+        self.values = np.full((n, self.keep or 0), np.inf)
+        self.total = np.zeros(n)
+
+    def limit(self) -> np.ndarray:
+        """Distances from here on change nothing."""
+        return self.values[:, -1] if self.keep else np.full(len(self.total), np.inf)
+
+    def add(self, d: np.ndarray) -> None:
+        """Distances of each prefix (rows) to some references."""
+        if not self.keep:
+            self.total += d.sum(axis=1)
+            return
+        both = np.concatenate([self.values, d], axis=1)
+        both.partition(self.keep - 1, axis=1)
+        self.values = np.sort(both[:, : self.keep], axis=1)
+
+    def score(self) -> np.ndarray:
+        if not self.size:
+            return np.zeros(len(self.total))
+        if not self.keep:
+            return self.total / self.size
+        if self.how == "quantile":
+            place = self.q * max(0, self.size - 1)
+            low = math.floor(place)
+            a, b = self.values[:, low], self.values[:, min(low + 1, self.size - 1)]
+            return a + (b - a) * (place - low)
+        return self.values.mean(axis=1) if self.how == "mean_knn" else self.values[:, -1]
+
+
+def _pair_tables(run: np.ndarray, refs: np.ndarray) -> Iterator[np.ndarray]:
+    """Row by row of the edit tables of one run against some references."""
+    return (rows[0] for rows in edit_rows(run[None, :], np.array([len(run)]), refs))
+
+
+def block_scores(traces: DataFrame, bank: DataFrame, scores: dict[str, tuple[str, str, int, float]], block: int = 2048, at_once: int = 128) -> DataFrame:
+    """`edit_scores` against a bank of any size, exactly.
+
+    The bank lies in blocks of `block` references that tasks read one by one.
+    A run's prefixes keep the nearest distances so far. What a prefix has more
+    of a label than a whole reference has must be edited away, and lengths that
+    differ must be made up for: references whose bounds reach none of the
+    distances kept, at no prefix, are not compared. Those with the least bounds
+    come first, so that the distances kept fall early.
+    """
+    if unknown := {d for d, *_ in scores.values()} - set(EDIT_DISTANCES):
+        raise ValueError(f"unknown distance {sorted(unknown)}")
+    size = bank.count()
+    blocks = write_blocks(bank.select(F.col("bank_idx").cast("long").alias("bank_idx"), "labels"), block, "bank")
+    outputs = [f"s{i}" for i in range(len(scores))]
+    hows = list(scores.values())
+
+    def of_run(run: np.ndarray, own: int, numbers: np.ndarray, counts: np.ndarray, refs: np.ndarray, lengths: np.ndarray, kept: list[Nearest]) -> None:
+        n, steps = len(run), np.arange(1, len(run) + 1)
+        others = np.flatnonzero(numbers != own)
+        some = max(1, MOST_CELLS // n)
+        for lo in range(0, len(others), some):
+            part = others[lo : lo + some]
+            times = np.zeros(n, np.int64)
+            seen: dict[int, int] = {}
+            for i, c in enumerate(run.tolist()):
+                times[i] = seen[c] = seen.get(c, 0) + 1
+            surplus = np.cumsum(times[:, None] > counts[part][:, run].T, axis=0)  # prefixes x references
+            bounds = {"dl": surplus / steps[:, None], "dl_trunc": surplus / steps[:, None], "dl_full": np.maximum(surplus, np.abs(steps[:, None] - lengths[part])) / np.maximum(steps[:, None], lengths[part])}
+            order = np.argsort(surplus[-1], kind="stable")
+            while len(order):
+                chosen, order = order[:at_once], order[at_once:]
+                rows = part[chosen]
+                found = {d: np.empty((n, len(rows))) for d in {d for d, *_ in hows}}
+                inside = np.arange(refs.shape[1] + 1) <= lengths[rows][:, None]
+                for i, table in enumerate(_pair_tables(run, refs[rows])):
+                    for d, v in _edit_values(table[None], i + 1, lengths[rows], inside, tuple(found)).items():
+                        found[d][i] = v[0]
+                for (d, *_), k in zip(hows, kept):
+                    k.add(found[d])
+                near = np.zeros(len(order), bool)
+                for (d, *_), k in zip(hows, kept):
+                    near |= (bounds[d][:, order] < k.limit()[:, None]).any(axis=0)
+                order = order[near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own = batch.column(0), batch.column(2).to_pylist()
+            runs = [x or [] for x in batch.column(1).to_pylist()]
+            kept = [[Nearest(len(r), how, kappa, q, size - (o >= 0)) for _, how, kappa, q in hows] for r, o in zip(runs, own)]
+            for address in blocks:
+                table = read_block(address)
+                labels = table.column("labels").to_pylist()
+                names: dict[str, int] = {}
+                lengths = np.array([len(r) for r in labels], np.int64)
+                refs = np.full((len(labels), max(lengths, default=0)), -1, np.int32)
+                for j, r in enumerate(labels):
+                    refs[j, : len(r)] = [names.setdefault(a, len(names)) for a in r]
+                counts = np.zeros((len(labels), len(names) + 1), np.int32)  # the last is for labels that no reference has
+                np.add.at(counts, (np.repeat(np.arange(len(labels)), lengths), refs[refs >= 0]), 1)
+                numbers = table.column("bank_idx").to_numpy()
+                for r, o, k in zip(runs, own, kept):
+                    if r:
+                        of_run(np.array([names.get(a, len(names)) for a in r], np.int32), o, numbers, counts, refs, lengths, k)
+            sizes = np.array([len(r) for r in runs], np.int64)
+            pos = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            values = [pa.array(np.concatenate([k[s].score() for k in kept])) for s in range(len(hows))]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(runs)), sizes))), pa.array(pos.astype(np.int32)), *values], names=["run_id", "pos", *outputs])
+
+    own = F.col("own") if "own" in traces.columns else F.lit(-1)
+    given = traces.select("run_id", "labels", own.cast("int").alias("own")).mapInArrow(run, "run_id string, pos int, " + ", ".join(f"{o} double" for o in outputs))
+    return given.toDF("run_id", "pos", *scores)
+
+
 def edit_distance_fold(traces: DataFrame, bank: DataFrame) -> DataFrame:
     """Free-suffix edit distance of whole runs as a fold of built-in functions: run_id, bank_idx, dl."""
     grid = traces.select("run_id", "labels").join(F.broadcast(bounded(bank).select("bank_idx", F.col("labels").alias("r"))))

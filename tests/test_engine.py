@@ -200,9 +200,35 @@ def test_edit_scores_reduce_distances(spark):
                 assert got[r.run_id, r.pos][name] == pytest.approx(want)
 
 
-def test_large_banks_are_refused(spark):
-    bank = spark.range(distances.MOST_REFERENCES + 1).selectExpr("cast(id as string) ref_id", "cast(id as int) bank_idx", "array('a') labels", "1 n", "'t' task_id")
-    runs = runs_of(3, 2)
+def test_block_scores_equal_edit_scores(spark):
+    """Banks read in blocks, with references left out by their bounds: all scores, with and without a run's own place."""
+    runs, refs = runs_of(41, 25, "abcdx", 12), runs_of(42, 60, "abcde", 10)
+    how = {f"{d}-{h}": (d, h, 3, 0.25) for d in distances.EDIT_DISTANCES for h in ("min", "max_knn", "mean_knn", "quantile", "mean")}
+    bank = bank_of(spark, refs)
+    for own in (False, True):
+        t = traces_of(spark, {**runs, "none": []})
+        t = t.withColumn("own", F.crc32("run_id") % 60) if own else t
+        want = {(r.run_id, r.pos): r for r in distances.edit_scores(t, bank, how).collect()}
+        got = distances.block_scores(t, bank, how, block=16, at_once=5).collect()
+        assert len(got) == len(want) == sum(map(len, runs.values()))
+        for r in got:
+            assert r[2:] == pytest.approx(want[r.run_id, r.pos][2:]), (r.run_id, r.pos)
+    few = {n: h for n, h in how.items() if h[1] in ("min", "max_knn")}
+    assert {tuple(r) for r in distances.block_scores(traces_of(spark, runs), bank, few, at_once=2).collect()} == {tuple(r) for r in distances.edit_scores(traces_of(spark, runs), bank, few).collect()}
+    assert all(r.s == 0 for r in distances.block_scores(traces_of(spark, runs), bank.filter("false"), {"s": ("dl", "min", 3, 0.25)}).collect())
+
+
+def test_bank_of_twenty_thousand(spark):
+    """A bank too large to broadcast is read in blocks; distances by reference are refused for it, never cut."""
+    rng = random.Random(6)
+    refs = {f"b{i}": [rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))] for i in range(20_000)}
+    bank, runs = bank_of(spark, refs), runs_of(3, 4, "abcdefghi", 8)
+    got = {(r.run_id, r.pos): r.s for r in distances.edit_scores(traces_of(spark, runs), bank, {"s": ("dl", "max_knn", 3, 0.25)}).collect()}
+    for r, l in runs.items():
+        p = l[:3]
+        if len(l) >= 3:
+            assert got[r, 2] == pytest.approx(sorted(min(1, min(osa(p, x)) / 3) for x in refs.values())[2])
+    assert len(got) == sum(map(len, runs.values()))
     for f in (lambda: distances.edit_distances(traces_of(spark, runs), bank), lambda: distances.set_distances(events_of(spark, runs), bank), lambda: structure.dfg_fitness(traces_of(spark, runs), bank)):
         with pytest.raises(ValueError):
             f()
