@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.expr import upper_rank
+from .order import running_sums, upper_nearest_rank
 
 METRICS = ("precision", "recall", "f1", "fpr", "flag_rate", "earliness_frac", "earliness_step")
 
@@ -17,8 +17,9 @@ def peaks(scores: DataFrame, warmup: int, keys: tuple[str, ...] = ()) -> DataFra
 
 
 def threshold(run_peaks: DataFrame, q: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The upper nearest-rank quantile of the peaks; infinity without any."""
-    return run_peaks.groupBy(*keys).agg(upper_rank(F.collect_list("peak"), q).alias("threshold"))
+    """The upper nearest-rank quantile of the peaks, of any number; infinity without any."""
+    found = upper_nearest_rank(run_peaks, "peak", q, keys).withColumnRenamed("peak", "threshold")
+    return found if keys else found.agg(F.coalesce(F.max("threshold"), F.lit(float("inf"))).alias("threshold"))
 
 
 def calibrate(scores: DataFrame, trusted: DataFrame, warmup: int = 3, target_fpr: float = 0.1) -> DataFrame:
@@ -92,28 +93,18 @@ def metrics_of(d: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def auc_roc(scored: DataFrame, score: str = "score", label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
     """Area under the ROC curve by middle ranks, from counts of equal scores."""
-    by = scored.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    below = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2
-    c = by.withColumn("r", rank * F.col("p")).groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    by = scored.groupBy(*keys, score).agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
+    rank = F.col("_n_before") + (F.col("_n") + 1) / 2
+    c = running_sums(by, (score,), ("_n",), keys).groupBy(*keys).agg(F.sum(rank * F.col("_p")).alias("r"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     return c.select(*keys, ((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("auc_roc"))
 
 
 def auc_pr(scored: DataFrame, score: str = "score", label: str = "label", tie: str = "run_id", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Average precision in the order of falling score; ties in the order of `tie`.
-
-    Ranks inside a score are taken by key and score; what comes before a score
-    follows from its counts, of which a window sees one row for each score.
-    """
-    counts = scored.groupBy(*keys, score).agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
-    above = W.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*keys, score))], F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_ranked"), F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_hits"))
-    by = W.partitionBy(*keys, score).orderBy(tie)
-    r = scored.withColumn("_rank", F.row_number().over(by)).withColumn("_tp", F.sum(label).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate((*keys, score))]
-    r = r.join(before, same)
-    precision = (F.col("_tp") + F.col("_hits")) / (F.col("_rank") + F.col("_ranked"))
-    return r.groupBy(*keys).agg((F.sum(F.when(F.col(label) == 1, precision)) / F.nullif(F.sum(label), F.lit(0))).alias("auc_pr"))
+    """Average precision in the order of falling score; ties in the order of `tie`."""
+    rows = scored.select(*keys, (-F.col(score)).alias("_fall"), F.col(tie).alias("_tie"), F.col(label).cast("long").alias("_hit"), F.lit(1).cast("long").alias("_one"))
+    placed = running_sums(rows, ("_fall", "_tie"), ("_hit", "_one"), keys)
+    precision = (F.col("_hit_before") + 1) / (F.col("_one_before") + 1)
+    return placed.groupBy(*keys).agg((F.sum(F.when(F.col("_hit") == 1, precision)) / F.nullif(F.sum("_hit"), F.lit(0))).alias("auc_pr"))
 
 
 def mean_std(values: DataFrame, col: str, *keys: str) -> DataFrame:

@@ -311,6 +311,26 @@ def test_areas(spark):
     assert evaluate.auc_pr(df).first()[0] == pytest.approx(ap / len(pos))
 
 
+def test_order_statistics(spark):
+    """Ranks over several partitions: ties, several keys, nulls, no rows."""
+    from drifthound.operators.order import running_sums, upper_nearest_rank
+
+    rng = random.Random(17)
+    rows = [(rng.choice("xy"), rng.choice([None, *[round(rng.random(), 1)] * 6]), rng.randint(0, 5)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "k string, peak double, w long").repartition(5)
+    for q in (0.0, 0.5, 0.9, 0.95, 0.99, 1.0):
+        got = {r.k: r.peak for r in upper_nearest_rank(df, "peak", q, ("k",)).collect()}
+        every = {g: sorted(v for k, v, _ in rows if k == g and v is not None) for g in "xy"}
+        assert got == {g: v[math.ceil(q * (len(v) - 1))] for g, v in every.items()}
+        assert evaluate.threshold(df, q).first()[0] == sorted(v for _, v, _ in rows if v is not None)[math.ceil(q * (sum(v is not None for _, v, _ in rows) - 1))]
+    assert evaluate.threshold(df.filter("false"), 0.9).first()[0] == math.inf and evaluate.threshold(df.filter("false"), 0.9, ("k",)).collect() == []
+    unique = spark.createDataFrame([(i % 3, i, i % 7) for i in range(100)], "k int, at int, w long").repartition(6)
+    for keys in ((), ("k",)):
+        for r in running_sums(unique, ("at",), ("w",), keys).collect():
+            same = [i for i in range(100) if not keys or i % 3 == r.k]
+            assert (r.w_before, r.w_total) == (sum(i % 7 for i in same if i < r["at"]), sum(i % 7 for i in same))
+
+
 def test_bank_edits_and_names(spark):
     b = bank_of(spark, {"x": ["a", "b"], "y": ["a"]})
     assert banks.mean_length(banks.add_to_bank(b, traces_of(spark, {"z": ["a"] * 6}))).first() == (3, 3.0)
