@@ -6,22 +6,16 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from .files import place_of
 from .runs import shared_folder
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def write_blocks(df: DataFrame, rows: int, name: str = "blocks") -> list[str]:
     """The addresses of the table's blocks, of at most `rows` rows each; a task that runs twice leaves a file that none asks for."""
     folder = shared_folder(df.sparkSession, name)
-    system, path = _place(folder)
+    system, path = place_of(folder)
     system.create_dir(path, recursive=True)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,7 +23,7 @@ def write_blocks(df: DataFrame, rows: int, name: str = "blocks") -> list[str]:
 
         def close() -> pa.RecordBatch:
             address = f"{folder}/{uuid.uuid4().hex}"
-            system, path = _place(address)
+            system, path = place_of(address)
             with system.open_output_stream(path) as sink, pa.ipc.new_stream(sink, held[0].schema) as out:
                 for b in held:
                     out.write_batch(b)
@@ -52,6 +46,6 @@ def write_blocks(df: DataFrame, rows: int, name: str = "blocks") -> list[str]:
 
 
 def read_block(address: str) -> pa.Table:
-    system, path = _place(address)
+    system, path = place_of(address)
     with system.open_input_stream(path) as source:
         return pa.ipc.open_stream(source).read_all()

@@ -8,10 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .elements import json_elements
+
 _MESSAGE = "struct<role:string,content:string,tool_calls:string,tool_call_id:string,id:string,error:boolean>"
 LIST_RECORD = f"task_id string, trial int, reward double, traj array<{_MESSAGE}>, info struct<task:struct<instruction:string,user_id:string,actions:array<string>>>"
 SIMULATION = f"struct<task_id:string,trial:int,messages:array<{_MESSAGE}>,reward_info:struct<reward:double,reward_basis:string>,termination_reason:string,duration:double,agent_cost:double>"
-OBJECT_RECORD = f"simulations array<{SIMULATION}>, tasks array<struct<id:string,user_scenario:struct<instructions:struct<task_instructions:string>>>>"
+TASK = "struct<id:string,user_scenario:struct<instructions:struct<task_instructions:string>>>"
 EVENT = "struct<act:string,pos:int,ts:double,attr:struct<raw:string,kind:string,args_hash:string,error:boolean,status:string,write:boolean,terminal:boolean,by_user:boolean,obs_len:int,len:int>>"
 TRACE = f"run_id string, task_id string, trial int, reward double, domain string, model string, instruction string, meta map<string,string>, events array<{EVENT}>"
 
@@ -52,8 +54,8 @@ def catalogue(spark: SparkSession, rows: list[tuple[str, str, str, str, str]], c
 
 
 def read_run_list(spark: SparkSession, path: str, domain: str, model: str) -> DataFrame:
-    """Records of a JSON list: run_id, task_id, trial, reward, domain, model, instruction, meta, messages."""
-    r = spark.read.schema(LIST_RECORD).json(path, multiLine=True)
+    """Records of a JSON list, of any size: run_id, task_id, trial, reward, domain, model, instruction, meta, messages."""
+    r = json_elements(spark, path).select(F.from_json("value", LIST_RECORD).alias("r")).select("r.*")
     return r.select(
         run_id(domain, model).alias("run_id"), "task_id", "trial", F.coalesce("reward", F.lit(0.0)).alias("reward"), F.lit(domain).alias("domain"), F.lit(model).alias("model"),
         F.col("info.task.instruction").alias("instruction"),
@@ -64,9 +66,9 @@ def read_run_list(spark: SparkSession, path: str, domain: str, model: str) -> Da
 
 def read_simulations(spark: SparkSession, path: str, domain: str, model: str) -> DataFrame:
     """Records of a JSON object with `simulations`, in the columns of read_run_list."""
-    r = spark.read.schema(OBJECT_RECORD).json(path, multiLine=True)
-    tasks = F.map_from_entries(F.transform(F.coalesce("tasks", F.array()), lambda t: F.struct(t["id"], t["user_scenario"]["instructions"]["task_instructions"])))
-    s = r.select(F.explode("simulations").alias("s"), tasks.alias("t")).select("s.*", F.try_element_at("t", F.col("s.task_id")).alias("instruction"))
+    simulations = json_elements(spark, path, "simulations").select("file", F.from_json("value", SIMULATION).alias("s"))
+    tasks = json_elements(spark, path, "tasks").select("file", F.from_json("value", TASK).alias("t")).groupBy("file", F.col("t.id").alias("task_id")).agg(F.first("t.user_scenario.instructions.task_instructions").alias("instruction"))
+    s = simulations.select("file", "s.*").join(tasks, ["file", "task_id"], "left")
     return s.select(
         run_id(domain, model).alias("run_id"), "task_id", "trial", F.coalesce("reward_info.reward", F.lit(0.0)).alias("reward"), F.lit(domain).alias("domain"), F.lit(model).alias("model"), "instruction",
         F.create_map(F.lit("termination_reason"), F.col("termination_reason"), F.lit("duration"), F.col("duration").cast("string"), F.lit("agent_cost"), F.col("agent_cost").cast("string"), F.lit("reward_basis"), F.col("reward_info.reward_basis")).alias("meta"),

@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from drifthound.operators import projection as P
 from drifthound.operators import registry
@@ -139,3 +140,50 @@ def test_registry_of_several_domains(spark):
     assert out == {"r": ("read", True), "s": ("write", False), "t": ("read", False)}
     with pytest.raises(ValueError):
         P.project(messages.drop("domain"), "object", kinds)
+
+
+def test_elements_of_one_file_in_blocks(spark, tmp_path):
+    """A list and an object cut at every place: strings with brackets, quotes and backslashes, nested values, spaces, other keys."""
+    from drifthound.sources.elements import json_elements
+
+    rng = random.Random(3)
+
+    def value(deep=0):
+        kind = rng.randrange(7 if deep < 3 else 4)
+        if kind < 2:
+            return "".join(rng.choice(['a', '"', "\\", "[", "]", "{", "}", ",", ":", "é", "\n", "simulations"]) for _ in range(rng.randrange(8)))
+        if kind < 4:
+            return rng.choice([1, -2.5, None, True])
+        if kind < 6:
+            return {f"k{i}\"": value(deep + 1) for i in range(rng.randrange(3))}
+        return [value(deep + 1) for _ in range(rng.randrange(3))]
+
+    values = [value() for _ in range(25)]
+    for k, dump in enumerate((lambda x: json.dumps(x), lambda x: json.dumps(x, indent=1, ensure_ascii=False))):
+        (tmp_path / f"list{k}.json").write_text("  " + dump(values) + "\n")
+        (tmp_path / f"object{k}.json").write_text(dump({"info": {"simulations": [1, 2]}, "tasks": [], "simulations": values, "more": [3], "x": {"y": [4]}}))
+        for block in (1, 7, 64, 1 << 20):
+            got = json_elements(spark, str(tmp_path / f"list{k}.json"), block=block) if block > 1 or k == 0 else None
+            for df in (got, json_elements(spark, str(tmp_path / f"object{k}.json"), "simulations", block=max(block, 5))):
+                if df is not None:
+                    assert sorted(map(repr, (json.loads(r.value) for r in df.collect()))) == sorted(map(repr, values))
+    assert json_elements(spark, str(tmp_path / "object0.json")).count() == 0 and json_elements(spark, str(tmp_path / "object0.json"), "x").count() == 0
+    assert [r.value for r in json_elements(spark, str(tmp_path / "object0.json"), "more").collect()] == ["3"] and json_elements(spark, str(tmp_path / "object0.json"), "tasks").count() == 0
+    (tmp_path / "empty.json").write_text("")
+    assert json_elements(spark, str(tmp_path / "empty.json")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        json_elements(spark, str(tmp_path / "nope.json"))
+
+
+def test_one_large_list_is_read_by_many_tasks(spark, tmp_path):
+    record = {"task_id": "1", "trial": 0, "reward": 1.0, "traj": [{"role": "user", "content": "hi [\"" * 50}], "info": {"task": {"instruction": "do", "user_id": "u", "actions": []}}}
+    path = tmp_path / "runs.json"
+    path.write_text(json.dumps([{**record, "trial": i} for i in range(20_000)]))
+    from drifthound.sources.elements import json_elements
+
+    blocks = json_elements(spark, str(path), block=1 << 20).withColumn("task", F.spark_partition_id())
+    assert path.stat().st_size > 8 << 20 and blocks.select("task").distinct().count() >= 4
+    r = runs.read_run_list(spark, str(path), "d", "m")
+    plain = spark.read.schema(runs.LIST_RECORD).json(str(path), multiLine=True)
+    assert r.count() == plain.count() == 20_000
+    assert r.selectExpr("sum(trial)", "count(distinct run_id)", "sum(size(messages))").first() == (sum(range(20_000)), 20_000, 20_000)
