@@ -2,8 +2,8 @@
 
 Set and count distances are running sums over the grid (run, position,
 reference), with no set in a row: a symbol counts when it first occurs. The
-bank is small by definition (k runs), so it is broadcast; the grid keeps the
-partitioning by run, and all distances share one sort of it.
+bank is small by definition (k runs), so it is broadcast; all distances share
+one sort of the grid.
 
 Edit distances need the whole last row of a table, so they are computed in
 Arrow batches: one row of the tables of many runs against all references at
@@ -44,66 +44,73 @@ def bounded(bank: DataFrame) -> DataFrame:
     return bank
 
 
-def _grams(labels: Column, n: int) -> Column:
-    """The n-gram ending at each place (null before the n-th)."""
-    return F.transform(labels, lambda x, i: F.when(i >= n - 1, F.array_join(F.slice(labels, i - n + 2, F.lit(n)), "\x1f")))
-
-
-def _symbols(bank: DataFrame, n: int) -> list[Column]:
-    """Of a reference's n-grams: first places, distinct ones so far, distinct ones in all."""
-    s = F.col("labels") if n == 1 else _grams(F.col("labels"), n)
-    firsts = F.transform(s, lambda x, i: x.isNotNull() & (F.array_position(s, x) == i + 1))
-    upto = F.transform(firsts, lambda _, i: F.size(F.filter(F.slice(firsts, F.lit(1), i + 1), lambda f: f)))
-    place = F.map_from_entries(F.filter(F.transform(s, lambda x, i: F.when(x.isNotNull() & (F.array_position(s, x) == i + 1), F.struct(x, (i + 1).alias("p")))), lambda e: e.isNotNull()))
-    return [s.alias(f"rs{n}"), firsts.alias(f"rf{n}"), upto.alias(f"ru{n}"), place.alias(f"rp{n}")]
+def _bank_symbols(bank: DataFrame, n: int) -> DataFrame:
+    """bank_idx, sym, place (from 1), first: the n-grams of references by the place where they end."""
+    rows = bank.select("bank_idx", F.posexplode("labels").alias("_i", "act"))
+    by = W.partitionBy("bank_idx").orderBy("_i")
+    gram = F.col("act") if n == 1 else F.when(F.col("_i") >= n - 1, F.concat_ws("\x1f", *[F.lag("act", b).over(by) for b in range(n - 1, 0, -1)], "act"))
+    rows = rows.select("bank_idx", gram.alias("sym"), (F.col("_i") + 1).alias("place"))
+    return rows.withColumn("first", F.col("sym").isNotNull() & (F.row_number().over(W.partitionBy("bank_idx", "sym").orderBy("place")) == 1))
 
 
 def set_distances(events: DataFrame, bank: DataFrame, wanted: tuple[str, ...] = SET_DISTANCES) -> DataFrame:
-    """run_id, pos, bank_idx and one column for each distance wanted."""
+    """run_id, pos, bank_idx and one column for each distance wanted.
+
+    A symbol of both counts from the later of its first places: where the run
+    comes second, on the event that brings it; where the reference does, on a
+    row that is put in at the reference's place. Running sums over both give
+    what two prefixes share, and no row holds more than its own symbol.
+    """
     if unknown := set(wanted) - set(SET_DISTANCES):
         raise ValueError(f"unknown distance {sorted(unknown)}")
+    bank = bounded(bank)
     orders = sorted({3 if "ngram3" in d else 2 if "ngram2" in d else 1 for d in wanted})
-    e = events.select("run_id", "pos", "act", (F.col("pos") + 1).alias("i"))
+    e = events.select("run_id", "pos", "act", (F.col("pos") + 1).alias("i"), F.count("*").over(W.partitionBy("run_id")).alias("_n"))
     for n in orders:
         gram = F.col("act") if n == 1 else F.when(F.col("i") >= n, F.concat_ws("\x1f", *[F.lag("act", b).over(run_order()) for b in range(n - 1, 0, -1)], "act"))
         e = e.withColumn(f"s{n}", gram)
         e = e.withColumn(f"old{n}", F.when(F.col(f"s{n}").isNotNull(), F.row_number().over(W.partitionBy("run_id", f"s{n}").orderBy("pos")) - 1))
-        e = e.withColumn(f"new{n}", (F.col(f"old{n}") == 0).cast("int")).withColumn(f"p{n}", F.sum(f"new{n}").over(so_far()))
-        # first places of the run's symbols, for the reference's side of prefix modes
-        firsts = F.collect_list(F.when(F.col(f"new{n}") == 1, F.struct(f"s{n}", "i"))).over(W.partitionBy("run_id"))
-        e = e.withColumn(f"fp{n}", F.map_from_entries(firsts))
+        e = e.withColumn(f"new{n}", (F.col(f"old{n}") == 0).cast("int")).withColumn(f"p{n}", F.coalesce(F.sum(f"new{n}").over(so_far()), F.lit(0)))
     if "cosine_count" in wanted:
         e = e.withColumn("norm_p", F.sum(2 * F.col("old1") + 1).over(so_far()))
-    counts = F.map_from_entries(F.transform(F.array_distinct("labels"), lambda x: F.struct(x, F.size(F.filter("labels", lambda y: y == x)).alias("c"))))
-    refs = bounded(bank).select("bank_idx", F.col("n").alias("m"), counts.alias("rc"), *[c for n in orders for c in _symbols(bank, n)])
-    refs = refs.withColumn("norm_r", F.aggregate(F.map_values("rc"), F.lit(0), lambda a, c: a + c * c))
-    grid = e.join(F.broadcast(refs))
-    by = W.partitionBy("run_id", "bank_idx").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    grid = e.join(F.broadcast(bank.select("bank_idx", F.col("n").alias("m"))))
+    by = W.partitionBy("run_id", "bank_idx").orderBy("i").rangeBetween(W.unboundedPreceding, W.currentRow)
+    sums, late = {}, None
     for n in orders:
-        s = F.col(f"s{n}")
-        there = F.when(s.isNull(), None).otherwise(F.try_element_at(f"rp{n}", s))
-        entered = (F.col(f"new{n}") == 1) & there.isNotNull()
-        both = entered & (there <= F.col("i"))
-        # the reference's symbol at this place, if new there and the run has had it before
-        theirs = F.when(F.col("i") <= F.col("m"), F.try_element_at(f"rs{n}", F.col("i").cast("int")))
-        mine = F.when(theirs.isNotNull(), F.try_element_at(f"fp{n}", theirs))
-        joined = F.coalesce(F.try_element_at(f"rf{n}", F.col("i").cast("int")) & (mine < F.col("i")), F.lit(False))
-        grid = grid.withColumns({
-            f"both{n}": F.sum(entered.cast("int")).over(by), f"prefix{n}": F.sum(F.coalesce(both, F.lit(False)).cast("int") + joined.cast("int")).over(by),
-            f"all_r{n}": F.size(f"rp{n}"), f"upto_r{n}": F.coalesce(F.try_element_at(f"ru{n}", F.least("i", "m").cast("int")), F.lit(0)),
-        })
+        symbols = _bank_symbols(bank, n)
+        firsts = symbols.filter("first").select(F.col("bank_idx").alias("_b"), F.col("sym").alias("_s"), F.col("place").alias(f"r{n}"))
+        # tables as large as the bank
+        grid = grid.join(F.broadcast(firsts), (F.col("bank_idx") == F.col("_b")) & (F.col(f"s{n}") == F.col("_s")), "left").drop("_b", "_s")
+        entered = (F.col(f"new{n}") == 1) & F.col(f"r{n}").isNotNull()
+        sums[f"both{n}"] = F.sum(F.coalesce(entered, F.lit(False)).cast("int")).over(by)
+        grid = grid.join(F.broadcast(symbols.groupBy(F.col("bank_idx").alias("_b")).agg(F.sum(F.col("first").cast("int")).alias(f"all_r{n}"))), F.col("bank_idx") == F.col("_b"), "left").drop("_b")
+        if any(d.endswith("prefix") and (n == 2) == ("ngram2" in d) for d in wanted) and n < 3:
+            upto = symbols.select(F.col("bank_idx").alias("_b"), F.col("place").alias("_p"), F.sum(F.col("first").cast("int")).over(W.partitionBy("bank_idx").orderBy("place")).alias(f"upto_r{n}"))
+            grid = grid.join(F.broadcast(upto), (F.col("bank_idx") == F.col("_b")) & (F.least("i", "m") == F.col("_p")), "left").drop("_b", "_p")
+            grid = grid.withColumn(f"in{n}", F.coalesce(entered & (F.col(f"r{n}") <= F.col("i")), F.lit(False)).cast("int"))
+            mine = e.filter(F.col(f"new{n}") == 1).select("run_id", F.col(f"s{n}").alias("_s"), F.col("i").alias("_i"), "_n")
+            behind = mine.join(F.broadcast(firsts), "_s").filter(f"r{n} > _i AND r{n} <= _n").select("run_id", F.col("_b").alias("bank_idx"), F.col(f"r{n}").alias("i"), F.lit(1).alias(f"in{n}"))
+            late = behind if late is None else late.unionByName(behind, allowMissingColumns=True)
+            sums[f"prefix{n}"] = F.sum(f"in{n}").over(by)
     if "cosine_count" in wanted:
-        grid = grid.withColumn("dot", F.sum(F.coalesce(F.try_element_at("rc", F.col("act")), F.lit(0))).over(by))
+        counts = bank.select("bank_idx", F.explode("labels").alias("act")).groupBy(F.col("bank_idx").alias("_b"), F.col("act").alias("_s")).agg(F.count("*").alias("rc"))
+        norms = counts.groupBy("_b").agg(F.sum(F.col("rc") * F.col("rc")).alias("norm_r"))
+        grid = grid.join(F.broadcast(counts), (F.col("bank_idx") == F.col("_b")) & (F.col("act") == F.col("_s")), "left").drop("_b", "_s").join(F.broadcast(norms), F.col("bank_idx") == F.col("_b"), "left").drop("_b")
+        sums["dot"] = F.sum(F.coalesce("rc", F.lit(0))).over(by)
+    if late is not None:
+        grid = grid.unionByName(late, allowMissingColumns=True)
+    grid = grid.withColumns(sums).filter("pos IS NOT NULL")
 
     def jaccard(n: int, both: str, theirs: str) -> Column:
-        mine, b = F.coalesce(f"p{n}", F.lit(0)), F.coalesce(both, F.lit(0))
-        return F.when(mine > 0, 1 - b / (mine + F.col(theirs) - b)).otherwise(F.lit(0.0))
+        mine, b = F.col(f"p{n}"), F.coalesce(both, F.lit(0))
+        return F.when(mine > 0, 1 - b / (mine + F.coalesce(theirs, F.lit(0)) - b)).otherwise(F.lit(0.0))
 
+    norm_r = F.coalesce("norm_r", F.lit(0))
     forms = {
         "jaccard": lambda: jaccard(1, "both1", "all_r1"), "jaccard_prefix": lambda: jaccard(1, "prefix1", "upto_r1"),
         "containment": lambda: 1 - F.col("both1") / F.col("p1"),
         "ngram2_jaccard": lambda: jaccard(2, "both2", "all_r2"), "ngram3_jaccard": lambda: jaccard(3, "both3", "all_r3"), "ngram2_jaccard_prefix": lambda: jaccard(2, "prefix2", "upto_r2"),
-        "cosine_count": lambda: F.when(F.col("norm_r") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("dot") / F.sqrt(F.col("norm_p") * F.col("norm_r").cast("double"))))),
+        "cosine_count": lambda: F.when(norm_r == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("dot") / F.sqrt(F.col("norm_p") * norm_r.cast("double"))))),
     }
     return grid.select("run_id", "pos", "bank_idx", *[forms[d]().alias(d) for d in wanted])
 

@@ -81,6 +81,20 @@ def test_set_distances(spark):
         assert row.cosine_count == pytest.approx(max(0, 1 - dot / norm(p) / norm(r)), abs=1e-9)
 
 
+def test_set_distances_of_a_long_run(spark):
+    """50,000 different labels in one run, and references that lag behind it."""
+    n = 50_000
+    run = spark.range(n).selectExpr("'r' AS run_id", "cast(id AS int) AS pos", "concat('l', id) AS act")
+    bank = spark.sql(f"SELECT 'x' AS ref_id, 0 AS bank_idx, transform(sequence(0, 999), i -> concat('l', i * 3)) AS labels, 1000 AS n, 't' AS task_id UNION ALL SELECT 'y', 1, transform(sequence(0, {n - 1}), i -> concat('l', {n} - 1 - i)), {n}, 't'")
+    out = {(r.bank_idx, r.pos): r for r in distances.set_distances(run, bank, ("jaccard", "jaccard_prefix", "ngram2_jaccard_prefix")).filter("pos IN (0, 100, 1499, 30000, 49999)").collect()}
+    for pos in (0, 100, 1499, 30000, 49999):
+        p = {*range(pos + 1)}
+        for idx, ref in ((0, [i * 3 for i in range(1000)]), (1, list(range(n - 1, -1, -1)))):
+            cut = {*ref[: pos + 1]}
+            assert out[idx, pos].jaccard == pytest.approx(1 - len(p & {*ref}) / len(p | {*ref})) and out[idx, pos].jaccard_prefix == pytest.approx(1 - len(p & cut) / len(p | cut))
+            assert out[idx, pos].ngram2_jaccard_prefix == (1 if pos else 0)
+
+
 def test_unknown_names(spark):
     e, b = events_of(spark, {"r": ["a"]}), bank_of(spark, {"x": ["a"]})
     with pytest.raises(ValueError):
