@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -178,9 +179,9 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "label").mapInArrow(count, "token long, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, per_class: int = 6000, listed: int = 20000, prior: float = 500.0, errors: float = 3.0, least_odds: float = 1.0, least_count: int = 3, drift: float = 0.05, e_value: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, per_class: int = 6000, listed: int = 20000, prior: float = 500.0, errors: float = 1.5, least_odds: float = 1.5, least_count: int = 3, drift: float = 0.05, e_value: float = 0.5) -> Model:
     sample = labelled_sample(docs, labels, label, keep, per_class).cache()  # a bounded sample, used three times
-    words = sample.groupBy("label").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("(?i)" + ALNUM_WORD)), F.lit(0))).alias("n")).collect()
+    words = sample.groupBy("label").agg(F.sum(F.coalesce(F.regexp_count(F.translate("text", ascii_uppercase, ascii_lowercase), F.lit(ALNUM_WORD)), F.lit(0))).alias("n")).collect()
     n1, n0 = (sum(r.n for r in words if r.label == c) for c in (1, 0))
     model = Model(e_value=e_value)
     if not n1 or not n0:
