@@ -114,7 +114,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 
     Rows are taken in the order of a hash of their id, so reruns agree. The
     weight is what one row stands for. Null ids and labels are left out; an id
-    with several labels has the largest; rows that repeat an id each count.
+    with several labels has the largest, and one with several texts the first.
     """
     rated = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     if keep is not None:
@@ -128,6 +128,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     # at most 2 * per_class ids; the documents' other columns may have any names
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     met = texts.join(F.broadcast(chosen), F.col("id") == F.col("_i")).select("id", "text", "label", "weight")
-    # ids that repeat may not make the sample larger
-    rows = [met.filter(F.col("label") == c).orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(per_class) for c in (0, 1)]
-    return rows[0].unionByName(rows[1])
+    # ids that repeat may not make the sample larger: each stands with one text
+    return met.groupBy("id", "label", "weight").agg(F.min("text").alias("text")).select("id", "text", "label", "weight")
