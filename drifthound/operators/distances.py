@@ -14,6 +14,7 @@ nearest references is wanted, it is reduced there too.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +45,18 @@ def bounded(bank: DataFrame) -> DataFrame:
     return bank
 
 
-def _bank_symbols(bank: DataFrame, n: int) -> DataFrame:
-    """bank_idx, sym, place (from 1), first: the n-grams of references by the place where they end."""
-    rows = bank.select("bank_idx", F.posexplode("labels").alias("_i", "act"))
-    by = W.partitionBy("bank_idx").orderBy("_i")
-    gram = F.col("act") if n == 1 else F.when(F.col("_i") >= n - 1, F.concat_ws("\x1f", *[F.lag("act", b).over(by) for b in range(n - 1, 0, -1)], "act"))
-    rows = rows.select("bank_idx", gram.alias("sym"), (F.col("_i") + 1).alias("place"))
-    return rows.withColumn("first", F.col("sym").isNotNull() & (F.row_number().over(W.partitionBy("bank_idx", "sym").orderBy("place")) == 1))
+def _bank_symbols(bank: list, n: int) -> list[tuple[int, str | None, int, bool, int]]:
+    """bank_idx, n-gram, place where it ends (from 1), whether it is new there, different ones so far: of each reference."""
+    out = []
+    for r in bank:
+        seen: set[str] = set()
+        for i in range(len(r.labels)):
+            gram = "\x1f".join(r.labels[i - n + 1 : i + 1]) if i >= n - 1 else None
+            new = gram is not None and gram not in seen
+            if new:
+                seen.add(gram)
+            out.append((r.bank_idx, gram, i + 1, new, len(seen)))
+    return out
 
 
 def set_distances(events: DataFrame, bank: DataFrame, wanted: tuple[str, ...] = SET_DISTANCES) -> DataFrame:
@@ -63,7 +69,18 @@ def set_distances(events: DataFrame, bank: DataFrame, wanted: tuple[str, ...] =
     """
     if unknown := set(wanted) - set(SET_DISTANCES):
         raise ValueError(f"unknown distance {sorted(unknown)}")
-    bank = bounded(bank)
+    spark = events.sparkSession
+    held = bank.select("bank_idx", "labels").limit(MOST_REFERENCES + 1).collect()
+    if len(held) > MOST_REFERENCES:
+        raise ValueError(f"distances by reference are for banks of at most {MOST_REFERENCES} references; edit_scores takes any bank")
+
+    def known(rows: list[tuple], schema: str) -> DataFrame:
+        """A table as large as the bank, for a broadcast join."""
+        names = [f.split()[0] for f in schema.split(", ")]
+        kinds = [{"int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in schema.split(", ")]
+        columns = list(zip(*rows)) or [()] * len(names)
+        return F.broadcast(spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)))
+
     orders = sorted({3 if "ngram3" in d else 2 if "ngram2" in d else 1 for d in wanted})
     e = events.select("run_id", "pos", "act", (F.col("pos") + 1).alias("i"), F.count("*").over(W.partitionBy("run_id")).alias("_n"))
     for n in orders:
@@ -73,29 +90,32 @@ def set_distances(events: DataFrame, bank: DataFrame, wanted: tuple[str, ...] =
         e = e.withColumn(f"new{n}", (F.col(f"old{n}") == 0).cast("int")).withColumn(f"p{n}", F.coalesce(F.sum(f"new{n}").over(so_far()), F.lit(0)))
     if "cosine_count" in wanted:
         e = e.withColumn("norm_p", F.sum(2 * F.col("old1") + 1).over(so_far()))
-    grid = e.join(F.broadcast(bank.select("bank_idx", F.col("n").alias("m"))))
-    by = W.partitionBy("run_id", "bank_idx").orderBy("i").rangeBetween(W.unboundedPreceding, W.currentRow)
+    symbols = {n: _bank_symbols(held, n) for n in orders}
+    sizes = {n: {i: upto for i, _, _, _, upto in symbols[n]} for n in orders}
+    counted = {r.bank_idx: Counter(r.labels) for r in held}
+    facts = [(r.bank_idx, len(r.labels), sum(c * c for c in counted[r.bank_idx].values()), *[sizes[n].get(r.bank_idx, 0) for n in orders]) for r in held]
+    grid = e.join(known(facts, "bank_idx int, m int, norm_r int" + "".join(f", all_r{n} int" for n in orders)))
+    prefixed = {2 if "ngram2" in d else 1 for d in wanted if d.endswith("prefix")}
+    by = W.partitionBy("run_id", "bank_idx").orderBy("i")
+    # rows that are put in share their place with an event
+    by = by.rangeBetween(W.unboundedPreceding, W.currentRow) if prefixed else by.rowsBetween(W.unboundedPreceding, W.currentRow)
     sums, late = {}, None
     for n in orders:
-        symbols = _bank_symbols(bank, n)
-        firsts = symbols.filter("first").select(F.col("bank_idx").alias("_b"), F.col("sym").alias("_s"), F.col("place").alias(f"r{n}"))
-        # tables as large as the bank
-        grid = grid.join(F.broadcast(firsts), (F.col("bank_idx") == F.col("_b")) & (F.col(f"s{n}") == F.col("_s")), "left").drop("_b", "_s")
+        firsts = known([(i, g, at) for i, g, at, new, _ in symbols[n] if new], f"_b int, _s string, r{n} int")
+        grid = grid.join(firsts, (F.col("bank_idx") == F.col("_b")) & (F.col(f"s{n}") == F.col("_s")), "left").drop("_b", "_s")
         entered = (F.col(f"new{n}") == 1) & F.col(f"r{n}").isNotNull()
         sums[f"both{n}"] = F.sum(F.coalesce(entered, F.lit(False)).cast("int")).over(by)
-        grid = grid.join(F.broadcast(symbols.groupBy(F.col("bank_idx").alias("_b")).agg(F.sum(F.col("first").cast("int")).alias(f"all_r{n}"))), F.col("bank_idx") == F.col("_b"), "left").drop("_b")
-        if any(d.endswith("prefix") and (n == 2) == ("ngram2" in d) for d in wanted) and n < 3:
-            upto = symbols.select(F.col("bank_idx").alias("_b"), F.col("place").alias("_p"), F.sum(F.col("first").cast("int")).over(W.partitionBy("bank_idx").orderBy("place")).alias(f"upto_r{n}"))
-            grid = grid.join(F.broadcast(upto), (F.col("bank_idx") == F.col("_b")) & (F.least("i", "m") == F.col("_p")), "left").drop("_b", "_p")
+        if n in prefixed:
+            upto = known([(i, at, c) for i, _, at, _, c in symbols[n]], f"_b int, _p int, upto_r{n} int")
+            grid = grid.join(upto, (F.col("bank_idx") == F.col("_b")) & (F.least("i", "m") == F.col("_p")), "left").drop("_b", "_p")
             grid = grid.withColumn(f"in{n}", F.coalesce(entered & (F.col(f"r{n}") <= F.col("i")), F.lit(False)).cast("int"))
             mine = e.filter(F.col(f"new{n}") == 1).select("run_id", F.col(f"s{n}").alias("_s"), F.col("i").alias("_i"), "_n")
-            behind = mine.join(F.broadcast(firsts), "_s").filter(f"r{n} > _i AND r{n} <= _n").select("run_id", F.col("_b").alias("bank_idx"), F.col(f"r{n}").alias("i"), F.lit(1).alias(f"in{n}"))
+            behind = mine.join(firsts, "_s").filter(f"r{n} > _i AND r{n} <= _n").select("run_id", F.col("_b").alias("bank_idx"), F.col(f"r{n}").alias("i"), F.lit(1).alias(f"in{n}"))
             late = behind if late is None else late.unionByName(behind, allowMissingColumns=True)
             sums[f"prefix{n}"] = F.sum(f"in{n}").over(by)
     if "cosine_count" in wanted:
-        counts = bank.select("bank_idx", F.explode("labels").alias("act")).groupBy(F.col("bank_idx").alias("_b"), F.col("act").alias("_s")).agg(F.count("*").alias("rc"))
-        norms = counts.groupBy("_b").agg(F.sum(F.col("rc") * F.col("rc")).alias("norm_r"))
-        grid = grid.join(F.broadcast(counts), (F.col("bank_idx") == F.col("_b")) & (F.col("act") == F.col("_s")), "left").drop("_b", "_s").join(F.broadcast(norms), F.col("bank_idx") == F.col("_b"), "left").drop("_b")
+        counts = known([(i, a, c) for i, times in counted.items() for a, c in times.items()], "_b int, _s string, rc int")
+        grid = grid.join(counts, (F.col("bank_idx") == F.col("_b")) & (F.col("act") == F.col("_s")), "left").drop("_b", "_s")
         sums["dot"] = F.sum(F.coalesce("rc", F.lit(0))).over(by)
     if late is not None:
         grid = grid.unionByName(late, allowMissingColumns=True)
