@@ -11,7 +11,7 @@ from ..operators import declare, distances, evaluate, mining, structure
 from ..operators.bank import ScoreConfig, draw_banks, unusable
 from ..operators.baselines import counted_scores, ngram_score, random_score
 from ..sources.logs import traces_of
-from ..sources.runs import materialised
+from ..sources.runs import discard, materialised
 
 CONFIGS = (
     ScoreConfig("dl", "max_knn", 3, name="dl/max@3"), ScoreConfig("dl_trunc", "max_knn", 3, name="dltr/max@3"), ScoreConfig("dl", "min", name="dl/min"),
@@ -119,7 +119,7 @@ def _structure_curves(grid: DataFrame, refs: DataFrame) -> DataFrame:
     return _curves(scores, "return_rate", "edge_novelty", "df_legality", "graph_progress", "cycle_absz", "edge_absz", "step_count")
 
 
-def _constraint_curves(events: DataFrame, grid: DataFrame, refs: DataFrame, models: DataFrame, constraints: DataFrame) -> DataFrame:
+def _constraint_curves(events: DataFrame, grid: DataFrame, refs: DataFrame, models: DataFrame, constraints: DataFrame, made: list[DataFrame]) -> DataFrame:
     """Curves of dcl_viol and dcl_div: verdicts of all draws' constraints are made once, as rows of bits that each draw masks.
 
     `models` (draw, cid) says which constraints a draw has.
@@ -127,6 +127,7 @@ def _constraint_curves(events: DataFrame, grid: DataFrame, refs: DataFrame, mode
     size = constraints.count()
     words = -(-size // 64)
     bits = materialised(declare.packed(declare.verdicts(events, constraints), "run_id", "pos"), "verdicts")
+    made.append(bits)
     zero = F.array(*[F.lit(0).cast("long")] * words)
     one = models.groupBy("draw", F.floor(F.col("cid") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cid % 64 AS int))")).alias("m")).groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("_m"))
     masks = one.select("draw", F.transform(zero, lambda x, w: F.coalesce(F.try_element_at("_m", w.cast("long")), x)).alias("mask"))
@@ -143,13 +144,15 @@ def _constraint_curves(events: DataFrame, grid: DataFrame, refs: DataFrame, mode
     return _curves(scored, "dcl_viol", "dcl_div")
 
 
-def draw_curves(events: DataFrame, banks: DataFrame, draws: list[tuple[int, int, int]], support: float = 1.0, warmup: int = 3, detectors: tuple[str, ...] = SWEPT) -> DataFrame:
+def draw_curves(events: DataFrame, banks: DataFrame, draws: list[tuple[int, int, int]], support: float = 1.0, warmup: int = 3, detectors: tuple[str, ...] = SWEPT, made: list[DataFrame] | None = None) -> DataFrame:
     """Curves of every detector asked for, for all draws at once: run_id, n, success, draw, loo, detector, curve.
 
     `draws` are (number, seed, size) over `banks` (`draw_banks`). A run is
     scored for each draw: if it is in the draw's bank, against the others there
-    (`loo`), else, with `warmup` events, against the whole.
+    (`loo`), else, with `warmup` events, against the whole. Tables written on
+    the way, which the curves read, are added to `made`.
     """
+    made = made if made is not None else []
     spark = events.sparkSession
     k = max(size for *_, size in draws)
     held = [r for r in banks.filter(F.col("bank_idx") < k).orderBy("seed", "bank_idx").collect()]  # seeds times size rows
@@ -171,6 +174,7 @@ def draw_curves(events: DataFrame, banks: DataFrame, draws: list[tuple[int, int,
         facts = events.select("run_id", "pos", "n").join(walk, ["run_id", "pos"])
         facts = facts.select("*", F.lag("act").over(W.partitionBy("run_id").orderBy("pos")).alias("prev"), F.sum(F.col("pos") + 1).over(own).alias("own_s"), F.count("*").over(own).alias("own_c"))
         facts = materialised(facts, "facts")
+        made.append(facts)
         refs = facts.join(F.broadcast(table), "run_id")
         grid = facts.join(F.broadcast(spark.createDataFrame([(d,) for d in numbered], "draw int"))).join(F.broadcast(table.withColumn("_in", F.lit(True))), ["run_id", "draw"], "left")
         grid = grid.withColumn("loo", F.coalesce("_in", F.lit(False))).drop("_in").filter(F.col("loo") | (F.col("n") >= warmup))
@@ -180,9 +184,10 @@ def draw_curves(events: DataFrame, banks: DataFrame, draws: list[tuple[int, int,
             groups = table.select(F.concat_ws("|", "draw", "run_id").alias("run_id"), "draw")
             apart = refs.select(F.concat_ws("|", "draw", "run_id").alias("run_id"), "pos", "act")
             mined = materialised(mining.as_models(mining.mine(apart, support=support, cumulative=True, groups=groups), "draw"), "models")
+            made.append(mined)
             constraints = mined.drop("draw").distinct()
             if mined.take(1):
-                found.append(_constraint_curves(facts, grid, refs, mined.select("draw", "cid"), constraints).filter(F.col("detector").isin(*detectors)))
+                found.append(_constraint_curves(facts, grid, refs, mined.select("draw", "cid"), constraints, made).filter(F.col("detector").isin(*detectors)))
     curves = found[0]
     for f in found[1:]:
         curves = curves.unionByName(f)
@@ -214,8 +219,10 @@ def sweep_draws(events: DataFrame, seeds: tuple[int, ...] = (0,), sizes: tuple[i
     empty = "seed int, k int, detector string, q double, w int, threshold double, tp bigint, fp bigint, pos bigint, neg bigint, runs bigint, precision double, recall double, f1 double, fpr double, flag_rate double, earliness_frac double, earliness_step double"
     if not draws:
         return spark.createDataFrame([], empty), skipped
-    curves = draw_curves(events, banks, draws, support, warmup, detectors).withColumn("curve", F.transform("curve", lambda x: F.round(x, 9)))
+    made = [events, banks]
+    curves = draw_curves(events, banks, draws, support, warmup, detectors, made).withColumn("curve", F.transform("curve", lambda x: F.round(x, 9)))
     curves = materialised(curves, "curves")
+    discard(*made)
     tests = F.broadcast(spark.createDataFrame(grid, "q double, w int, start int"))
     late = F.array_max(F.slice("curve", F.col("start"), F.greatest(F.col("n") - F.col("start") + 1, F.lit(0))))
     tops = curves.filter("loo").join(tests).withColumn("peak", late).groupBy("draw", "detector", "q", "w", "start").agg(F.array_sort(F.collect_list("peak")).alias("_p"))  # no more than the bank has runs
@@ -226,7 +233,9 @@ def sweep_draws(events: DataFrame, seeds: tuple[int, ...] = (0,), sizes: tuple[i
     decided = met.withColumns({"fired": F.col("step").isNotNull(), "frac": F.col("step") / F.col("n")})
     cells = evaluate.metrics_of(decided, ("draw", "detector", "q", "w", "threshold"))
     names = F.broadcast(spark.createDataFrame(draws, "draw int, seed int, k int"))
-    return cells.join(names, "draw").select("seed", "k", *[c for c in cells.columns if c != "draw"]), skipped
+    cells = materialised(cells.join(names, "draw").select("seed", "k", *[c for c in cells.columns if c != "draw"]), "cells")
+    discard(curves)
+    return cells, skipped
 
 
 def sweep(events: DataFrame, k: int = 16, seed: int = 0, **options) -> DataFrame:
