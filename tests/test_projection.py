@@ -187,3 +187,19 @@ def test_one_large_list_is_read_by_many_tasks(spark, tmp_path):
     plain = spark.read.schema(runs.LIST_RECORD).json(str(path), multiLine=True)
     assert r.count() == plain.count() == 20_000
     assert r.selectExpr("sum(trial)", "count(distinct run_id)", "sum(size(messages))").first() == (sum(range(20_000)), 20_000, 20_000)
+
+
+def test_elements_are_not_taken_for_a_small_table(spark, tmp_path):
+    """Files of one block and of many, list and object, are read alike; Spark doesn't broadcast them by the size of their addresses."""
+    from drifthound.sources.elements import json_elements
+
+    sizes = {"a": 3, "b": 40, "c": 1, "d": 9}
+    for f, n in sizes.items():
+        (tmp_path / f"{f}.json").write_text(json.dumps({"tasks": [[f]], "simulations": [{"f": f, "i": i, "s": '\\"]},' * (i % 3)} for i in range(n)]}))
+    for block in (150, 5_000):
+        s, t = (json_elements(spark, str(tmp_path), k, block=block) for k in ("simulations", "tasks"))
+        met = s.join(t.withColumnRenamed("value", "task"), "file")
+        found = [(*json.loads(r.task), *json.loads(r.value).values()) for r in met.collect()]
+        assert sorted(found) == sorted((f, f, i, '\\"]},' * (i % 3)) for f, n in sizes.items() for i in range(n))
+        final = met._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("ENSURE_REQUIREMENTS") == 2  # both sides have been measured by a shuffle before one may be broadcast
