@@ -61,6 +61,16 @@ def test_edit_distances(spark):
             assert fold[k, j] == pytest.approx(min(1, min(osa(p, r)) / len(p)))
 
 
+def test_whole_run_distances_of_odd_banks(spark):
+    """Runs without events, references without labels, numbers of the bank with gaps; no fold of lambdas, run by run."""
+    runs, refs = {**runs_of(3, 12, "abcd"), "none": []}, {**runs_of(4, 3, "abce"), "empty": []}
+    bank = bank_of(spark, refs).withColumn("bank_idx", F.col("bank_idx") * 3 + 2)
+    out = distances.edit_distance_fold(traces_of(spark, runs), bank)
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {(k, 3 * j + 2): min(1, min(osa(p, r)[: len(r) + 1]) / len(p)) if p else 0.0 for k, p in runs.items() for j, r in enumerate(refs.values())}
+    assert {(r.run_id, r.bank_idx): r.dl for r in out.collect()} == pytest.approx(want)
+
+
 def test_set_distances(spark):
     runs, refs = runs_of(3, 20), runs_of(4, 5, "abd")
     out = distances.set_distances(events_of(spark, runs), bank_of(spark, refs)).collect()
