@@ -486,6 +486,25 @@ def test_curves_of_all_draws_equal_those_of_each(spark):
     assert not got
 
 
+def test_curves_carry_the_ends_of_their_runs(spark):
+    """Curves of distances alone come with n and success from the task that makes them: nothing is joined to them."""
+    from drifthound.plans import detectors
+
+    runs = walks_of(6, 40)
+    events = events_of(spark, runs).withColumn("success", F.substring("run_id", 2, 9).cast("int") % 4 != 0).cache()
+    drawn = banks.draw_banks(detectors.traces_of(events), 8, (0,)).cache()
+    for wanted in (("jac/max@3",), ("dl/min",), ("jac/min", "dl/min")):
+        curves = detectors.draw_curves(events, drawn, [(3, 0, 8)], detectors=wanted)
+        assert "Join" not in curves._jdf.queryExecution().optimizedPlan().toString()
+        rows = curves.collect()
+        assert {(r.run_id, r.detector) for r in rows} == {(k, d) for k, l in runs.items() for d in wanted if r_kept(k, l, rows)}
+        assert all(r.n == len(runs[r.run_id]) == len(r.curve) and r.success == (int(r.run_id[1:]) % 4 != 0) for r in rows)
+
+
+def r_kept(run, labels, rows):
+    return len(labels) >= 3 or any(r.run_id == run and r.loo for r in rows)
+
+
 def test_sweep_of_several_draws(spark):
     """All draws are one plan; a draw without enough good runs, or of one class, is skipped and says why."""
     from drifthound.plans import detectors
