@@ -269,6 +269,17 @@ def test_mining_supports(spark):
         assert row.matches == holds, (t, a, b, n)
 
 
+def test_ordered_pairs_need_only_their_events(spark):
+    """What a run tells of a pair stands in the events that concern it: the same rows as with all of a run's events."""
+    events = events_of(spark, runs_of(17, 60, "abcdef", 14))
+    e = events.select("run_id", "pos", "act", F.lag("act").over(mining.run_order()).alias("prev"), F.lead("act").over(mining.run_order()).isNull().alias("ends"))
+    acts = e.select("run_id", "act").distinct()
+    grid = e.join(acts.select("run_id", F.col("act").alias("a")), "run_id").join(acts.select("run_id", F.col("act").alias("b")), "run_id").cache()
+    told = lambda g: {tuple(r) for r in declare.last_rows(declare.running_columns(g.select("run_id", "pos", "act", "prev", "a", "b"), ["run_id", "a", "b"]), "a", "b").collect()}
+    few = mining.concerned(grid).cache()
+    assert few.count() < 0.7 * grid.count() and told(few) == told(grid)
+
+
 def test_walk_and_replay(spark):
     runs, refs = runs_of(8, 20), runs_of(9, 4)
     walk = {(r.run_id, r.pos): r for r in structure.walk_features(events_of(spark, runs)).collect()}
