@@ -440,6 +440,72 @@ def test_live_scores_without_attributes_or_bank(spark, tmp_path):
     assert [r.return_rate for r in out] == pytest.approx([0, 0, 1 / 3, 1 / 2])
 
 
+class Kept:
+    """A stand-in for what Spark gives a stateful processor: maps that count their calls, and timers."""
+
+    def __init__(self):
+        self.maps, self.timers, self.calls, self.now = {}, [], 0, 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        outer, held = self, self.maps.setdefault(name, {})
+
+        def called(f):
+            def counted(*a):
+                outer.calls += 1
+                return f(*a)
+            return counted
+
+        return type("Map", (), {k: staticmethod(called(f)) for k, f in {
+            "containsKey": held.__contains__, "getValue": held.__getitem__, "updateValue": held.__setitem__, "removeKey": held.pop, "iterator": lambda: iter(list(held.items())), "keys": lambda: iter(list(held))}.items()})
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.append(t)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_live_runs_of_a_bucket_are_scored_together(monkeypatch):
+    """State is read and written once a run and batch, steps are as many as the longest run has; the scores are those of events that come one by one, also where the keys of a run don't fit its row."""
+    import pandas as pd
+
+    from drifthound.streaming import scoring
+
+    runs, refs = runs_of(41, 30, "abcde", 20), list(runs_of(42, 5, "abcf").values())
+    model = [(t, a, None if t in declare.UNARY else b, 2 if t in declare.COUNTING else None) for t in declare.TEMPLATES for a, b in (("a", "b"), ("c", "c"), ("b", "e"))]
+    rows = pd.DataFrame([(r, pd.Timestamp(i, unit="s"), i, x, "tool", x == "c", "ok", f"{r}{i % 7}") for r, l in runs.items() for i, x in enumerate(l)], columns=["run_id", "ts", "event_id", "act", "kind", "error", "status", "args_hash"])
+
+    def scored(batches, **options):
+        kept, steps = Kept(), []
+        s = scoring.RunScorer(refs, model, **options)
+        s.init(kept)
+        step = s.bank.step
+        s.bank.step = lambda *a, **b: steps.append(1) or step(*a, **b)
+        out = pd.concat([x for b in batches for x in s.handleInputRows((0,), iter([b]), kept)])
+        return s, kept, len(steps), out.sort_values(["run_id", "pos"]).reset_index(drop=True)
+
+    _, kept, steps, whole = scored([rows])
+    assert len(whole) == sum(map(len, runs.values())) and steps == max(map(len, runs.values())) and kept.calls <= 2 * len(runs) and not kept.maps["grown"]
+    monkeypatch.setattr(scoring, "FEW", 4)
+    s, kept, _, single = scored([rows[rows.event_id == i] for i in range(20)], expire_ms=1000)
+    assert kept.maps["grown"] and all(len(v[5]) < 400 for v in kept.maps["runs"].values())
+    pd.testing.assert_frame_equal(whole, single, check_exact=False, atol=1e-12)
+
+    # state goes with its run, and not before
+    assert len(kept.timers) == 1
+    kept.now, kept.timers = 600, []
+    list(s.handleInputRows((0,), iter([rows.assign(event_id=99, ts=pd.Timestamp(99, unit="s"))[rows.run_id == "r3"][:1]]), kept))
+    kept.now, kept.timers = 1000, []
+    list(s.handleExpiredTimer((0,), kept, kept))
+    assert list(kept.maps["runs"]) == [("r3",)] and {r for r, _ in kept.maps["grown"]} <= {"r3"} and kept.timers == [1600]
+
+
 def test_monitors_wake_only_what_an_event_can_change():
     from drifthound.streaming.monitors import Monitors
 
