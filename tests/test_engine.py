@@ -601,6 +601,45 @@ def test_sweep_of_several_draws(spark):
     assert detectors.sweep_draws(events, sizes=(4,))[0].collect() == []
 
 
+def test_constraint_curves_equal_verdict_grid(spark, monkeypatch):
+    """The sweep's constraint scores, without the grid (run, position, pair), equal those of verdicts; one draw has no constraints, one no other reference."""
+    from drifthound.plans import detectors
+
+    runs = {k: v for k, v in runs_of(51, 40, "abcd", 9).items()}
+    refs = {k: runs[k] for k in list(runs)[:6]}
+    draws = [list(refs)[:4], list(refs)[2:], list(refs)[:3], [list(refs)[0]]]
+    cons = [(t, a, None if t in declare.UNARY else b, 2 if t in declare.COUNTING else None) for t in declare.TEMPLATES for a, b in itertools.product("abe", "abd")]
+    of_draw = {5: [c for c in range(len(cons)) if c % 3], 7: list(range(0, len(cons), 2)), 8: [], 9: list(range(40))}
+    models = spark.createDataFrame([(d, c, *cons[c]) for d, cids in of_draw.items() for c in cids], "draw int, cid int, template string, a string, b string, n int")
+    monkeypatch.setattr(declare, "verdicts", lambda *_: pytest.fail("a row for each event and pair"))
+    rows = detectors._constraint_curves(traces_of(spark, runs), refs, draws, list(of_draw), models, 3).collect()
+    monkeypatch.undo()
+    v = declare.verdicts(events_of(spark, runs), declare.model(spark, cons)).collect()
+    signed, broken = {}, {}
+    for r in v:
+        if r.activated:
+            signed.setdefault((r.run_id, r.pos), set()).add((r.cid, r.state))
+        if r.state == 0:
+            broken.setdefault((r.run_id, r.pos), set()).add(r.cid)
+    want = {}
+    for (d, cids), draw in zip(of_draw.items(), draws):
+        held = set(cids)
+        of = lambda run, pos: {x for x in signed.get((run, pos), ()) if x[0] in held}  # noqa: B023, E731
+        for run, labels in runs.items():
+            others = [x for x in draw if x != run]
+            if not held or not others or run not in draw and len(labels) < 3:
+                continue
+            want[run, d, "dcl_viol"] = [1 - math.exp(-len(broken.get((run, i), set()) & held) / 8) for i in range(len(labels))]
+            curve = []
+            for i in range(len(labels)):
+                far = sorted(1 - len(of(run, i) & t) / len(of(run, i) | t) if of(run, i) | t else 0.0 for t in (of(x, min(i, len(refs[x]) - 1)) for x in others))
+                curve.append(far[min(3, len(far)) - 1])
+            want[run, d, "dcl_div"] = curve
+    assert {(r.run_id, r.draw, r.detector) for r in rows} == set(want)
+    for r in rows:
+        assert r.curve == pytest.approx(want[r.run_id, r.draw, r.detector], abs=1e-12) and r.loo == (r.run_id in draws[list(of_draw).index(r.draw)]) and r.n == len(r.curve)
+
+
 def test_fired_steps_equal_decisions(spark):
     rng = random.Random(2)
     curves = {f"r{i}": [rng.choice([0.1, 0.5, 0.9]) for _ in range(rng.randint(1, 12))] for i in range(60)}
