@@ -640,6 +640,27 @@ def test_constraint_curves_equal_verdict_grid(spark, monkeypatch):
         assert r.curve == pytest.approx(want[r.run_id, r.draw, r.detector], abs=1e-12) and r.loo == (r.run_id in draws[list(of_draw).index(r.draw)]) and r.n == len(r.curve)
 
 
+def test_walk_facts_are_dealt_by_size(spark, monkeypatch):
+    """The sweep's walk facts take four sorts, no join, and as many tasks as the events ask for; values by plain Python."""
+    from drifthound.plans import detectors
+
+    runs, made = runs_of(61, 60, "abcd", 9), {}
+    events = events_of(spark, runs)
+    written = detectors.materialised
+    monkeypatch.setattr(detectors, "materialised", lambda df, name: made.setdefault(name, df) and written(df, name))
+    monkeypatch.setattr(detectors, "MOST_EVENTS", 20, raising=False)
+    traces = traces_of(spark, runs)
+    detectors.draw_curves(events, banks.draw_banks(traces, 4, (0,)), [(0, 0, 4)], detectors=("return_rate",))
+    plan = made["facts"]._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and made["facts"].rdd.getNumPartitions() == -(-events.count() // 20)
+    assert made["facts"]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Sort [") <= 4
+    for r in made["facts"].collect():
+        l = runs[r.run_id]
+        assert (r.act, r.prev, r.own_c, r.own_s, r.n) == (l[r.pos], l[r.pos - 1] if r.pos else None, l.count(r.act), sum(i + 1 for i, x in enumerate(l) if x == r.act), len(l))
+        back = sum(any(x == l[j] and l[i + 1] != x for i, x in enumerate(l[:j])) for j in range(r.pos + 1))
+        assert r.return_rate == pytest.approx(back / (r.pos + 1)) and r.edge_novelty == pytest.approx(len(set(zip(l[: r.pos + 1], l[1 : r.pos + 1]))) / r.pos if r.pos else 0)
+
+
 def test_fired_steps_equal_decisions(spark):
     rng = random.Random(2)
     curves = {f"r{i}": [rng.choice([0.1, 0.5, 0.9]) for _ in range(rng.randint(1, 12))] for i in range(60)}
